@@ -4,13 +4,64 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm.common import table
+from loomgraph.llm.common import WORD, scratch, table
 from loomgraph.llm.minhash import near_duplicates
+from loomgraph.llm.mixing import mix
+from loomgraph.llm.tokens import token_files
+
+#: The end of each document in token files.
+END_ID = 0
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=4)
 
 
-QUERIES = {"op3_minhash": op3_minhash}
-ORACLES: dict[str, str] = {}
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op6_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files(table(spark, sf_dir, "documents"), scratch(spark, "tokens"), tokenizer_path(), END_ID)
+
+
+QUERIES = {"op3_minhash": op3_minhash, "op4_mixing": op4_mixing, "op6_tokens": op6_tokens}
+ORACLES = {
+    "op4_mixing": f"""
+WITH sized AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS BIGINT) AS size
+  FROM documents
+), sources AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS s, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS k
+  FROM sized GROUP BY source
+), weighed AS (
+  SELECT source, s, 3 * s AS cap, CAST(CASE k % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS BIGINT) AS w,
+         CAST(sum(s) OVER () AS BIGINT) AS total
+  FROM sources
+), filled AS (
+  SELECT a.source, a.s, a.cap, a.w, a.total,
+         a.cap * sum(b.w) FILTER (WHERE b.cap * a.w >= a.cap * b.w)
+           <= a.w * (a.total - coalesce(sum(b.cap) FILTER (WHERE b.cap * a.w < a.cap * b.w), 0)) AS is_full
+  FROM weighed a, weighed b GROUP BY a.source, a.s, a.cap, a.w, a.total
+), goals AS (
+  SELECT source, s, CASE WHEN is_full THEN CAST(cap AS DOUBLE) ELSE
+    CAST(w * (total - coalesce(sum(cap) FILTER (WHERE is_full) OVER (), 0)) AS DOUBLE) / CAST(sum(w) FILTER (WHERE NOT is_full) OVER () AS DOUBLE) END AS target
+  FROM filled
+), placed AS (
+  SELECT doc_id, size, g.s, target,
+         CAST(coalesce(sum(size) OVER (PARTITION BY z.source ORDER BY md5(coalesce(CAST(doc_id AS VARCHAR), '')), doc_id, size
+           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS at_
+  FROM sized z JOIN goals g ON z.source IS NOT DISTINCT FROM g.source
+)
+SELECT doc_id, size, s AS source_size, target,
+       CAST(greatest(0, least(size, floor(target) - at_)) + greatest(0, least(size, floor(target) - at_ - s))
+         + greatest(0, least(size, floor(target) - at_ - 2 * s)) AS BIGINT) AS taken
+FROM placed""",
+}
