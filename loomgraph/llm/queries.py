@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from loomgraph.llm import toxicity
 from loomgraph.llm.common import WORD, scratch, table
 from loomgraph.llm.minhash import near_duplicates
 from loomgraph.llm.mixing import mix
@@ -19,6 +20,12 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(toxicity.training_rows(docs, table(spark, sf_dir, "labels")))
+    return toxicity.score(docs, model).select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
+
+
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=4)
 
@@ -32,7 +39,7 @@ def op6_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(table(spark, sf_dir, "documents"), scratch(spark, "tokens"), tokenizer_path(), END_ID)
 
 
-QUERIES = {"op3_minhash": op3_minhash, "op4_mixing": op4_mixing, "op6_tokens": op6_tokens}
+QUERIES = {"op1_toxicity": op1_toxicity, "op3_minhash": op3_minhash, "op4_mixing": op4_mixing, "op6_tokens": op6_tokens}
 ORACLES = {
     "op4_mixing": f"""
 WITH sized AS (
