@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 #: White space that separates words; everything else is part of a word.
 WORD = r"[^\x20\x09-\x0D]+"
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _kept: list[tuple[SparkSession, str]] = []
 
 
@@ -39,10 +40,16 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back: this cuts the
-    lineage and survives the loss of executors."""
+    lineage and survives the loss of executors. The shuffle files of the job are
+    of no more use once the table is written, and go at once."""
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -21,6 +21,19 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
     return moved.where("a != b").distinct()
 
 
+def extended(found: DataFrame, links: DataFrame) -> DataFrame:
+    """The components (node, component) of a graph that gets more links: only the
+    few new links between components are followed."""
+    for end in ("a", "b"):
+        named = found.select(F.col("node").alias(end), F.col("component").alias(f"{end}_"))
+        links = links.join(named, end, "left").withColumn(f"{end}_", F.coalesce(f"{end}_", end))
+    above = stored(components(links.select(F.col("a_").alias("a"), F.col("b_").alias("b"))), "above")
+    moved = found.join(above.select(F.col("node").alias("component"), F.col("component").alias("_c")), "component", "left")
+    moved = moved.select("node", F.coalesce("_c", "component").alias("component"))
+    new = above.join(found, "node", "left_anti").select("node", "component")
+    return moved.union(new)
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, component) for every node of links (a, b), component being the
     least node that can be reached.

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from loomgraph.llm import toxicity
 from loomgraph.llm.common import WORD, scratch, table
+from loomgraph.llm.decontam import contaminated
 from loomgraph.llm.minhash import near_duplicates
 from loomgraph.llm.mixing import mix
 from loomgraph.llm.tokens import token_files
@@ -39,7 +40,11 @@ def op6_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(table(spark, sf_dir, "documents"), scratch(spark, "tokens"), tokenizer_path(), END_ID)
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op3_minhash": op3_minhash, "op4_mixing": op4_mixing, "op6_tokens": op6_tokens}
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {"op1_toxicity": op1_toxicity, "op3_minhash": op3_minhash, "op4_mixing": op4_mixing, "op6_tokens": op6_tokens, "op7_decontaminate": op7_decontaminate}
 ORACLES = {
     "op4_mixing": f"""
 WITH sized AS (
