@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _kept: list[tuple[SparkSession, str]] = []
+_to_the_end: list[tuple[SparkSession, str]] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +39,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
+def until_exit(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder that release() leaves alone."""
+    path = f"{shared_dir(spark)}/loomgraph/{uuid.uuid4().hex}-{name}"
+    _to_the_end.append((spark, path))
+    return path
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back: this cuts the
     lineage and survives the loss of executors. The shuffle files of the job are
@@ -63,13 +71,12 @@ def release(spark: SparkSession) -> None:
     """Remove all scratch tables. To be called only when every result that reads
     them has been written."""
     while _kept:
-        _, path = _kept.pop()
-        remove(spark, path)
+        remove(spark, _kept.pop()[1])
 
 
 @atexit.register
 def _at_exit() -> None:
-    for spark, path in _kept:
+    for spark, path in _kept + _to_the_end:
         try:
             remove(spark, path)
         except Exception:  # noqa: BLE001  the JVM may be gone already

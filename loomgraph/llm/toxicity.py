@@ -220,6 +220,16 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(run, "doc_id long, score double, predicted int")
 
 
+def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs that are not predicted toxic, with all their columns."""
+
+    @F.pandas_udf("double")
+    def scored(texts: pd.Series) -> pd.Series:
+        return pd.Series(model.score([model.features(t) for t in texts]) if len(texts) else [], dtype=float)
+
+    return docs.where(scored(F.col("text").cast("string")) < 0.5)
+
+
 def held_out(column: str = "doc_id"):
     return F.coalesce(crc_mod(column, 5) == 0, F.lit(False))
 
