@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import chat, toxicity
+from loomgraph.llm import chat, langid, toxicity
 from loomgraph.llm.common import WORD, scratch, table
 from loomgraph.llm.decontam import contaminated
+from loomgraph.llm.lines import without_repeated_lines
 from loomgraph.llm.minhash import near_duplicates
 from loomgraph.llm.mixing import mix
+from loomgraph.llm.spans import without_repeats
 from loomgraph.llm.tokens import token_files
 
 #: The end of each document in token files.
@@ -44,6 +46,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return without_repeats(table(spark, sf_dir, "documents"))
+
+
 def op6_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(table(spark, sf_dir, "documents"), scratch(spark, "tokens"), tokenizer_path(), END_ID)
 
@@ -52,7 +58,17 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_chat": op2_chat, "op3_minhash": op3_minhash, "op4_mixing": op4_mixing, "op6_tokens": op6_tokens, "op7_decontaminate": op7_decontaminate}
+def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scorer = langid.fit(docs.where(~langid.held_out()))
+    return langid.identify(docs, scorer).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return without_repeated_lines(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_chat": op2_chat, "op3_minhash": op3_minhash, "op4_mixing": op4_mixing, "op5_spans": op5_spans, "op6_tokens": op6_tokens, "op7_decontaminate": op7_decontaminate, "op8_langid": op8_langid, "op10_lines": op10_lines}
 ORACLES = {
     "op2_chat": r"""
 WITH rows_ AS (
