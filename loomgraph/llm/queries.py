@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import chat, langid, toxicity
+from loomgraph.llm import chat, images, langid, toxicity
 from loomgraph.llm.common import WORD, scratch, table
 from loomgraph.llm.decontam import contaminated
 from loomgraph.llm.lines import without_repeated_lines
@@ -64,11 +64,19 @@ def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, scorer).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op9_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No table holds pictures, so every vector is drawn as one; the queries are
+    cropped and darkened copies of those whose id is divisible by 100."""
+    vectors = table(spark, sf_dir, "embeddings")
+    asked = images.pictures(vectors.where("vec_id % 100 = 0"), crop=True).withColumnRenamed("image_id", "query_id")
+    return images.edited_copies(asked, images.pictures(vectors))
+
+
 def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeated_lines(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_chat": op2_chat, "op3_minhash": op3_minhash, "op4_mixing": op4_mixing, "op5_spans": op5_spans, "op6_tokens": op6_tokens, "op7_decontaminate": op7_decontaminate, "op8_langid": op8_langid, "op10_lines": op10_lines}
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_chat": op2_chat, "op3_minhash": op3_minhash, "op4_mixing": op4_mixing, "op5_spans": op5_spans, "op6_tokens": op6_tokens, "op7_decontaminate": op7_decontaminate, "op8_langid": op8_langid, "op9_images": op9_images, "op10_lines": op10_lines}
 ORACLES = {
     "op2_chat": r"""
 WITH rows_ AS (
