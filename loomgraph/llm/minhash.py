@@ -6,12 +6,11 @@ their full sets. Signatures only choose what to compare: 252 slots in 42 bands o
 6 miss a pair at the threshold of 0.8 with a probability of 3e-6, and less above.
 
 Equal sets collapse into one representative first, so thousands of exact copies
-cost nothing later. Inside a bucket no pairs are enumerated: its members are
-compared with a few centres, linked members are merged, and only buckets that
-still hold several components go on, with twice as many centres each round. A
-large group of near copies is mostly resolved by its first centre; a bucket whose
-members are not similar is compared completely, in rounds. A pair is emitted once,
-in its first common band, and only if its signatures allow the threshold.
+cost nothing later. The members of a bucket are first compared with its centre,
+the one that shares most buckets with others; this links most of a large group of
+near copies. What is still in different components of a bucket is compared then,
+and no link is lost: of those pairs one is emitted only once, in its first common
+band, and only if sizes and signatures allow the threshold.
 """
 
 from __future__ import annotations
@@ -21,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.llm.common import bounded, stored
@@ -136,22 +135,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     for side in "ab":
         pairs = pairs.join(sketches.select(F.col("doc_id").alias(side), F.col("sketch").alias(f"{side}sketch"), F.col("n_shingles").alias(f"{side}n_shingles")), side)
     found = stored(components(stored(verified(stored(pairs.where(alike("a", "b")).select("a", "b"), "near"), texts, width, percent), "links")), "found")
-    n = 1
-    while True:
-        labelled = members.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("component", "doc_id")).drop("component")
-        split = stored(labelled.groupBy("bucket").agg(F.min("label").alias("_l"), F.max("label").alias("_h")).where(f"_l != _h").select("bucket").join(shared.where(f"_n > {n}").select("bucket"), "bucket"), "split")
-        if bounded(split, 0):
-            break
-        ranked = labelled.join(split, "bucket").join(weights, "doc_id").withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("weight"), "doc_id")))
-        ranked = stored(ranked.select("bucket", "band", "doc_id", "label", "rank").join(reps.select("doc_id", "sketch", "n_shingles", "bands"), "doc_id"), "ranked")
-        c = ranked.where(F.col("rank").between(n + 1, 2 * n + 1)).select(*[F.col(x).alias(x if x == "bucket" else f"_{x}") for x in ranked.columns if x != "band"])
-        once = F.forall(F.arrays_zip(F.slice("bands", 1, F.col("band")).alias("x"), F.slice("_bands", 1, F.col("band")).alias("y")), lambda z: z["x"] != z["y"])
-        more = ranked.alias("r").join(c, (F.col("r.bucket") == c["bucket"]) & F.expr("rank > _rank and label != _label") & alike("", "_") & once)
-        near = stored(more.select(F.col("doc_id").alias("a"), F.col("_doc_id").alias("b")), "near")
-        links = stored(verified(near, texts, width, percent), "links")
-        if not bounded(links, 0):
-            found = stored(extended(found, links), "found")
-        n = 2 * n + 1
+    labelled = members.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("component", "doc_id")).drop("component", "_n")
+    # Buckets of two were compared as a whole, others unless all are linked now.
+    split = labelled.groupBy("bucket").agg(F.min("label").alias("_l"), F.max("label").alias("_h"), F.count("*").alias("_n")).where("_l != _h and _n > 2").select("bucket")
+    left = stored(labelled.join(split, "bucket").join(reps.select("doc_id", "sketch", "n_shingles", "bands"), "doc_id"), "left")
+    other = left.select(*[F.col(x).alias(x if x == "bucket" else f"_{x}") for x in left.columns if x != "band"])
+    once = F.forall(F.arrays_zip(F.slice("bands", 1, F.col("band")).alias("x"), F.slice("_bands", 1, F.col("band")).alias("y")), lambda z: z["x"] != z["y"])
+    more = left.alias("r").join(other, (F.col("r.bucket") == other["bucket"]) & F.expr("doc_id > _doc_id and label != _label") & alike("", "_") & once)
+    near = stored(more.select(F.col("doc_id").alias("a"), F.col("_doc_id").alias("b")), "near")
+    found = stored(extended(found, stored(verified(near, texts, width, percent), "links")), "found")
 
     grouped = rep_of.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component_id"))
     # A doc_id of several rows may have been given several representatives.
