@@ -364,7 +364,8 @@ class Compiler:
         # Sort keys that aren't returned are computed here and dropped later.
         outer = Expressions(rows.df, {**rows.vars}, self.params, self.marks(rows))
         for k, (expr, _) in enumerate(order):
-            if not ({x.name for x in walk(expr) if isinstance(x, Var)} <= set(vars)):
+            shadowed = any(isinstance(x, Prop) and isinstance(x.of, Var) and rows.vars.get(x.of.name) in ("node", "rel") and vars.get(x.of.name) == "value" for x in walk(expr))
+            if shadowed or not ({x.name for x in walk(expr) if isinstance(x, Var)} <= set(vars)):
                 columns.append(outer.comparable(expr).alias(f"_o{k}"))
         columns += [col(k) for k in keys]
         columns += [col(c) for c in rows.df.columns if c.startswith("_m") and c[2:].isdigit() and any(self._marks.get(x) == c for o, _ in order for x in walk(o))]

@@ -5,6 +5,7 @@ its negation. Values are three-valued but for `=`, `<>`, IN and IS NULL."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -35,17 +36,34 @@ class Expressions:
     def __init__(self, df: DataFrame, vars: dict[str, str], params: dict, marks: dict | None = None, local: dict | None = None) -> None:
         self.df, self.vars, self.params, self.marks, self.local = df, vars, params, marks or {}, local or {}
         self.columns = set(df.columns)
+        self.log: list | None = None
+        self.replayed = False
 
-    def inside(self, var: str, column: Column) -> Expressions:
-        return Expressions(self.df, self.vars, self.params, self.marks, {**self.local, var: column})
+    def inside(self, var: str, column: Column, log: list, replayed: bool) -> Expressions:
+        out = Expressions(self.df, self.vars, self.params, self.marks, {**self.local, var: column})
+        out.log, out.replayed = log, replayed
+        return out
+
+    def over(self, var: str, items: Column, build: Callable[[Expressions], Column]) -> Callable[[Column], Column]:
+        """The function of a list's elements that build gives. An element has no
+        type before its list is resolved, so the body is built twice: once with a
+        null of the right type, writing down all types asked for, and once with
+        the element, reading them."""
+        kind = self.type_of(items)
+        stand_in = F.lit(None).cast(kind.elementType) if isinstance(kind, T.ArrayType) else F.lit(None)
+        if self.log is not None:
+            return lambda x: build(self.inside(var, x if self.replayed else stand_in, self.log, self.replayed))
+        log: list = []
+        build(self.inside(var, stand_in, log, False))
+        return lambda x: build(self.inside(var, x, log, True))
 
     def type_of(self, column: Column) -> T.DataType:
-        if self.local:  # a list element: only known inside its list
-            try:
-                return self.df.select(column).schema[0].dataType
-            except Exception:  # noqa: BLE001  an unbound lambda variable
-                return T.NullType()
-        return self.df.select(column).schema[0].dataType
+        if self.replayed:
+            return self.log.pop(0)
+        kind = self.df.select(column).schema[0].dataType
+        if self.log is not None:
+            self.log.append(kind)
+        return kind
 
     # Conditions
 
@@ -113,10 +131,7 @@ class Expressions:
 
     def _quantified(self, e: Quantified) -> Column:
         items = self.value(e.items)
-
-        def test(x: Column) -> Column:
-            return F.lit(True) if e.where is None else self.inside(e.var, x).condition(e.where)
-
+        test = self.over(e.var, items, lambda x: F.lit(True) if e.where is None else x.condition(e.where))
         if e.kind == "SINGLE":
             return F.size(F.filter(items, test)) == 1
         if e.kind == "ALL":
@@ -127,8 +142,8 @@ class Expressions:
     def _comprehension(self, e: Comprehension) -> Column:
         items = self.value(e.items)
         if e.where is not None:
-            items = F.filter(items, lambda x: self.inside(e.var, x).condition(e.where))
-        return items if e.value == Var(e.var) else F.transform(items, lambda x: self.inside(e.var, x).value(e.value))
+            items = F.filter(items, self.over(e.var, items, lambda x: x.condition(e.where)))
+        return items if e.value == Var(e.var) else F.transform(items, self.over(e.var, items, lambda x: x.value(e.value)))
 
     def _exists(self, e: Exists) -> Column:
         raise Unknown("a pattern cannot stand here")
