@@ -31,7 +31,8 @@ SIGNED = "doc_id long, n_shingles long, key_a long, key_b long, sketch array<lon
 #: Above so many candidates, their texts are selected by a shuffle join.
 MOST_BROADCAST = 1_000_000
 #: Pairs whose signatures agree in a smaller share of slots are not compared: at a
-#: similarity of 0.8 the share has a deviation of 0.02, so this is 4.5 below.
+#: similarity of 0.8 the share has a deviation of 0.02 for sets of some hundred
+#: shingles and 0.025 for very large ones, so this is 3.6 to 4.5 below.
 LEAST_AGREEING = 0.71
 
 
@@ -115,7 +116,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     rep_of = stored(known.select("doc_id", *keys).join(same, keys).select("doc_id", "rep"), "rep_of")
     reps = known.join(rep_of.where("doc_id = rep").select("doc_id"), "doc_id", "left_semi")
 
-    placed = reps.select("doc_id", F.posexplode("bands").alias("band", "bucket"))
+    placed = reps.select("doc_id", "n_shingles", F.posexplode("bands").alias("band", "bucket"))
     shared = placed.groupBy("bucket").agg(F.count("*").alias("_n")).where("_n > 1")
     members = stored(placed.join(shared, "bucket").dropDuplicates(["bucket", "doc_id"]), "members")
     # What shares most buckets is the likeliest middle of a group.
@@ -130,15 +131,19 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
         n, m = F.col(f"{a}n_shingles"), F.col(f"{b}n_shingles")
         return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (_differing(f"{a}sketch", f"{b}sketch") <= most)
 
-    centre = members.join(weights, "doc_id").groupBy("bucket").agg(F.max_by("doc_id", F.struct("weight", -F.col("doc_id"))).alias("b"))
-    pairs = members.join(centre, "bucket").where("doc_id != b").select(F.col("doc_id").alias("a"), "b").distinct()
+    middle = F.max_by(F.struct("doc_id", "n_shingles"), F.struct("weight", -F.col("doc_id"))).alias("c")
+    centre = stored(members.join(weights, "doc_id").groupBy("bucket").agg(middle).select("bucket", F.col("c.doc_id").alias("b"), F.col("c.n_shingles").alias("n_b")), "centre")
+    sized = members.join(centre, "bucket").where(f"doc_id != b and 100 * least(n_shingles, n_b) >= {percent} * greatest(n_shingles, n_b)")
+    pairs = sized.select(F.col("doc_id").alias("a"), "b").distinct()
     for side in "ab":
         pairs = pairs.join(sketches.select(F.col("doc_id").alias(side), F.col("sketch").alias(f"{side}sketch"), F.col("n_shingles").alias(f"{side}n_shingles")), side)
     found = stored(components(stored(verified(stored(pairs.where(alike("a", "b")).select("a", "b"), "near"), texts, width, percent), "links")), "found")
-    labelled = members.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("component", "doc_id")).drop("component", "_n")
+    labelled = members.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("component", "doc_id")).drop("component", "_n", "n_shingles")
     # Buckets of two were compared as a whole, others unless all are linked now.
     split = labelled.groupBy("bucket").agg(F.min("label").alias("_l"), F.max("label").alias("_h"), F.count("*").alias("_n")).where("_l != _h and _n > 2").select("bucket")
-    left = stored(labelled.join(split, "bucket").join(reps.select("doc_id", "sketch", "n_shingles", "bands"), "doc_id"), "left")
+    # The centre of a bucket has been compared with all of it.
+    rest = labelled.join(split, "bucket").join(centre.select("bucket", "b"), "bucket").where("doc_id != b").drop("b")
+    left = stored(rest.join(reps.select("doc_id", "sketch", "n_shingles", "bands"), "doc_id"), "left")
     other = left.select(*[F.col(x).alias(x if x == "bucket" else f"_{x}") for x in left.columns if x != "band"])
     once = F.forall(F.arrays_zip(F.slice("bands", 1, F.col("band")).alias("x"), F.slice("_bands", 1, F.col("band")).alias("y")), lambda z: z["x"] != z["y"])
     more = left.alias("r").join(other, (F.col("r.bucket") == other["bucket"]) & F.expr("doc_id > _doc_id and label != _label") & alike("", "_") & once)
