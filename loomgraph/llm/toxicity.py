@@ -72,8 +72,10 @@ def compose(first: Transducer, second: Transducer, alphabet: str) -> Transducer:
     return out
 
 
-def grammar() -> Transducer:
-    """I insult, T threat, G target, N negation, R report, O other word."""
+def grammar() -> tuple[Transducer, Transducer]:
+    """Negation and reported speech, composed, which look back; and the target,
+    which is read from both ends of a clause. I insult, T threat, G target, N
+    negation, R report, O other word."""
     reach = 3
     negation = Transducer(other={k: k - 1 for k in range(1, reach + 1)})
     for k in range(reach + 1):
@@ -83,7 +85,7 @@ def grammar() -> Transducer:
     report = Transducer(arcs={(0, "R"): (1, "R", 1.0), (1, "I"): (1, "I", 0.5), (1, "T"): (1, "T", 0.4)})
     # A threat needs a target: alone it counts little.
     target = Transducer(arcs={(0, "G"): (1, "G", 1.0), (1, "I"): (1, "I", 1.5), (0, "T"): (0, "T", 0.1), (1, "T"): (1, "T", 1.5)})
-    return compose(compose(negation, report, "ITGNRO"), target, "ITGNRO")
+    return compose(negation, report, "ITGNRO"), target
 
 
 @dataclass
@@ -93,26 +95,31 @@ class Model:
     terms: dict
     stems: dict
     weights: list = field(default_factory=list)
-    machine: Transducer = field(default_factory=grammar)
+    machines: tuple = field(default_factory=grammar)
 
     def weight(self, word: str) -> float:
         return self.terms.get(word) or self.stems.get(word[:PREFIX], 0.0)
 
     def clause(self, tokens: list[str]) -> float:
-        """The better of reading the clause forwards and backwards, so that a
-        target may stand before or after the insult."""
-        return max(self._run(tokens), self._run(tokens[::-1]))
-
-    def _run(self, tokens: list[str]) -> float:
-        state, total = 0, 0.0
+        """The weight of a clause. A target may stand before or after the insult:
+        the better of both readings counts."""
+        front, target = self.machines
+        state, read = 0, []
         for word in tokens:
             own = self.weight(word)
-            threat = word in THREATS
-            symbol = "I" if own else "T" if threat else "N" if word in NEGATIONS else "G" if word in TARGETS else "R" if word in REPORTS else "O"
-            state, out, factor = self.machine.arcs[state, symbol]
-            if out in "IT":
-                total += factor * (own or 3.0)
-        return total
+            symbol = "I" if own else "T" if word in THREATS else "N" if word in NEGATIONS else "G" if word in TARGETS else "R" if word in REPORTS else "O"
+            state, symbol, factor = front.arcs[state, symbol]
+            if symbol in "ITG":
+                read.append((symbol, factor * (own or 3.0)))
+        best = 0.0
+        for way in (read, read[::-1]):
+            state, total = 0, 0.0
+            for symbol, weight in way:
+                state, symbol, factor = target.step(state, symbol)
+                if symbol != "G":
+                    total += factor * weight
+            best = max(best, total)
+        return best
 
     def features(self, text: str | None) -> list[float]:
         low = (text or "").lower()
