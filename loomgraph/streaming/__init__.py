@@ -1,0 +1 @@
+"""The query language has no streams; nothing is needed here."""
