@@ -67,14 +67,25 @@ class Expressions:
 
     # Conditions
 
-    def condition(self, e: Any) -> Column:
+    def condition(self, e: Any, strict: bool = False) -> Column:
+        """Where null counts as false anyhow, as in a filter, it may be null: a
+        bare comparison can be pushed into the scan. Strict ones never are null."""
         if isinstance(e, Op):
             if e.name == "AND":
-                return self.condition(e.args[0]) & self.condition(e.args[1])
+                return self.condition(e.args[0], strict) & self.condition(e.args[1], strict)
             if e.name == "OR":
-                return self.condition(e.args[0]) | self.condition(e.args[1])
+                return self.condition(e.args[0], strict) | self.condition(e.args[1], strict)
             if e.name == "NOT":
-                return ~self.condition(e.args[0])
+                inner = e.args[0]
+                if isinstance(inner, Op) and inner.name == "IS NULL" and inner not in self.marks:
+                    return ~self.value(inner)
+                return ~self.condition(inner, True)
+        if not strict and isinstance(e, Op) and e.name == "=" and e not in self.marks and any(isinstance(x, Lit) and x.value is not None for x in e.args):
+            # With a constant a plain comparison finds the same rows.
+            a, b = (self.comparable(x) for x in e.args)
+            kinds = self.type_of(a), self.type_of(b)
+            if all(map(is_number, kinds)) or all(map(is_text, kinds)):
+                return a == b
         value = self.value(e)
         kind = self.type_of(value)
         if isinstance(kind, T.NullType) and not self.local:
@@ -83,7 +94,7 @@ class Expressions:
             value = value != 0
         elif is_text(kind):
             return F.lit(False)
-        return F.coalesce(value, F.lit(False))
+        return F.coalesce(value, F.lit(False)) if strict else value
 
     # Values
 
@@ -131,7 +142,7 @@ class Expressions:
 
     def _quantified(self, e: Quantified) -> Column:
         items = self.value(e.items)
-        test = self.over(e.var, items, lambda x: F.lit(True) if e.where is None else x.condition(e.where))
+        test = self.over(e.var, items, lambda x: F.lit(True) if e.where is None else x.condition(e.where, True))
         if e.kind == "SINGLE":
             return F.size(F.filter(items, test)) == 1
         if e.kind == "ALL":
