@@ -7,7 +7,7 @@ enough of an item's windows is looked at again: along the best alignment, each
 slot value of the item must stand for one value of the document. Only DataFrame
 functions are used.
 
-A name is a run of capitalised words inside a sentence: after a lower-case letter,
+A name is a run of up to 16 capitalised words inside a sentence: after a lower-case letter,
 a digit or one of `,;:`, and one space.
 """
 
@@ -27,7 +27,7 @@ CONSISTENT = 0.9
 #: Up to so many rows are broadcast; beyond, rows are shuffled by their key.
 MOST_BROADCAST = 1_000_000
 BLANK = r"[\x20\x09-\x0D]+"
-NAMES = r"([\p{Ll}\p{N},;:] )(\p{Lu}[\p{L}'\-]*(?: \p{Lu}[\p{L}'\-]*)*)"
+NAMES = r"([\p{Ll}\p{N},;:] )(\p{Lu}[\p{L}'\-]*(?: \p{Lu}[\p{L}'\-]*){0,15})"
 NUMBERS = r"(\p{N}+(?:[.,:/]\p{N}+)*)"
 UNITS = "kg|g|mg|lb|lbs|oz|km|m|cm|mm|mi|miles?|feet|ft|inch(?:es)?|hours?|hrs?|minutes?|mins?|seconds?|secs?|days?|weeks?|months?|years?|percent|dollars?|euros?|cents?|pounds?|litres?|liters?|l|ml|mph|kmh"
 PUNCTUATION = r"[^\p{L}\p{N}<>=\x20\x09-\x0D]+"
@@ -47,7 +47,8 @@ def template(text: Column, values: bool = False) -> Column:
 
 def tokens(text: Column, values: bool = False) -> Column:
     """Template tokens; a run of names is one of them."""
-    gap = rf"{BLANK}(?![^<]*>)" if values else BLANK
+    # Not inside a placeholder; 16 words of a name are as good as always shorter.
+    gap = rf"{BLANK}(?![^<>]{{0,600}}>)" if values else BLANK
     return F.filter(F.split(template(text, values), gap), lambda t: t != "")
 
 
