@@ -112,7 +112,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, cove
     aligned = stored(aligned.select("doc_id", "item_id", "shift", "doc_slots", "item_slots"), "aligned")
     key = ["doc_id", "item_id"]
     best = aligned.groupBy(*key, "shift").agg(F.count("*").alias("n")).groupBy(*key).agg(F.max_by("shift", F.struct("n", "shift")).alias("shift"))
-    slots = aligned.join(best, [*key, "shift"]).select(*key, F.explode(F.arrays_zip("item_slots", "doc_slots")).alias("s")).select(*key, "s.item_slots", "s.doc_slots").distinct()
+    # The table compresses so well that Spark would take it for one to broadcast.
+    slots = aligned.hint("merge").join(best, [*key, "shift"]).select(*key, F.explode(F.arrays_zip("item_slots", "doc_slots")).alias("s")).select(*key, "s.item_slots", "s.doc_slots").distinct()
     values = slots.groupBy(*key, "item_slots").agg(F.count("*").alias("n"), F.max((F.col("doc_slots") != F.col("item_slots")).cast("int")).alias("other"))
     checked = values.groupBy(*key).agg(F.count("*").alias("slots"), F.sum("other").alias("changed"), F.avg((F.col("n") == 1).cast("int")).alias("_share"))
     out = held.join(checked, key, "left").where((F.col("_share") >= CONSISTENT) | F.col("_share").isNull())
