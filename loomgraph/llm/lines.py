@@ -66,7 +66,6 @@ def repeated_lines(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame
     places = F.sequence(F.lit(1), "n")
     without = F.transform(places, lambda i: F.struct(i.alias("i"), F.concat(F.substring(F.col("line"), F.lit(1), i - 1), F.substring(F.col("line"), i + 1, F.col("n"))).alias("v")))
     variants = near.select("first", F.explode(without).alias("x")).select("first", F.col("x.i").alias("i"), *_key(F.col("x.v")))
-    variants = stored(variants, "variants")  # four joins and sums read them
     wholes = near.select("first", F.lit(0).alias("i"), *_key(F.col("line")))
     earliest = F.min("first").alias("e")
 
