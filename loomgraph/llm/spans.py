@@ -1,10 +1,11 @@
 """Removal of repeated passages by sliding sentence spans.
 
-A text is cut into sentences, every run of SPAN consecutive sentences with enough
-words is hashed, and equal hashes meet in one aggregation over the whole corpus.
-The first occurrence, by doc_id and then place, stays; every sentence that is
-covered by another occurrence is removed. Long sentences are cut at their commas
-too, so that a passage glued to other text still has whole sentences inside.
+A text is cut into sentences. A span runs from an edge between sentences over SPAN
+sentences, and over further ones until it holds enough words. Spans are hashed by
+their words, and equal hashes meet in one aggregation over the whole corpus. The
+first occurrence, by doc_id and then place, stays; every word that is covered by
+another occurrence is removed. Long sentences are cut at their commas too, so that a
+passage glued to other text still has whole sentences inside.
 """
 
 from __future__ import annotations
@@ -24,60 +25,65 @@ SPAN, LEAST_WORDS, LONG = 2, 10, 24
 
 
 def sentences(texts: list) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each text: the byte at which each sentence's first word starts, its
-    number of words, and a hash of its words.
+    """For each text: the byte at which each word starts, a hash of each word, and
+    the number of each sentence's first word.
 
     A sentence ends with a word that ends in . ! or ? or that a newline follows;
     one of more than LONG words ends at words with a comma or semicolon too."""
     raw = [b"" if t is None else t.encode("utf-8", "surrogatepass") for t in texts]
+    hashes, of = words(texts)
+    at = np.searchsorted(of, np.arange(len(texts) + 1))
     out = []
-    for text in raw:
+    for i, text in enumerate(raw):
         data = np.frombuffer(text + b"\n", np.uint8)
         inside = ~((data == 32) | ((data >= 9) & (data <= 13)))
         edge = np.diff(np.concatenate(([False], inside, [False])).astype(np.int8))
         start, stop = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
         if not len(start):
-            out.append((start, start, start.astype(np.uint64)))
+            out.append((start, start.astype(np.uint64), start))
             continue
         last = data[stop - 1]
         ends = (last == 46) | (last == 33) | (last == 63) | (data[stop] == 10)
         ends[-1] = True
         number = np.concatenate(([0], np.cumsum(ends)[:-1]))
         ends |= ((last == 44) | (last == 59)) & (np.bincount(number)[number] > LONG)
-        first = np.concatenate(([0], np.flatnonzero(ends)[:-1] + 1))
-        n = np.diff(np.concatenate((first, [len(start)])))
-        out.append((start[first], n, first))
-    hashes, of = words(texts)
-    at = np.searchsorted(of, np.arange(len(texts) + 1))
-    up, _ = _tables(int(np.diff(at).max(initial=0)) + 1)
-    for i, (start, n, first) in enumerate(out):
-        if len(start):
-            own = hashes[at[i] : at[i + 1]]
-            place = np.arange(len(own)) - np.repeat(first, n)
-            out[i] = (start, n, mix(np.add.reduceat(mix(own) * up[place], first) + n.astype(np.uint64)))
+        out.append((start, hashes[at[i] : at[i + 1]], np.concatenate(([0], np.flatnonzero(ends)[:-1] + 1))))
     return out
 
 
+def ranges(hashes: np.ndarray, first: np.ndarray, span: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first word of each span, and the word behind it."""
+    edges = np.concatenate((first, [len(hashes)]))
+    m = np.arange(len(edges))
+    # From each edge on, and back from each edge, so that short ends are covered too.
+    stop = np.maximum(m + span, np.searchsorted(edges, edges + least))
+    from_ = np.minimum(m - span, np.searchsorted(edges, edges - least, side="right") - 1)
+    on, back = stop < len(edges), from_ >= 0
+    a = np.concatenate((edges[on], edges[from_[back]]))
+    b = np.concatenate((edges[stop[on]], edges[back]))
+    both = np.unique(a << 32 | b)
+    return both >> 32, both & 0xFFFFFFFF
+
+
 def _spans(span: int, least: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             texts, ids = frame["text"].tolist(), frame["doc_id"].to_numpy()
             for a, b in batches(texts):
-                doc, at, key = [], [], []
-                for i, (_, n, h) in enumerate(sentences(texts[a:b]), a):
-                    m = len(n) - span + 1
-                    if m < 1:
+                doc, at, size, key = [], [], [], []
+                for i, (_, own, first) in enumerate(sentences(texts[a:b]), a):
+                    if not len(own):
                         continue
-                    total, mixed = np.zeros(m, np.int64), np.zeros(m, np.uint64)
-                    for k in range(span):
-                        total += n[k : k + m]
-                        mixed = mix(mixed + h[k : k + m] * np.uint64(_SPREAD[k % 8]))
-                    good = np.flatnonzero(total >= least)
-                    doc.append(np.full(len(good), ids[i], np.int64))
-                    at.append(good)
-                    key.append(mixed[good])
+                    up, down = _tables(len(own) + 1)
+                    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(own) * up[: len(own)], dtype=np.uint64)))
+                    start, stop = ranges(own, first, span, least)
+                    n = stop - start
+                    doc.append(np.full(len(n), ids[i], np.int64))
+                    at.append(start)
+                    size.append(n)
+                    key.append(mix((sums[stop] - sums[start]) * down[start] + n.astype(np.uint64)))
                 if doc:
-                    yield pd.DataFrame({"key": np.concatenate(key).view(np.int64), "doc_id": np.concatenate(doc), "at": np.concatenate(at)})
+                    yield pd.DataFrame({"key": np.concatenate(key).view(np.int64), "doc_id": np.concatenate(doc), "at": np.concatenate(at), "size": np.concatenate(size)})
 
     return run
 
@@ -87,35 +93,44 @@ def _remove(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         texts, gone = frame["text"].tolist(), frame["gone"].tolist()
         for a, b in batches(texts):
             new, total, removed = [], [], []
-            for i, (start, n, _) in enumerate(sentences(texts[a:b]), a):
-                total.append(len(n))
-                if gone[i] is None or not len(gone[i]):
+            for i, (start, own, first) in enumerate(sentences(texts[a:b]), a):
+                total.append(len(first))
+                if gone[i] is None or not len(gone[i]) or not len(own):
                     removed.append(0)
                     new.append(texts[i])
                     continue
                 raw = texts[i].encode("utf-8", "surrogatepass")
+                both = np.asarray(gone[i], np.int64)
+                # Of rows that share a doc_id, one may be shorter than the ranges.
+                step = np.bincount(np.minimum(both >> 32, len(own)), minlength=len(own) + 1) - np.bincount(np.minimum(both & 0xFFFFFFFF, len(own)), minlength=len(own) + 1)
+                lost = np.cumsum(step)[:-1] > 0
+                removed.append(int(np.logical_or.reduceat(lost, first).sum()))
+                turn = np.flatnonzero(np.diff(lost, prepend=True, append=True))
                 edges = [*start.tolist(), len(raw)]
-                lost = {int(k) for k in gone[i]}
-                removed.append(len(lost))
-                kept = [raw[: edges[0]], *(raw[edges[k] : edges[k + 1]] for k in range(len(n)) if k not in lost)]
+                kept = [raw[: edges[0]], *(raw[edges[k] : edges[e]] for k, e in zip(turn[::2].tolist(), turn[1::2].tolist(), strict=True))]
                 new.append(b"".join(kept).decode("utf-8", "surrogatepass"))
             yield pd.DataFrame({"doc_id": frame["doc_id"].iloc[a:b], "text": new, "n_sentences": total, "n_removed": removed})
 
 
 def without_repeats(docs: DataFrame, span: int = SPAN, least_words: int = LEAST_WORDS) -> DataFrame:
     """(doc_id, text, n_sentences, n_removed) for every row of docs (doc_id, text),
-    text being what is left of it.
+    text being what is left of it; n_removed counts the sentences that have lost
+    words, most of them all.
 
     Words are compared with A-Z lower-cased and any white space between them. A
-    span that occurs twice in one document is a repeat there too. Null texts stay
-    null. Rows without doc_id are returned as they are. Rows that share a doc_id
-    and a text are one occurrence. An empty table gives an empty result; other
-    columns are ignored."""
+    span that occurs twice in one document is a repeat there too; where the two
+    overlap, only what is behind the first goes. Null texts stay null. Rows without
+    doc_id are returned as they are. Rows that share a doc_id and a text are one
+    occurrence. An empty table gives an empty result; other columns are ignored."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    spans = stored(docs.where("doc_id is not null and text is not null").mapInPandas(_spans(span, least_words), "key long, doc_id long, at int"), "spans")
+    spans = stored(docs.where("doc_id is not null and text is not null").mapInPandas(_spans(span, least_words), "key long, doc_id long, at int, size int"), "spans")
     again = spans.groupBy("key").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count("*").alias("n")).where("n > 1").select("key", "first")
+    # Stored, so that this shuffle's files are gone before the next one writes its own.
+    again = stored(again, "again")
     covered = spans.join(again, "key").where("doc_id != first.doc_id or at != first.at")
-    covered = covered.select("doc_id", F.explode(F.sequence("at", F.col("at") + span - 1)).alias("at")).groupBy("doc_id").agg(F.collect_set("at").alias("gone"))
+    behind = F.when(F.col("doc_id") == F.col("first.doc_id"), F.greatest(F.col("at"), F.col("first.at") + F.col("size"))).otherwise(F.col("at"))
+    both = F.shiftleft(behind.cast("long"), 32) + F.col("at") + F.col("size")
+    covered = covered.select("doc_id", both.alias("range")).groupBy("doc_id").agg(F.collect_set("range").alias("gone"))
     covered = stored(covered, "covered").withColumnRenamed("doc_id", "_id")
     joined = docs.join(covered, F.col("doc_id") == F.col("_id"), "left").select("doc_id", "text", "gone")
     return joined.mapInPandas(_remove, "doc_id long, text string, n_sentences int, n_removed int")

@@ -225,6 +225,17 @@ def test_spans_odd(odd, none):
     assert without_repeats(none).collect() == []
 
 
+def test_spans_of_short_sentences(spark):
+    passage = " ".join(f"{w}.!!" for w in text(40).split())
+    tail = "A sentence that holds as many as ten words is here. Now one with a few more words than that is here. So. It ends."
+    rows = [(1, f"One begins. {passage}"), (2, f"Two begins here. {passage} Two ends."), (3, tail), (4, f"Glued. {tail}"), (5, "same. " * 100)]
+    got = by_id(without_repeats(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert got[1]["text"] == rows[0][1] and got[3]["text"] == tail
+    assert got[2]["text"] == "Two begins here. Two ends." and got[2]["n_removed"] == 40
+    assert got[4]["text"] == "Glued. " and got[4]["n_removed"] == 4
+    assert got[5]["text"] == "same. " * 10 and got[5]["n_removed"] == 90
+
+
 def test_lines_like_brute_force(spark):
     from functools import cache
 
