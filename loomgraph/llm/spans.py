@@ -1,11 +1,18 @@
-"""Removal of repeated passages by sliding sentence spans.
+"""Removal of repeated passages by sliding spans of sentences and of words.
 
 A text is cut into sentences. A span runs from an edge between sentences over SPAN
-sentences, and over further ones until it holds enough words. Spans are hashed by
+sentences, and over further ones until it holds enough words; a second kind of span
+doesn't look at sentences at all: it runs between cuts that depend on the words
+nearby alone, so that neither glue nor punctuation moves it. All spans are hashed by
 their words, and equal hashes meet in one aggregation over the whole corpus. The
 first occurrence, by doc_id and then place, stays; every word that is covered by
-another occurrence is removed. Long sentences are cut at their commas too, so that a
-passage glued to other text still has whole sentences inside.
+another occurrence is removed.
+
+Word spans miss no passage of 50 words: cuts are the least of every WINDOW hashes of
+two words, so those at least WINDOW - 1 words inside a passage are the same wherever
+it stands, and no more than WINDOW words apart. The first is at most 2 WINDOW - 2
+words from the start, its span holds LONG to LONG + WINDOW - 1 words, and WINDOW
+words more settle its end: 4 WINDOW + LONG - 2 = 50.
 """
 
 from __future__ import annotations
@@ -22,6 +29,8 @@ from loomgraph.llm.shingles import _SPREAD, _tables, batches, words
 
 #: Sentences to a span, words that it needs, words of a sentence that is cut again.
 SPAN, LEAST_WORDS, LONG = 2, 10, 24
+#: Hashes of which the least is a cut; LONG is also what a span of words needs.
+WINDOW = 7
 
 
 def sentences(texts: list) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -51,6 +60,21 @@ def sentences(texts: list) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     return out
 
 
+def cuts(hashes: np.ndarray) -> np.ndarray:
+    """The words at which spans of words start and end."""
+    value = mix(hashes[:-1] * np.uint64(_SPREAD[0]) + hashes[1:] * np.uint64(_SPREAD[1]))
+    n = len(value) - WINDOW + 1
+    if n < 1:
+        return np.zeros(0, np.int64)
+    least = value[:n].copy()
+    for k in range(1, WINDOW):
+        np.minimum(least, value[k : k + n], out=least)
+    most = np.zeros(len(value), np.uint64)
+    for k in range(WINDOW):
+        np.maximum(most[k : k + n], least, out=most[k : k + n])
+    return np.flatnonzero(value == most)
+
+
 def ranges(hashes: np.ndarray, first: np.ndarray, span: int, least: int) -> tuple[np.ndarray, np.ndarray]:
     """The first word of each span, and the word behind it."""
     edges = np.concatenate((first, [len(hashes)]))
@@ -59,8 +83,11 @@ def ranges(hashes: np.ndarray, first: np.ndarray, span: int, least: int) -> tupl
     stop = np.maximum(m + span, np.searchsorted(edges, edges + least))
     from_ = np.minimum(m - span, np.searchsorted(edges, edges - least, side="right") - 1)
     on, back = stop < len(edges), from_ >= 0
-    a = np.concatenate((edges[on], edges[from_[back]]))
-    b = np.concatenate((edges[stop[on]], edges[back]))
+    cut = cuts(hashes)
+    end = np.searchsorted(cut, cut + LONG)
+    whole = end < len(cut)
+    a = np.concatenate((edges[on], edges[from_[back]], cut[whole]))
+    b = np.concatenate((edges[stop[on]], edges[back], cut[end[whole]]))
     both = np.unique(a << 32 | b)
     return both >> 32, both & 0xFFFFFFFF
 

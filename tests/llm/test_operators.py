@@ -236,6 +236,20 @@ def test_spans_of_short_sentences(spark):
     assert got[5]["text"] == "same. " * 10 and got[5]["n_removed"] == 90
 
 
+def test_spans_inside_sentences(spark):
+    from loomgraph.llm.spans import LONG
+
+    passages = [text(50) for _ in range(60)] + [". ".join(text(18) for _ in range(3)) for _ in range(20)]
+    rows = [(k, f"{text(30)} {p} {text(25)}") for k, p in enumerate(passages)] + [(100 + k, f"{text(7)} {p} {text(40)}, {text(3)}") for k, p in enumerate(passages)]
+    got = by_id(without_repeats(spark.createDataFrame(rows, "doc_id long, text string")))
+    for d, t in rows:
+        kept, n = got[d]["text"].split(), len(t.split())
+        if d < 100:
+            assert got[d]["text"] == t
+        else:
+            assert n - 54 <= len(kept) <= n - LONG and kept[:7] == t.split()[:7] and kept[-43:] == t.split()[-43:]
+
+
 def test_lines_like_brute_force(spark):
     from functools import cache
 
