@@ -69,11 +69,13 @@ def _literals(tokens: Column) -> Column:
 
 
 def item_windows(benchmark: DataFrame, width: int) -> DataFrame:
-    """(item_id, windows, window, item_at) of windows with enough literal tokens."""
-    items = benchmark.where("item_id is not null and text is not null").select("item_id", tokens(F.col("text")).alias("t"))
-    placed = items.select("item_id", "t", F.posexplode(windows(F.col("t"), width)).alias("item_at", "window"))
+    """(item_id, item, windows, window, item_at) of windows with enough literal
+    tokens; item is a hash of the text, for texts that share an item_id."""
+    items = benchmark.where("item_id is not null and text is not null").select("item_id", "text").distinct()
+    items = items.select("item_id", F.xxhash64("text").alias("item"), tokens(F.col("text")).alias("t"))
+    placed = items.select("item_id", "item", "t", F.posexplode(windows(F.col("t"), width)).alias("item_at", "window"))
     literal = placed.where(_literals(F.slice("t", F.col("item_at") + 1, width)) >= LEAST_LITERAL)
-    return literal.select("item_id", "item_at", "window", F.count("*").over(Window.partitionBy("item_id")).alias("windows"))
+    return literal.select("item_id", "item", "item_at", "window", F.count("*").over(Window.partitionBy("item_id", "item")).alias("windows"))
 
 
 def _with(big: DataFrame, small: DataFrame, on: str, most: int) -> DataFrame:
@@ -88,12 +90,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, cove
 
     Null texts and ids match nothing; so do items of fewer than `width` template
     tokens or without a window of LEAST_LITERAL literal ones. Repeated rows count
-    once. Empty tables give no rows; other columns are ignored."""
+    once; texts that share an item_id are looked for one by one. Empty tables give no rows; other columns are ignored."""
     docs = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
     items = stored(item_windows(benchmark, width), "items")
     rows = docs.select("doc_id", tokens(F.col("text")).alias("t")).select("doc_id", F.explode(windows(F.col("t"), width)).alias("window"))
-    found = _with(rows, items, "window", most_broadcast).groupBy("doc_id", "item_id", "item_at").agg(F.first("windows").alias("windows"))
-    held = found.groupBy("doc_id", "item_id").agg(F.count("*").alias("matched"), F.first("windows").alias("windows")).where(F.col("matched") >= coverage * F.col("windows"))
+    found = _with(rows, items, "window", most_broadcast).groupBy("doc_id", "item_id", "item", "item_at").agg(F.first("windows").alias("windows"))
+    held = found.groupBy("doc_id", "item_id", "item").agg(F.count("*").alias("matched"), F.first("windows").alias("windows")).where(F.col("matched") >= coverage * F.col("windows"))
     held = stored(held, "held")
 
     # A second look at the few documents that may be copies, with slot values.
@@ -106,15 +108,21 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, cove
         slots = F.filter(F.slice("v", F.col(at) + 1, width), lambda x: F.contains(x, F.lit("<")))
         return own.select(key, at, "window", slots.alias(f"{prefix}_slots"))
 
-    asked = benchmark.join(held.select("item_id").distinct(), "item_id", "left_semi").where("text is not null")
-    pairs = valued(near, "doc_id", "doc_at", "doc").join(held.select("doc_id", "item_id"), "doc_id")
-    aligned = pairs.join(valued(asked, "item_id", "item_at", "item"), ["item_id", "window"]).withColumn("shift", F.col("doc_at") - F.col("item_at"))
-    aligned = stored(aligned.select("doc_id", "item_id", "shift", "doc_slots", "item_slots"), "aligned")
-    key = ["doc_id", "item_id"]
+    asked = benchmark.where("text is not null").select("item_id", F.xxhash64("text").alias("item"), "text").distinct()
+    asked = asked.join(held.select("item_id", "item").distinct(), ["item_id", "item"], "left_semi").select(F.struct("item_id", "item").alias("_item"), "text")
+    asked = valued(asked, "_item", "item_at", "item").select("_item.*", "item_at", "window", "item_slots")
+    pairs = valued(near, "doc_id", "doc_at", "doc").join(held.select("doc_id", "item_id", "item"), "doc_id")
+    aligned = pairs.join(asked, ["item_id", "item", "window"]).withColumn("shift", F.col("doc_at") - F.col("item_at"))
+    aligned = stored(aligned.select("doc_id", "item_id", "item", "shift", "doc_slots", "item_slots"), "aligned")
+    key = ["doc_id", "item_id", "item"]
     best = aligned.groupBy(*key, "shift").agg(F.count("*").alias("n")).groupBy(*key).agg(F.max_by("shift", F.struct("n", "shift")).alias("shift"))
     # The table compresses so well that Spark would take it for one to broadcast.
     slots = aligned.hint("merge").join(best, [*key, "shift"]).select(*key, F.explode(F.arrays_zip("item_slots", "doc_slots")).alias("s")).select(*key, "s.item_slots", "s.doc_slots").distinct()
     values = slots.groupBy(*key, "item_slots").agg(F.count("*").alias("n"), F.max((F.col("doc_slots") != F.col("item_slots")).cast("int")).alias("other"))
     checked = values.groupBy(*key).agg(F.count("*").alias("slots"), F.sum("other").alias("changed"), F.avg((F.col("n") == 1).cast("int")).alias("_share"))
     out = held.join(checked, key, "left").where((F.col("_share") >= CONSISTENT) | F.col("_share").isNull())
-    return out.select(*key, "matched", "windows", F.coalesce("slots", F.lit(0)).cast("long").alias("slots"), F.coalesce("changed", F.lit(0)).cast("long").alias("changed"))
+    out = out.select(*key, "matched", "windows", F.coalesce("slots", F.lit(0)).cast("long").alias("slots"), F.coalesce("changed", F.lit(0)).cast("long").alias("changed"))
+    # Of texts that share an item_id, the one of which most is held.
+    rest = ["matched", "windows", "slots", "changed"]
+    best = out.groupBy("doc_id", "item_id").agg(F.max_by(F.struct(*rest), F.struct(F.col("matched") / F.col("windows"), "matched", "item")).alias("_best"))
+    return best.select("doc_id", "item_id", "_best.*")

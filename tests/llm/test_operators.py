@@ -329,6 +329,14 @@ def test_templates(spark, odd, none):
     assert contaminated(odd, bench).collect() == [] and contaminated(none, bench).collect() == [] and contaminated(docs, bench.limit(0)).collect() == []
 
 
+def test_templates_of_repeated_items(spark):
+    item, other = text(40), text(30)
+    docs = spark.createDataFrame([(1, f"before {item} after"), (2, f"before {other} after"), (3, text(100))], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, item), (1, item), (2, item), (2, other)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): (r["matched"], r["windows"]) for r in contaminated(docs, bench).collect()}
+    assert got == {(1, 1): (36, 36), (1, 2): (36, 36), (2, 2): (26, 26)}
+
+
 # Languages
 
 
