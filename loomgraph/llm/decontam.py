@@ -7,6 +7,10 @@ enough of an item's windows is looked at again: along the best alignment, each
 slot value of the item must stand for one value of the document. Only DataFrame
 functions are used.
 
+Names are told by their case, which a document in capitals lacks. So windows of the
+plain lower-cased words are joined too, and a document that holds enough of those
+has the item word for word: its slots are not looked at.
+
 A name is a run of up to 16 capitalised words inside a sentence: after a lower-case letter,
 a digit or one of `,;:`, and one space.
 """
@@ -52,6 +56,12 @@ def tokens(text: Column, values: bool = False) -> Column:
     return F.filter(F.split(template(text, values), gap), lambda t: t != "")
 
 
+def plain(text: Column) -> Column:
+    """Lower-cased words without punctuation."""
+    out = F.regexp_replace(F.lower(F.translate(text, "<>=", "")), PUNCTUATION, "")
+    return F.filter(F.split(out, BLANK), lambda t: t != "")
+
+
 def _bare(token: Column) -> Column:
     return F.regexp_replace(token, "<(num|name|unit)=[^>]*>", "<$1>")
 
@@ -69,13 +79,18 @@ def _literals(tokens: Column) -> Column:
 
 
 def item_windows(benchmark: DataFrame, width: int) -> DataFrame:
-    """(item_id, item, windows, window, item_at) of windows with enough literal
-    tokens; item is a hash of the text, for texts that share an item_id."""
+    """(item_id, item, plain, windows, window, item_at) of windows with enough
+    literal tokens, numbers among plain words being none; item is a hash of the
+    text, for texts that share an item_id."""
     items = benchmark.where("item_id is not null and text is not null").select("item_id", "text").distinct()
-    items = items.select("item_id", F.xxhash64("text").alias("item"), tokens(F.col("text")).alias("t"))
-    placed = items.select("item_id", "item", "t", F.posexplode(windows(F.col("t"), width)).alias("item_at", "window"))
-    literal = placed.where(_literals(F.slice("t", F.col("item_at") + 1, width)) >= LEAST_LITERAL)
-    return literal.select("item_id", "item", "item_at", "window", F.count("*").over(Window.partitionBy("item_id", "item")).alias("windows"))
+    texts = items.select("item_id", F.xxhash64("text").alias("item"), "text")
+    items = texts.select("item_id", "item", F.lit(False).alias("plain"), tokens(F.col("text")).alias("t"))
+    items = items.union(texts.select("item_id", "item", F.lit(True), plain(F.col("text"))))
+    placed = items.select("item_id", "item", "plain", "t", F.posexplode(windows(F.col("t"), width)).alias("item_at", "window"))
+    own = F.slice("t", F.col("item_at") + 1, width)
+    words = F.size(F.filter(own, lambda t: ~F.rlike(t, F.lit(r"\p{N}"))))
+    literal = placed.where(F.when(F.col("plain"), words).otherwise(_literals(own)) >= LEAST_LITERAL)
+    return literal.select("item_id", "item", "plain", "item_at", "window", F.count("*").over(Window.partitionBy("item_id", "item", "plain")).alias("windows"))
 
 
 def _with(big: DataFrame, small: DataFrame, on: str, most: int) -> DataFrame:
@@ -86,17 +101,21 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, cove
     """A row (doc_id, item_id, matched, windows, slots, changed) for each document
     and item whose template it holds: how many of the item's windows were found,
     how many distinct slot values the item has along the best alignment, and how
-    many of them have another value in the document.
+    many of them have another value in the document. If only the plain words reach
+    the coverage, the windows are theirs, and there are no slots.
 
     Null texts and ids match nothing; so do items of fewer than `width` template
     tokens or without a window of LEAST_LITERAL literal ones. Repeated rows count
     once; texts that share an item_id are looked for one by one. Empty tables give no rows; other columns are ignored."""
     docs = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
     items = stored(item_windows(benchmark, width), "items")
-    rows = docs.select("doc_id", tokens(F.col("text")).alias("t")).select("doc_id", F.explode(windows(F.col("t"), width)).alias("window"))
-    found = _with(rows, items, "window", most_broadcast).groupBy("doc_id", "item_id", "item", "item_at").agg(F.first("windows").alias("windows"))
-    held = found.groupBy("doc_id", "item_id", "item").agg(F.count("*").alias("matched"), F.first("windows").alias("windows")).where(F.col("matched") >= coverage * F.col("windows"))
+    rows = docs.select("doc_id", tokens(F.col("text")).alias("t"), plain(F.col("text")).alias("p"))
+    # Windows without a placeholder are often the same of both kinds.
+    rows = rows.select("doc_id", F.explode(F.array_union(windows(F.col("t"), width), windows(F.col("p"), width))).alias("window"))
+    found = _with(rows, items, "window", most_broadcast).groupBy("doc_id", "item_id", "item", "plain", "item_at").agg(F.first("windows").alias("windows"))
+    held = found.groupBy("doc_id", "item_id", "item", "plain").agg(F.count("*").alias("matched"), F.first("windows").alias("windows")).where(F.col("matched") >= coverage * F.col("windows"))
     held = stored(held, "held")
+    verbatim, held = held.where("plain").drop("plain"), held.where("not plain").drop("plain")
 
     # A second look at the few documents that may be copies, with slot values.
     wanted = held.select("doc_id").distinct()
@@ -122,7 +141,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, cove
     checked = values.groupBy(*key).agg(F.count("*").alias("slots"), F.sum("other").alias("changed"), F.avg((F.col("n") == 1).cast("int")).alias("_share"))
     out = held.join(checked, key, "left").where((F.col("_share") >= CONSISTENT) | F.col("_share").isNull())
     out = out.select(*key, "matched", "windows", F.coalesce("slots", F.lit(0)).cast("long").alias("slots"), F.coalesce("changed", F.lit(0)).cast("long").alias("changed"))
-    # Of texts that share an item_id, the one of which most is held.
+    none = F.lit(0).cast("long")
+    out = out.withColumn("plain", F.lit(False)).union(verbatim.select(*key, "matched", "windows", none, none, F.lit(True)))
+    # The template counts if it is held, and of texts that share an item_id the one
+    # of which most is held.
     rest = ["matched", "windows", "slots", "changed"]
-    best = out.groupBy("doc_id", "item_id").agg(F.max_by(F.struct(*rest), F.struct(F.col("matched") / F.col("windows"), "matched", "item")).alias("_best"))
+    best = out.groupBy("doc_id", "item_id").agg(F.max_by(F.struct(*rest), F.struct(~F.col("plain"), F.col("matched") / F.col("windows"), "matched", "item")).alias("_best"))
     return best.select("doc_id", "item_id", "_best.*")

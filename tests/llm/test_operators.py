@@ -337,6 +337,14 @@ def test_templates_of_repeated_items(spark):
     assert got == {(1, 1): (36, 36), (1, 2): (36, 36), (2, 2): (26, 26)}
 
 
+def test_templates_of_another_case(spark):
+    item = "While Tom was in the old town, he and Sue bought ten red apples, two green pears, a loaf of bread, some salt, and a map of the river, all for 12 euros."
+    docs = spark.createDataFrame([(1, f"BEFORE. {item.upper()} AFTER."), (2, item.title()), (3, item), (4, item.replace("apples", "onions").replace("green", "ripe").upper())], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = {r["doc_id"]: r for r in contaminated(docs, bench).collect()}
+    assert set(got) == {1, 2, 3} and got[1]["matched"] == got[1]["windows"] and got[3]["slots"] > 0
+
+
 # Languages
 
 
