@@ -106,6 +106,15 @@ def test_near_duplicates_like_brute_force(spark):
     assert all(r["kept"] == (r["component_id"] == d) for d, r in got.items())
 
 
+def test_cut_off_loses_less_than_the_bands():
+    from math import ceil, comb
+
+    from loomgraph.llm.minhash import LEAST_AGREEING
+
+    lost = sum(comb(252, k) * 0.8**k * 0.2 ** (252 - k) for k in range(ceil(252 * LEAST_AGREEING)))
+    assert lost < (1 - 0.8**6) ** 42
+
+
 def test_near_duplicates_odd(odd, none):
     rows = near_duplicates(odd).collect()
     assert len(rows) == len(ODD) and sorted(r["n_shingles"] for r in rows) == [0, 0, 0, 1, 1, 1, 2]
