@@ -7,8 +7,9 @@ import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: White space that separates words; everything else is part of a word.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -22,10 +23,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a
-    folder of our own where that is unset (a single machine, as in tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. On a single
+    machine, as in tests, it may be unset, and a folder of our own is taken."""
     set_to = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not set_to:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir is unset: executors and driver need a folder that all of them share")
         set_to = tempfile.mkdtemp(prefix="loomgraph-")
         spark.conf.set("spark.checkpoint.dir", f"file://{set_to}")
         set_to = f"file://{set_to}"
@@ -67,11 +70,22 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Remove all scratch tables. To be called only when every result that reads
-    them has been written."""
-    while _kept:
-        remove(spark, _kept.pop()[1])
+def mark() -> int:
+    """A point in the list of scratch tables, for release()."""
+    return len(_kept)
+
+
+def made_since(point: int) -> list[str]:
+    return [path for _, path in _kept[point:]]
+
+
+def release(spark: SparkSession, paths: list[str]) -> None:
+    """Remove these scratch tables. To be called only when every result that reads
+    them has been written; other tables stay."""
+    for path in paths:
+        remove(spark, path)
+    gone = set(paths)
+    _kept[:] = [k for k in _kept if k[1] not in gone]
 
 
 @atexit.register
@@ -102,23 +116,31 @@ def bounded(df: DataFrame, most: int) -> bool:
     return df.limit(most + 1).count() <= most
 
 
+#: Bytes of a table that may be broadcast.
+MOST_BROADCAST = 32 << 20
+
+
+def _width(kind: T.DataType) -> int:
+    if isinstance(kind, T.StructType):
+        return 8 + sum(_width(f.dataType) for f in kind.fields)
+    if isinstance(kind, T.NumericType | T.BooleanType):
+        return 8
+    raise ValueError(f"the size of {kind.simpleString()} isn't known from its type")
+
+
+def small(df: DataFrame, most: int = MOST_BROADCAST) -> bool:
+    """Whether all rows of df, whose columns are numbers, take at most so many
+    bytes; counts no further than that."""
+    return bounded(df, most // (16 + _width(df.schema)))
+
+
+def sent(df: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
+    """df, to be broadcast if it is small; else a join shuffles it."""
+    return F.broadcast(df) if small(df, most) else df
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit reaches every output bit."""
     x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
     x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
     return x ^ (x >> np.uint64(33))
-
-
-def prefix_sums(df: DataFrame, order: list[str], value: str, into: str, parts: int) -> DataFrame:
-    """Add the sum of `value` over all rows before each row in the given order.
-
-    Rows are range-partitioned; each partition is summed alone, and only one
-    number per partition meets in the small table of bases. Ties are broken by
-    nothing but the columns in `order`, so these should identify a row; rows that
-    are equal in all of them may swap places."""
-    spark = df.sparkSession
-    ranged = stored(df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()), "ranged")
-    own = ranged.groupBy("_part").agg(F.sum(value).alias("_sum"))
-    bases = own.withColumn("_base", F.coalesce(F.sum("_sum").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_part", "_base")
-    within = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return ranged.join(F.broadcast(bases), "_part").withColumn(into, F.col("_base") + F.coalesce(F.sum(value).over(within), F.lit(0))).drop("_part", "_base")

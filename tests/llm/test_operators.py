@@ -271,7 +271,8 @@ def test_lines_like_brute_force(spark):
         return a[i:] == b[i + 1 :] or (len(a) == len(b) and a[i + 1 :] == b[i + 1 :])
 
     pool = ["".join(RNG.choice(list("ab é"), int(RNG.integers(10, 17)))).strip() for _ in range(25)]
-    pool += [p[:k] + c + p[k + e :] for p in pool[:15] for k, c, e in ((0, "", 1), (5, "x", 0), (8, "y", 1), (len(p) - 1, "", 1))] + ["", "short", "shor"]
+    pool += [p[:k] + c + p[k + e :] for p in pool[:15] for k, c, e in ((0, "", 1), (5, "x", 0), (8, "y", 1), (len(p) - 1, "", 1))]
+    pool += ["", "short", "shor", "hort", "one", "ones", "q", "tw", "twx", "Yes!", "Yes", "12345"]
     rows = [(d, "\n".join(pool[i] for i in RNG.integers(0, len(pool), 12))) for d in range(30)]
     got = by_id(without_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")))
     seen: list[str] = []
@@ -279,7 +280,7 @@ def test_lines_like_brute_force(spark):
         kept = []
         for line in t.split("\n"):
             own = line.strip(" ")
-            if own and (own in seen or (len(own) >= 12 and any(len(x) >= 12 and near(x, own) for x in seen))):
+            if own and any(near(x, own) for x in seen):
                 seen.append(own)
                 continue
             if own:
@@ -289,9 +290,34 @@ def test_lines_like_brute_force(spark):
         assert got[d]["n_lines"] == sum(x.strip(" ") != "" for x in t.split("\n"))
 
 
+def test_lines_of_one_edit_at_every_place(spark):
+    base = "".join(RNG.choice(list("abcdefgh"), 37))
+    edits = [base[:k] + c + base[k + e :] for k in range(38) for c, e in (("", 1), ("X", 0), ("Y", 1)) if k < 37 or c == "X"]
+    far = [base[:k] + "XX" + base[k + 2 :] for k in range(35)]
+    rows = [(0, base), *[(k, t) for k, t in enumerate(edits, 1)]]
+    got = by_id(without_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert [got[k]["n_removed"] for k in range(len(rows))] == [0] + [1] * len(edits)
+    got = by_id(without_repeated_lines(spark.createDataFrame([(0, base), (1, far[4]), (2, far[20])], "doc_id long, text string")))
+    assert all(r["n_removed"] == 0 for r in got.values())
+
+
+def test_lines_of_200_000_characters(spark):
+    line = "".join(RNG.choice(list("abcdefgh é"), 199_998))
+    rows = [(1, f"q{line}x"), (2, f"q{line}y"), (3, f"q{line[:777]}z{line[777:]}x"), (4, f"q{line[::-1]}x"), (5, f"qq{line}xy")]
+    got = by_id(without_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert [got[k]["n_removed"] for k in range(1, 6)] == [0, 1, 1, 0, 0] and got[2]["text"] == "" and got[5]["text"] == rows[4][1]
+
+
+def test_lines_of_texts_that_share_an_id(spark):
+    a, b, c = "the first line of all\nand another one", "nothing of this is like\nanything else here", "left alone"
+    got = without_repeated_lines(spark.createDataFrame([(1, a), (2, a), (2, b), (2, b), (3, c)], "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["text"], r["n_removed"]) for r in got) == [(1, a, 0), (2, "", 2), (2, b, 0), (2, b, 0), (3, c, 0)]
+
+
 def test_lines_odd(odd, none):
     rows = without_repeated_lines(odd).collect()
     assert len(rows) == len(ODD) and sum(r["n_removed"] for r in rows) == 0
+    assert without_repeated_lines(odd.withColumn("row", F.lit("x")).withColumn("at", F.lit(1))).count() == len(ODD)
     assert without_repeated_lines(none).collect() == []
 
 
