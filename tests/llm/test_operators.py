@@ -106,13 +106,45 @@ def test_near_duplicates_like_brute_force(spark):
     assert all(r["kept"] == (r["component_id"] == d) for d, r in got.items())
 
 
-def test_cut_off_loses_less_than_the_bands():
-    from math import ceil, comb
+def test_links_at_the_threshold_are_kept(spark):
+    """Chains of copies whose ends a centre cannot link, at and just below 0.8."""
+    rows, k = [], 0
+    for group in range(12):
+        base = text(90).split()
+        for copy in range(14):
+            words = list(base)
+            for at in RNG.choice(range(0, 90, 6), 1 + copy % 5, replace=False):
+                words[at] = f"v{group}x{copy}y{at}"
+            if copy % 4 == 0 and rows:
+                words = rows[-1][1].split()
+                words[3 + 4 * (copy % 11)] = f"n{group}x{copy}"
+            rows.append((k, " ".join(words)))
+            k += 1
+    rows += [(k + i, " ".join(f"u{j}" for j in range(20)) + tail) for i, tail in enumerate(("", " u20 u21 u22 u23", " u20 u21 u22 u23 u24"))]
+    got = by_id(near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4))
+    assert {d: (r["n_shingles"], r["component_id"]) for d, r in got.items()} == brute_groups(rows, 4, 80)
+
 
-    from loomgraph.llm.minhash import LEAST_AGREEING
+def test_differences_from_a_centre_decide(spark):
+    from loomgraph.llm import minhash
 
-    lost = sum(comb(252, k) * 0.8**k * 0.2 ** (252 - k) for k in range(ceil(252 * LEAST_AGREEING)))
-    assert lost < (1 - 0.8**6) ** 42
+    base = text(80).split()
+    rows = [(0, " ".join(base))]
+    for k in range(1, 40):
+        words = list(base)
+        for at in RNG.choice(80, 1 + k % 7, replace=False):
+            words[at] = f"w{at % 3}{k % 5}"
+        rows.append((k, " ".join(words)))
+    sets = {d: set(shingle_sets([t], 4)[0].tolist()) for d, t in rows}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    pairs = spark.createDataFrame([(k, 0) for k in range(1, 40)], "a long, b long")
+    known = minhash.apart(pairs, docs, 4).withColumnRenamed("a", "doc_id")
+    sizes = spark.createDataFrame([(d, len(s), d) for d, s in sets.items()], "doc_id long, n_shingles long, label long")
+    most, minhash.MEMBERS = minhash.MEMBERS, 7
+    got = {tuple(r) for r in minhash._between(known.join(sizes, "doc_id").withColumn("buckets", F.array(F.lit(1).cast("long"))), 80).collect()}
+    minhash.MEMBERS = most
+    assert got == {(a, b) for a, b in itertools.product(range(1, 40), repeat=2) if a > b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    assert got
 
 
 def test_near_duplicates_odd(odd, none):
