@@ -1,18 +1,19 @@
 """Token ids as flat unsigned integer files with 64-bit document offsets.
 
-A folder holds, for each range of doc_id, `part-NNNNN.bin` (the ids of its
-documents, back to back, little-endian, 16 bits wide if the vocabulary allows it
-and else 32) and `part-NNNNN.idx`:
+A folder holds, for each range of the order, `NAME.bin` (the ids of its documents,
+back to back, little-endian, 16 bits wide if the vocabulary allows it and else 32)
+and `NAME.idx`:
 
-    8 bytes   LOOMTOK1
+    8 bytes   LOOMTOK2
     4 x u64   bytes per id, documents, ids, documents whose doc_id is null
     u64 ...   offset of each document in ids, and the end (documents + 1)
-    i64 ...   doc_id of each document, ascending, nulls (written as 0) first
+    i64 ...   doc_id of each document in the order of the file, 0 for null
+    u64 ...   numbers of the documents whose doc_id is null
 
 `manifest.json` lists the parts with the number of ids before each (prefix sums),
-so a document's place in the whole is the base of its part plus its offset. Files
-are written under another name and renamed, so an attempt that dies or runs twice
-leaves one whole file.
+so a document's place in the whole is the base of its part plus its offset. Each
+attempt at a part has a NAME of its own, and the manifest names one attempt's files
+for each part; what other attempts have left is removed.
 """
 
 from __future__ import annotations
@@ -21,7 +22,6 @@ import json
 import os
 import re
 import sys
-import tempfile
 import types
 import uuid
 import zlib
@@ -35,9 +35,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MAGIC = b"LOOMTOK1"
-#: Words whose ids a worker remembers: twice this many at most.
-REMEMBERED = 400_000
+MAGIC = b"LOOMTOK2"
+#: Words whose ids a worker remembers: twice this many at most, some 20 MB.
+REMEMBERED = 50_000
 #: White space that doesn't stand alone, and such a run with the words it touches.
 _TWO, _RUN = re.compile(r"\s\s"), re.compile(r" ?\S*+\s{2,}\S*(?:\s{2,}\S*)*")
 _PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -64,46 +64,52 @@ class _Ids(dict):
                 ids = self[stem] + self.tail(word[len(stem) :])
             else:
                 ids = self.letters(word)
+        return self.keep(word, ids)
+
+    def keep(self, key: str, ids: bytes) -> bytes:
         if len(self) >= REMEMBERED:
             self.old = dict(self)
             self.clear()
-        self[word] = ids
+        self[key] = ids
         return ids
 
     def tail(self, signs: str) -> bytes:
         """Of the punctuation after a word; kept beside the words."""
         key = f"\t{signs}"
         ids = self.get(key)
-        if ids is None:
-            ids = self[key] = self.encode(signs)
-        return ids
+        return self.keep(key, self.encode(signs)) if ids is None else ids
 
 
 class Encoder:
-    def __init__(self, path: str) -> None:
+    """Ids as Tokenizer.encode(text, add_special_tokens=False) gives them. Strings of
+    special tokens in a text become their ids, as by the library's default; with
+    special_as_text they are ordinary text."""
+
+    def __init__(self, path: str, special_as_text: bool = False) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer, models, pre_tokenizers
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = special_as_text
         self.width, self.code = (2, "H") if self.tokenizer.get_vocab_size() <= 1 << 16 else (4, "I")
-        pre = json.loads(self.tokenizer.to_str())
-        kind = pre.get("pre_tokenizer") or {}
+        known = json.loads(self.tokenizer.to_str())
+        # Texts that hold one of these are encoded whole.
+        self.added = [t["content"] for t in known.get("added_tokens") or [] if not (special_as_text and t["special"])]
+        kind = known.get("pre_tokenizer") or {}
         # Only for this kind of tokenizer is it known that words can be cut out.
-        self.by_word = kind.get("type") == "ByteLevel" and kind.get("use_regex") and not kind.get("add_prefix_space") and not pre.get("normalizer") and not pre.get("post_processor")
+        self.by_word = kind.get("type") == "ByteLevel" and kind.get("use_regex") and not kind.get("add_prefix_space") and not known.get("normalizer") and not known.get("post_processor")
         self.piece = None
-        if self.by_word and pre["model"]["type"] == "BPE":
-            own = pre["model"]
+        if self.by_word and known["model"]["type"] == "BPE":
             # The model alone, without the machinery around it: half the time.
-            self.piece = models.BPE(own["vocab"], [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in own["merges"]], cache_capacity=0)
+            self.piece = self.tokenizer.model
             shown = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
             self.shown = {b: shown.pre_tokenize_str(chr(b))[0][0] for b in range(128)}
-            rest = iter(sorted(set(pre_tokenizers.ByteLevel.alphabet()) - set(self.shown.values()), key=ord))
             # Bytes from 128 on: those that are letters or signs stand for
             # themselves, the others follow in order.
-            loose = [b for b in range(128, 256) if chr(b) not in pre_tokenizers.ByteLevel.alphabet()]
+            alphabet = set(pre_tokenizers.ByteLevel.alphabet())
+            loose = [b for b in range(128, 256) if chr(b) not in alphabet]
+            rest = [c for c in sorted(alphabet - set(self.shown.values())) if ord(c) > 255]
             self.shown |= {b: chr(b) for b in range(128, 256) if b not in loose}
-            rest = iter([c for c in rest if ord(c) > 255])
             self.shown |= dict(zip(loose, rest, strict=True))
         self.ids = _Ids(self.direct, self.word)
 
@@ -119,7 +125,7 @@ class Encoder:
 
     def encode(self, text: str) -> bytes:
         """The ids of a whole text, as if it were encoded at once."""
-        if not self.by_word:
+        if not self.by_word or any(t in text for t in self.added):
             return self.direct(text)
         if _plain(text) or not _TWO.search(text):
             return self.simple(text)
@@ -145,9 +151,7 @@ class Encoder:
         """Of a word that has no space before it; kept beside the others."""
         key = f"\n{word}"
         ids = self.ids.get(key)
-        if ids is None:
-            ids = self.ids[key] = self.direct(word)
-        return ids
+        return self.ids.keep(key, self.direct(word)) if ids is None else ids
 
 
 def _plain(text: str) -> bool:
@@ -156,12 +160,13 @@ def _plain(text: str) -> bool:
     return not ("  " in text or "\n\n" in text or " \n" in text or "\n " in text) and text.replace("\n", " ").isprintable()
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, special_as_text: bool) -> Encoder:
     """One per worker process; it outlives the task."""
     state = sys.modules.setdefault("_loomgraph_worker", types.ModuleType("_loomgraph_worker"))
     found = getattr(state, "encoder", None)
-    if found is None or found[0] != path:
-        state.encoder = found = (path, Encoder(path))
+    if found is None or found[0] != (path, special_as_text):
+        state.encoder = None  # the old one goes before the new one comes
+        state.encoder = found = ((path, special_as_text), Encoder(path, special_as_text))
     return found[1]
 
 
@@ -169,97 +174,107 @@ def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
 
 
-def _write(path: str, tokenizer: str, end_id: int):
+def _write(path: str, tokenizer: str, end_id: int, special_as_text: bool):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part, enc, store = TaskContext.get().partitionId(), None, None
         ids: list[np.ndarray] = []
-        offsets, nulls, docs = [np.zeros(1, np.uint64)], 0, 0
+        offsets, nulls, docs = [np.zeros(1, np.uint64)], [], 0
         for frame in frames:
             if not len(frame):
                 continue
             if enc is None:
-                enc = encoder(tokenizer)
+                enc = encoder(tokenizer, special_as_text)
                 end = np.array([end_id], f"<u{enc.width}").tobytes()
                 store, root = filesystem(path)
-                draft = f"{root}/.{uuid.uuid4().hex}"
-                out = store.open_output_stream(f"{draft}.bin")
+                name = f"part-{part:05d}-{uuid.uuid4().hex[:12]}"
+                out = store.open_output_stream(f"{root}/{name}.bin")
             sizes = []
             for text in frame["text"]:
                 raw = enc.encode(text or "") + end
                 out.write(raw)
                 sizes.append(len(raw) // enc.width)
-            missing = frame["doc_id"].isna()
-            nulls += int(missing.sum())
+            nulls.append(docs + np.flatnonzero(frame["doc_id"].isna()))
             docs += len(frame)
             ids.append(frame["doc_id"].fillna(0).astype("int64").to_numpy())
             offsets.append(offsets[-1][-1] + np.cumsum(sizes).astype(np.uint64))
         if enc is None:
             return
         out.close()
-        total = int(offsets[-1][-1])
-        with store.open_output_stream(f"{draft}.idx") as index:
-            index.write(MAGIC + np.array([enc.width, docs, total, nulls], "<u8").tobytes())
-            index.write(np.concatenate(offsets).astype("<u8").tobytes() + np.concatenate(ids).astype("<i8").tobytes())
-        name = f"part-{part:05d}"
-        for kind in ("bin", "idx"):
-            store.move(f"{draft}.{kind}", f"{root}/{name}.{kind}")
+        total, missing = int(offsets[-1][-1]), np.concatenate(nulls)
+        with store.open_output_stream(f"{root}/{name}.idx") as index:
+            index.write(MAGIC + np.array([enc.width, docs, total, len(missing)], "<u8").tobytes())
+            index.write(np.concatenate(offsets).astype("<u8").tobytes() + np.concatenate(ids).astype("<i8").tobytes() + missing.astype("<u8").tobytes())
         yield pd.DataFrame({"part": [part], "name": [name], "n_docs": [docs], "n_tokens": [total]})
 
     return run
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, parts: int | None = None) -> list[dict]:
-    """Encode all texts in ascending doc_id order into the folder `path`, which
-    must be one that all executors share, and return its manifest."""
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, parts: int | None = None, order: tuple = ("doc_id",), special_as_text: bool = False) -> list[dict]:
+    """Encode all texts into the folder `path`, which must be one that all executors
+    share, and return its manifest. The order is by these columns of docs, ascending
+    and nulls first."""
     spark = docs.sparkSession
     store, root = filesystem(path)
     store.create_dir(root, recursive=True)
-    ranged = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    ranged = (ranged.repartitionByRange(parts, "doc_id") if parts else ranged.repartitionByRange("doc_id")).sortWithinPartitions("doc_id")
+    keys = [F.col(c).alias(f"_by_{k}") for k, c in enumerate(order)]
+    by = [f"_by_{k}" for k in range(len(keys))]
+    ranged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *keys)
+    ranged = (ranged.repartitionByRange(parts, *by) if parts else ranged.repartitionByRange(*by)).sortWithinPartitions(*by).select("doc_id", "text")
     # One row per partition comes back.
-    done = sorted((r.asDict() for r in ranged.mapInPandas(_write(path, tokenizer, end_id), "part int, name string, n_docs long, n_tokens long").collect()), key=lambda r: r["part"])
+    done = sorted((r.asDict() for r in ranged.mapInPandas(_write(path, tokenizer, end_id, special_as_text), "part int, name string, n_docs long, n_tokens long").collect()), key=lambda r: r["part"])
     base = 0
     for r in done:
         r["base"] = base
         base += r["n_tokens"]
     with store.open_output_stream(f"{root}/manifest.json") as out:
         out.write(json.dumps({"tokens": base, "parts": done}).encode())
+    named = {f"{r['name']}.{kind}" for r in done for kind in ("bin", "idx")} | {"manifest.json"}
+    for info in store.get_file_info(pafs.FileSelector(root)):
+        if info.base_name not in named and info.is_file:
+            store.delete_file(info.path)
     return done
 
 
-def open_part(path: str, name: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """Ids (memory-mapped), offsets, doc_ids and the number of null doc_ids of a
-    part. A part in a remote store is mapped from an unlinked local copy."""
-    store, root = filesystem(path)
-    with store.open_input_stream(f"{root}/{name}.idx") as f:
-        raw = f.read()
-    if raw[:8] != MAGIC:
-        raise ValueError(f"{name}.idx is not an index of token ids")
-    width, docs, total, nulls = map(int, np.frombuffer(raw, "<u8", 4, 8))
-    offsets = np.frombuffer(raw, "<u8", docs + 1, 40)
-    ids = np.frombuffer(raw, "<i8", docs, 40 + 8 * (docs + 1))
-    if isinstance(store, pafs.LocalFileSystem):
-        data = np.memmap(f"{root}/{name}.bin", f"<u{width}", "r", shape=(total,))
-    else:
-        with tempfile.TemporaryFile() as copy, store.open_input_stream(f"{root}/{name}.bin") as f:
-            while block := f.read(1 << 24):
-                copy.write(block)
-            copy.flush()
-            data = np.memmap(copy, f"<u{width}", "r", shape=(total,))
-    return data, offsets, ids, nulls
+class Part:
+    """A part's offsets, doc_ids and nulls, and its ids, which are memory-mapped, or
+    read piece by piece where the store isn't a mounted one."""
+
+    def __init__(self, path: str, name: str) -> None:
+        store, root = filesystem(path)
+        with store.open_input_stream(f"{root}/{name}.idx") as f:
+            raw = f.read()
+        if raw[:8] != MAGIC:
+            raise ValueError(f"{name}.idx is not an index of token ids")
+        width, docs, self.total, nulls = map(int, np.frombuffer(raw, "<u8", 4, 8))
+        self.kind = np.dtype(f"<u{width}")
+        self.offsets = np.frombuffer(raw, "<u8", docs + 1, 40).astype(np.int64)
+        self.ids = np.frombuffer(raw, "<i8", docs, 40 + 8 * (docs + 1))
+        self.nulls = np.frombuffer(raw, "<u8", nulls, 40 + 8 * (2 * docs + 1)).astype(np.int64)
+        self.data = self.file = None
+        if isinstance(store, pafs.LocalFileSystem):
+            self.data = np.memmap(f"{root}/{name}.bin", self.kind, "r", shape=(self.total,))
+        else:
+            self.file = store.open_input_file(f"{root}/{name}.bin")
+
+    def tokens(self, start: int, stop: int) -> np.ndarray:
+        """The ids from one place of the part to another."""
+        if self.data is not None:
+            return self.data[start:stop]
+        size = self.kind.itemsize
+        return np.frombuffer(self.file.read_at((stop - start) * size, start * size), self.kind)
 
 
 def _read(path: str):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for name, base in zip(frame["name"], frame["base"], strict=True):
-                data, offsets, ids, nulls = open_part(path, name)
-                for a in range(0, len(ids), 10_000):
-                    b = min(a + 10_000, len(ids))
-                    at = offsets[a : b + 1].astype(np.int64)
-                    crc = [zlib.crc32(data[x:y].astype("<u4").tobytes()) for x, y in zip(at[:-1], at[1:], strict=True)]
-                    doc_id = pd.array(ids[a:b], "Int64")
-                    doc_id[: max(0, nulls - a)] = pd.NA
+                part = Part(path, name)
+                for a in range(0, len(part.ids), 10_000):
+                    b = min(a + 10_000, len(part.ids))
+                    at = part.offsets[a : b + 1]
+                    crc = [zlib.crc32(part.tokens(x, y).astype("<u4").tobytes()) for x, y in zip(at[:-1], at[1:], strict=True)]
+                    doc_id = pd.array(part.ids[a:b], "Int64")
+                    doc_id[part.nulls[(part.nulls >= a) & (part.nulls < b)] - a] = pd.NA
                     yield pd.DataFrame({"doc_id": doc_id, "start": base + at[:-1], "n_tokens": np.diff(at), "ids_crc32": crc})
 
     return run
@@ -271,10 +286,11 @@ def read_tokens(spark: SparkSession, path: str, manifest: list[dict]) -> DataFra
     return parts.repartition(max(1, len(manifest))).mapInPandas(_read(path), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, parts: int | None = None) -> DataFrame:
+def token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, parts: int | None = None, order: tuple = ("doc_id",), special_as_text: bool = False) -> DataFrame:
     """Write the files and describe every document as read back from them.
 
-    Null and empty texts hold the end id alone. A null doc_id comes first; rows
-    with the same doc_id stand side by side in any order. An empty table writes an
-    empty manifest and gives no rows; other columns are ignored."""
-    return read_tokens(docs.sparkSession, path, write_tokens(docs, path, tokenizer, end_id, parts))
+    Null and empty texts hold the end id alone. In the order by doc_id a null one
+    comes first, and rows with the same doc_id stand side by side in any order. An
+    empty table writes an empty manifest and gives no rows; other columns are
+    ignored."""
+    return read_tokens(docs.sparkSession, path, write_tokens(docs, path, tokenizer, end_id, parts, order, special_as_text))
