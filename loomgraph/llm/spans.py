@@ -28,7 +28,7 @@ from loomgraph.llm.common import mix, stored
 from loomgraph.llm.shingles import _SPREAD, _tables, batches, words
 
 #: Sentences to a span, words that it needs, words of a sentence that is cut again.
-SPAN, LEAST_WORDS, LONG = 2, 10, 24
+SPAN, LEAST_WORDS, LONG = 2, 24, 24
 #: Hashes of which the least is a cut; LONG is also what a span of words needs.
 WINDOW = 7
 
@@ -95,9 +95,9 @@ def ranges(hashes: np.ndarray, first: np.ndarray, span: int, least: int) -> tupl
 def _spans(span: int, least: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            texts, ids = frame["text"].tolist(), frame["doc_id"].to_numpy()
+            texts, ids, rows = frame["text"].tolist(), frame["doc_id"].to_numpy(), frame["row"].to_numpy()
             for a, b in batches(texts):
-                doc, at, size, key = [], [], [], []
+                doc, row, at, size, key = [], [], [], [], []
                 for i, (_, own, first) in enumerate(sentences(texts[a:b]), a):
                     if not len(own):
                         continue
@@ -106,11 +106,12 @@ def _spans(span: int, least: int):
                     start, stop = ranges(own, first, span, least)
                     n = stop - start
                     doc.append(np.full(len(n), ids[i], np.int64))
+                    row.append(np.full(len(n), rows[i], np.int64))
                     at.append(start)
                     size.append(n)
                     key.append(mix((sums[stop] - sums[start]) * down[start] + n.astype(np.uint64)))
                 if doc:
-                    yield pd.DataFrame({"key": np.concatenate(key).view(np.int64), "doc_id": np.concatenate(doc), "at": np.concatenate(at), "size": np.concatenate(size)})
+                    yield pd.DataFrame({"key": np.concatenate(key).view(np.int64), "doc_id": np.concatenate(doc), "row": np.concatenate(row), "at": np.concatenate(at), "size": np.concatenate(size)})
 
     return run
 
@@ -128,8 +129,7 @@ def _remove(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     continue
                 raw = texts[i].encode("utf-8", "surrogatepass")
                 both = np.asarray(gone[i], np.int64)
-                # Of rows that share a doc_id, one may be shorter than the ranges.
-                step = np.bincount(np.minimum(both >> 32, len(own)), minlength=len(own) + 1) - np.bincount(np.minimum(both & 0xFFFFFFFF, len(own)), minlength=len(own) + 1)
+                step = np.bincount(both >> 32, minlength=len(own) + 1) - np.bincount(both & 0xFFFFFFFF, minlength=len(own) + 1)
                 lost = np.cumsum(step)[:-1] > 0
                 removed.append(int(np.logical_or.reduceat(lost, first).sum()))
                 turn = np.flatnonzero(np.diff(lost, prepend=True, append=True))
@@ -148,16 +148,20 @@ def without_repeats(docs: DataFrame, span: int = SPAN, least_words: int = LEAST_
     span that occurs twice in one document is a repeat there too; where the two
     overlap, only what is behind the first goes. Null texts stay null. Rows without
     doc_id are returned as they are. Rows that share a doc_id and a text are one
-    occurrence. An empty table gives an empty result; other columns are ignored."""
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    spans = stored(docs.where("doc_id is not null and text is not null").mapInPandas(_spans(span, least_words), "key long, doc_id long, at int, size int"), "spans")
-    again = spans.groupBy("key").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count("*").alias("n")).where("n > 1").select("key", "first")
+    occurrence, and rows that share only a doc_id are texts of their own, in the
+    order of a hash. An empty table gives an empty result; other columns are
+    ignored."""
+    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("row", F.xxhash64("text"))
+    place = ["doc_id", "row", "at"]
+    spans = stored(docs.where("doc_id is not null and text is not null").mapInPandas(_spans(span, least_words), "key long, doc_id long, row long, at int, size int"), "spans")
+    again = spans.groupBy("key").agg(F.min(F.struct(*place)).alias("first"), F.count("*").alias("n")).where("n > 1").select("key", "first")
     # Stored, so that this shuffle's files are gone before the next one writes its own.
     again = stored(again, "again")
-    covered = spans.join(again, "key").where("doc_id != first.doc_id or at != first.at")
-    behind = F.when(F.col("doc_id") == F.col("first.doc_id"), F.greatest(F.col("at"), F.col("first.at") + F.col("size"))).otherwise(F.col("at"))
+    covered = spans.join(again, "key").where(F.struct(*place) != F.col("first"))
+    own = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("row") == F.col("first.row"))
+    behind = F.when(own, F.greatest(F.col("at"), F.col("first.at") + F.col("size"))).otherwise(F.col("at"))
     both = F.shiftleft(behind.cast("long"), 32) + F.col("at") + F.col("size")
-    covered = covered.select("doc_id", both.alias("range")).groupBy("doc_id").agg(F.collect_set("range").alias("gone"))
-    covered = stored(covered, "covered").withColumnRenamed("doc_id", "_id")
-    joined = docs.join(covered, F.col("doc_id") == F.col("_id"), "left").select("doc_id", "text", "gone")
+    covered = covered.select("doc_id", "row", both.alias("range")).groupBy("doc_id", "row").agg(F.collect_set("range").alias("gone"))
+    covered = stored(covered, "covered").select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), "gone")
+    joined = docs.join(covered, (F.col("doc_id") == F.col("_id")) & (F.col("row") == F.col("_row")), "left").select("doc_id", "text", "gone")
     return joined.mapInPandas(_remove, "doc_id long, text string, n_sentences int, n_removed int")
