@@ -1,12 +1,16 @@
-"""Edited and cropped copies of images, by local descriptors.
+"""Edited, cropped, turned and resized copies of images, by local descriptors.
 
-An image is a grey-scale array. Harris corners of several scales get an
-orientation from the moments of their patch; 256 comparisons of fixed point pairs,
-turned by that orientation, make a binary descriptor. Descriptors of query and
-index images meet where they agree in one of eight 32-bit words (a Hamming table
-for each word: up to seven differing bits cannot spread over all eight). For each
-pair of images, matches vote for a scale and a shift; the votes of one cell are
-the geometric consensus.
+An image is a grey-scale array. Harris corners of several scales, the strongest of
+each tile, get an orientation from the moments of their patch; 256 comparisons of
+fixed point pairs, turned by that orientation, make a binary descriptor.
+Descriptors of query and index images meet where they agree in one of eight 32-bit
+words (a Hamming table for each word). Up to seven differing bits cannot spread
+over all eight, and no more are accepted, so the tables find every match.
+
+For each pair of images, matches vote for a scale, a turn and a shift; the votes of
+one cell are the geometric consensus, and a similarity transform is fitted to them.
+At last the two images are laid over each other by that transform: where they
+overlap, their grey values must correlate.
 
 Equal images fold into one class first, and only classes are compared.
 """
@@ -19,65 +23,105 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import stored
-
-SCALES = (1.0, 0.71, 0.5)
-CORNERS, BITS, RADIUS = 16, 256, 7
-#: Descriptor bits that may differ, votes that make a match, pixels to a cell.
-MOST_BITS, LEAST_VOTES, CELL = 32, 7, 6
-DESCRIBED = "x double, y double, scale double, angle double, words array<int>"
+from loomgraph.llm.common import sent, stored
+
+SCALES = (1.0, 0.89, 0.79, 0.71, 0.63, 0.56, 0.5)
+#: Corners of each tile of so many pixels square, and of each scale.
+CORNERS, TILE = 5, 32
+BITS, RADIUS, BLUR = 256, 10, 2
+#: Descriptor bits that may differ: one less than there are tables.
+TABLES, MOST_BITS = 8, 7
+#: Votes that make a candidate, pixels to a cell, steps to a full turn.
+LEAST_VOTES, CELL, TURNS = 2, 8, 12
+#: Correlation of the grey values, and the overlap, of the smaller image's pixels.
+LEAST_CORRELATION, LEAST_OVERLAP = 0.85, 0.4
+WORDS = [f"w{k}" for k in range(TABLES)]
+DESCRIBED = "key long, no int, x float, y float, scale float, angle float, " + ", ".join(f"{w} int" for w in WORDS)
+#: Pixels that are worked on at a time.
+PIXELS = 1 << 18
 _rng = np.random.default_rng(20240607)
 _PAIRS = np.clip(_rng.normal(0, RADIUS / 2.2, (BITS, 2, 2)), -RADIUS + 2, RADIUS - 2)
 
 
+def _unfiltered(data: np.ndarray, at: int, h: int, line: int, step: int) -> tuple[np.ndarray, int]:
+    """Rows of a PNG whose filters are undone: h rows of so many bytes, step bytes
+    to a pixel, from data[at:]; and where the next ones start."""
+    out = np.zeros((h + 1, line + step), np.int32)
+    for y in range(h):
+        kind, own = data[at], data[at + 1 : at + 1 + line].astype(np.int32)
+        at += 1 + line
+        up = out[y, step:]
+        if kind == 1:
+            padded = np.zeros(-(-line // step) * step, np.int32)
+            padded[:line] = own
+            own = np.cumsum(padded.reshape(-1, step), axis=0).ravel()[:line]
+        elif kind == 2:
+            own = own + up
+        if kind < 3:
+            out[y + 1, step:] = own & 255
+            continue
+        row, above = out[y + 1].tolist(), out[y].tolist()
+        for x, v in enumerate(own.tolist(), step):
+            a, b, c = row[x - step], above[x], above[x - step]
+            if kind == 3:
+                guess = (a + b) // 2
+            else:
+                to_a, to_b, to_c = abs(b - c), abs(a - c), abs(a + b - 2 * c)
+                guess = a if to_a <= to_b and to_a <= to_c else b if to_b <= to_c else c
+            row[x] = (v + guess) & 255
+        out[y + 1] = row
+    return out[1:, step:].astype(np.uint8), at
+
+
+def _png(raw: bytes) -> np.ndarray | None:
+    at, data, palette = 8, b"", None
+    while at < len(raw):
+        n, kind = struct.unpack(">I4s", raw[at : at + 8])
+        body = raw[at + 8 : at + 8 + n]
+        if kind == b"IHDR":
+            w, h, depth, colour, _, _, interlaced = struct.unpack(">IIBBBBB", body)
+        elif kind == b"PLTE":
+            palette = np.frombuffer(body, np.uint8).reshape(-1, 3).astype(np.float32)
+        elif kind == b"IDAT":
+            data += body
+        at += 12 + n
+    channels = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[colour]
+    flat, at = np.frombuffer(zlib.decompress(data), np.uint8), 0
+    # Rows and columns of each pass: first one and step.
+    passes = ((0, 0, 8, 8), (0, 4, 8, 8), (4, 0, 8, 4), (0, 2, 4, 4), (2, 0, 4, 2), (0, 1, 2, 2), (1, 0, 2, 1)) if interlaced else ((0, 0, 1, 1),)
+    out = np.zeros((h, w, channels), np.float32)
+    for y, x, dy, dx in passes:
+        rows, columns = len(range(y, h, dy)), len(range(x, w, dx))
+        if not rows or not columns:
+            continue
+        line = (columns * channels * depth + 7) // 8
+        own, at = _unfiltered(flat, at, rows, line, max(1, channels * depth // 8))
+        if depth == 16:
+            values = own.view(">u2").astype(np.float32) / (1 if colour == 3 else 257)
+        elif depth == 8:
+            values = own.astype(np.float32)
+        else:
+            bits = np.unpackbits(own, axis=1)[:, : columns * depth].reshape(rows, columns, depth)
+            values = (bits * (1 << np.arange(depth)[::-1])).sum(2).astype(np.float32) * (1 if colour == 3 else 255 / ((1 << depth) - 1))
+        out[y::dy, x::dx] = values.reshape(rows, columns, channels)
+    if colour == 3:
+        return palette[out[:, :, 0].astype(int)].mean(axis=2)
+    return out[:, :, :3].mean(axis=2) if channels >= 3 else out[:, :, 0]
+
+
 def decode(raw: bytes | None) -> np.ndarray | None:
-    """An 8-bit grey or RGB(A) PNG, or a binary PGM, as a grey array; None for
-    anything else."""
+    """A PNG of any kind or an 8-bit binary PGM as a grey array of 0 to 255; None
+    for anything else."""
     try:
         if raw[:2] == b"P5":
             head = raw.split(maxsplit=4)
             w, h = int(head[1]), int(head[2])
             return np.frombuffer(raw[-w * h :], np.uint8).reshape(h, w).astype(np.float32)
-        if raw[:8] != b"\x89PNG\r\n\x1a\n":
-            return None
-        at, data = 8, b""
-        while at < len(raw):
-            n, kind = struct.unpack(">I4s", raw[at : at + 8])
-            if kind == b"IHDR":
-                w, h, depth, colour, _, _, interlace = struct.unpack(">IIBBBBB", raw[at + 8 : at + 21])
-            elif kind == b"IDAT":
-                data += raw[at + 8 : at + 8 + n]
-            at += 12 + n
-        depth_of = {0: 1, 2: 3, 4: 2, 6: 4}
-        if depth != 8 or interlace or colour not in depth_of:
-            return None
-        c = depth_of[colour]
-        rows = np.frombuffer(zlib.decompress(data), np.uint8).reshape(h, 1 + w * c)
-        out = np.zeros((h + 1, w + 1, c), np.int32)
-        for y in range(h):
-            kind, line = rows[y, 0], rows[y, 1:].reshape(w, c).astype(np.int32)
-            if kind == 0:
-                out[y + 1, 1:] = line
-            elif kind == 1:
-                out[y + 1, 1:] = np.cumsum(line, axis=0) & 255
-            elif kind == 2:
-                out[y + 1, 1:] = (line + out[y, 1:]) & 255
-            else:
-                for x in range(w):
-                    a, b, d = out[y + 1, x], out[y, x + 1], out[y, x]
-                    if kind == 3:
-                        guess = (a + b) // 2
-                    else:
-                        p = a + b - d
-                        pa, pb, pd_ = abs(p - a), abs(p - b), abs(p - d)
-                        guess = np.where((pa <= pb) & (pa <= pd_), a, np.where(pb <= pd_, b, d))
-                    out[y + 1, x + 1] = (line[x] + guess) & 255
-        grey = out[1:, 1:, :3].mean(axis=2) if c >= 3 else out[1:, 1:, 0]
-        return grey.astype(np.float32)
-    except (ValueError, TypeError, IndexError, KeyError, struct.error, zlib.error, UnboundLocalError):
+        return _png(raw).astype(np.float32) if raw[:8] == b"\x89PNG\r\n\x1a\n" else None
+    except (ValueError, TypeError, IndexError, KeyError, AttributeError, struct.error, zlib.error, UnboundLocalError):
         return None
 
 
@@ -87,115 +131,243 @@ def encode_pgm(image: np.ndarray) -> bytes:
 
 
 def resized(image: np.ndarray, scale: float) -> np.ndarray:
-    h, w = (max(1, round(n * scale)) for n in image.shape)
+    h, w = (max(1, round(n * scale)) for n in image.shape[-2:])
     y, x = np.meshgrid((np.arange(h) + 0.5) / scale - 0.5, (np.arange(w) + 0.5) / scale - 0.5, indexing="ij")
     return sampled(image, y, x)
 
 
 def sampled(image: np.ndarray, y: np.ndarray, x: np.ndarray) -> np.ndarray:
-    h, w = image.shape
+    """Grey values between pixels, of an image or of each of a stack; beyond the
+    edge those at the edge."""
+    h, w = image.shape[-2:]
     y, x = np.clip(y, 0, h - 1), np.clip(x, 0, w - 1)
     a, b = np.floor(y).astype(int), np.floor(x).astype(int)
     c, d = np.minimum(a + 1, h - 1), np.minimum(b + 1, w - 1)
     u, v = y - a, x - b
-    return image[a, b] * (1 - u) * (1 - v) + image[a, d] * (1 - u) * v + image[c, b] * u * (1 - v) + image[c, d] * u * v
-
-
-def _box(image: np.ndarray, r: int) -> np.ndarray:
-    """Mean over a square, by running sums."""
-    for axis in (0, 1):
-        wide = np.pad(image, [(r + 1, r) if k == axis else (0, 0) for k in (0, 1)], mode="edge").cumsum(axis=axis)
-        n = image.shape[axis]
-        image = (np.take(wide, range(2 * r + 1, 2 * r + 1 + n), axis) - np.take(wide, range(n), axis)) / (2 * r + 1)
-    return image
-
-
-def describe(image: np.ndarray) -> list[tuple]:
-    """(x, y, scale, angle, words) of the strongest corners of each scale."""
-    out = []
+    return image[..., a, b] * (1 - u) * (1 - v) + image[..., a, d] * (1 - u) * v + image[..., c, b] * u * (1 - v) + image[..., c, d] * u * v
+
+
+def _box(images: np.ndarray, r: int) -> np.ndarray:
+    """Mean over a square of each image of a stack, by running sums."""
+    for axis in (1, 2):
+        wide = np.pad(images, [(r + 1, r) if k == axis else (0, 0) for k in range(3)], mode="edge").cumsum(axis=axis)
+        n = images.shape[axis]
+        images = (np.take(wide, range(2 * r + 1, 2 * r + 1 + n), axis) - np.take(wide, range(n), axis)) / (2 * r + 1)
+    return images
+
+
+def _corners(images: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(image, y, x) of the strongest Harris corners of each tile of a stack."""
+    gy, gx = np.gradient(images, axis=(1, 2))
+    a, b, c = _box(gx * gx, 2), _box(gy * gy, 2), _box(gx * gy, 2)
+    strength = a * b - c * c - 0.05 * (a + b) ** 2
+    inner = np.zeros_like(strength)
+    cut = (slice(None), slice(RADIUS, -RADIUS), slice(RADIUS, -RADIUS))
+    inner[cut] = strength[cut]
+    peak = inner.copy()
+    for dy in (-1, 0, 1):
+        for dx in (-1, 0, 1):
+            peak = np.maximum(peak, np.roll(inner, (dy, dx), (1, 2)))
+    of, y, x = np.nonzero((inner > 1e-3) & (inner >= peak))
+    tile = (of * (images.shape[1] // TILE + 1) + y // TILE) * (images.shape[2] // TILE + 1) + x // TILE
+    order = np.lexsort((x, y, -inner[of, y, x], tile))
+    tile = tile[order]
+    first = np.searchsorted(tile, tile)
+    keep = order[np.arange(len(order)) - first < CORNERS]
+    return of[keep], y[keep], x[keep]
+
+
+def describe(images: np.ndarray) -> pd.DataFrame:
+    """Descriptors (no, of, x, y, scale, angle, w0 to w7) of a stack of images of
+    one size; places are relative to the middle of the image."""
+    out, (_, height, width) = [], images.shape
+    r = np.arange(-RADIUS, RADIUS + 1)
+    inside = (r[:, None] ** 2 + r[None] ** 2 <= RADIUS**2).astype(float)
     for scale in SCALES:
-        im = _box(resized(image, scale) if scale != 1 else image.astype(np.float64), 1)
-        h, w = im.shape
-        if min(h, w) < 2 * RADIUS + 3:
+        scaled = resized(images, scale) if scale != 1 else images
+        if min(scaled.shape[1:]) < 2 * RADIUS + 3:
             continue
-        gy, gx = np.gradient(im)
-        a, b, c = _box(gx * gx, 2), _box(gy * gy, 2), _box(gx * gy, 2)
-        strength = a * b - c * c - 0.05 * (a + b) ** 2
-        strength[:RADIUS], strength[-RADIUS:], strength[:, :RADIUS], strength[:, -RADIUS:] = 0, 0, 0, 0
-        peak = strength.copy()
-        for dy in (-1, 0, 1):
-            for dx in (-1, 0, 1):
-                peak = np.maximum(peak, np.roll(strength, (dy, dx), (0, 1)))
-        at = np.flatnonzero((strength.ravel() > 1e-3) & (strength.ravel() >= peak.ravel()))
-        at = at[np.argsort(-strength.ravel()[at], kind="stable")[:CORNERS]]
-        y, x = np.divmod(at, w)
-        r = np.arange(-RADIUS, RADIUS + 1)
-        inside = (r[:, None] ** 2 + r[None] ** 2 <= RADIUS**2).astype(float)
-        patch = im[y[:, None, None] + r[None, :, None], x[:, None, None] + r[None, None, :]] * inside
-        angle = np.arctan2((patch * r[None, :, None]).sum((1, 2)), (patch * r[None, None, :]).sum((1, 2)))
-        cos, sin = np.cos(angle)[:, None, None], np.sin(angle)[:, None, None]
-        py, px = _PAIRS[None, :, :, 0], _PAIRS[None, :, :, 1]
-        values = sampled(im, y[:, None, None] + sin * px + cos * py, x[:, None, None] + cos * px - sin * py)
-        bits = np.packbits(values[:, :, 0] < values[:, :, 1], axis=1).view(np.int32)
-        out += [(float(x[k] / scale), float(y[k] / scale), scale, float(angle[k]), bits[k]) for k in range(len(at))]
-    return out
+        of, y, x = _corners(_box(scaled.astype(np.float64), 1))
+        scaled = _box(scaled.astype(np.float64), BLUR)
+        for k in range(0, len(of), 1000):
+            i, v, u = of[k : k + 1000], y[k : k + 1000], x[k : k + 1000]
+            patch = scaled[i[:, None, None], v[:, None, None] + r[None, :, None], u[:, None, None] + r[None, None, :]] * inside
+            angle = np.arctan2((patch * r[None, :, None]).sum((1, 2)), (patch * r[None, None, :]).sum((1, 2)))
+            cos, sin = np.cos(angle)[:, None, None], np.sin(angle)[:, None, None]
+            py, px = _PAIRS[None, :, :, 0], _PAIRS[None, :, :, 1]
+            at_y, at_x = v[:, None, None] + sin * px + cos * py, u[:, None, None] + cos * px - sin * py
+            h, w = scaled.shape[1:]
+            at_y, at_x = np.clip(at_y, 0, h - 1.001), np.clip(at_x, 0, w - 1.001)
+            b, a = at_y.astype(int), at_x.astype(int)
+            f, g, flat = at_y - b, at_x - a, scaled.reshape(-1)
+            place = (i[:, None, None] * h + b) * w + a
+            values = (flat[place] * (1 - g) + flat[place + 1] * g) * (1 - f) + (flat[place + w] * (1 - g) + flat[place + w + 1] * g) * f
+            words = np.packbits(values[:, :, 0] < values[:, :, 1], axis=1).view(np.int32)
+            found = pd.DataFrame(words, columns=WORDS)
+            found.insert(0, "angle", angle.astype(np.float32))
+            found.insert(0, "scale", np.float32(scale))
+            found.insert(0, "y", ((v + 0.5) / scale - height / 2).astype(np.float32))
+            found.insert(0, "x", ((u + 0.5) / scale - width / 2).astype(np.float32))
+            found.insert(0, "of", i)
+            out.append(found)
+    return pd.concat(out) if out else pd.DataFrame({"of": []})
 
 
 def _describe(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
-        for a in range(0, len(frame), 500):
-            rows = []
-            for key, raw in zip(frame["key"].iloc[a : a + 500], frame["image"].iloc[a : a + 500], strict=True):
-                image = decode(raw)
-                if image is not None:
-                    rows += [(key, *d) for d in describe(image)]
-            yield pd.DataFrame(rows, columns=["key", "x", "y", "scale", "angle", "words"])
+        stacks: dict[tuple, list] = {}
+
+        def done(shape: tuple) -> Iterator[pd.DataFrame]:
+            keys, images = zip(*stacks.pop(shape), strict=True)
+            found = describe(np.stack(images))
+            if len(found):
+                found["no"] = found.groupby("of").cumcount().astype(np.int32)
+                found["key"] = np.array(keys)[found["of"].to_numpy()]
+                yield found[["key", "no", "x", "y", "scale", "angle", *WORDS]]
+
+        for key, raw in zip(frame["key"], frame["image"], strict=True):
+            image = decode(raw)
+            if image is not None and image.size:
+                stack = stacks.setdefault(image.shape, [])
+                stack.append((key, image))
+                if len(stack) * image.size >= PIXELS:
+                    yield from done(image.shape)
+        for shape in list(stacks):
+            yield from done(shape)
 
 
 def descriptors(images: DataFrame) -> DataFrame:
-    """(key, x, y, scale, angle, words) of images (key, image)."""
-    return images.select("key", "image").mapInPandas(_describe, f"key long, {DESCRIBED}")
+    """(key, no, x, y, scale, angle, w0 to w7) of images (key, image)."""
+    return images.select("key", "image").mapInPandas(_describe, DESCRIBED)
+
+
+def unreadable(images: DataFrame) -> DataFrame:
+    """image_id of the images (image_id, image) that edited_copies cannot decode."""
+
+    @F.pandas_udf("boolean")
+    def known(raw: pd.Series) -> pd.Series:
+        return raw.map(lambda x: decode(x) is not None).astype(bool)
+
+    return images.where("image is null").select("image_id").union(images.where("image is not null").where(~known("image")).select("image_id"))
+
+
+def _correlation(a: np.ndarray, b: np.ndarray, turn: tuple) -> tuple[float, float]:
+    """Of the grey values of a and of b where the transform (p, q, x, y) puts a's
+    pixels on b; and how much of the smaller image overlaps."""
+    p, q, dx, dy = turn
+    h, w = a.shape
+    step = max(1, int(np.sqrt(a.size / 40_000)))  # some 40,000 pixels are enough
+    v, u = np.meshgrid(np.arange(0, h, step) + 0.5 - h / 2, np.arange(0, w, step) + 0.5 - w / 2, indexing="ij")
+    x, y = p * u - q * v + dx + b.shape[1] / 2 - 0.5, q * u + p * v + dy + b.shape[0] / 2 - 0.5
+    on = (x >= 0) & (y >= 0) & (x <= b.shape[1] - 1) & (y <= b.shape[0] - 1)
+    if on.sum() < 50:
+        return 0.0, 0.0
+    zoom = p * p + q * q
+    overlap = on.mean() / min(1.0, b.size / max(a.size * zoom, 1e-9))
+    left, right = a[::step, ::step][on], sampled(b, y[on], x[on])
+    left, right = left - left.mean(), right - right.mean()
+    return float((left * right).sum() / (np.sqrt((left**2).sum() * (right**2).sum()) + 1e-9)), float(overlap)
+
+
+def _confirm(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        good = []
+        for raw_a, raw_b, turn in zip(frame["q_image"], frame["i_image"], frame[["p", "q", "dx", "dy"]].itertuples(index=False), strict=True):
+            correlation, overlap = _correlation(decode(raw_a), decode(raw_b), tuple(turn))
+            good.append(correlation >= LEAST_CORRELATION and overlap >= LEAST_OVERLAP)
+        yield frame.loc[good, ["q_key", "i_key", "votes"]]
+
+
+def _meeting(asked: DataFrame, known: DataFrame) -> DataFrame:
+    """Matching descriptors (q_key, q_x, .., i_key, i_x, ..), each pair once."""
+
+    def tables(of: DataFrame, side: str) -> DataFrame:
+        words = F.posexplode(F.array(*WORDS)).alias("word", "value")
+        return of.select(F.col("key").alias(f"{side}_key"), F.col("no").alias(f"{side}_no"), words)
+
+    def whole(of: DataFrame, side: str) -> DataFrame:
+        return of.select(*[F.col(c).alias(f"{side}_{c}") for c in of.columns])
+
+    # Only numbers of descriptors meet in the tables; what they are comes after.
+    pairs = tables(known, "i").join(sent(tables(asked, "q")), ["word", "value"]).drop("word", "value").distinct()
+    pairs = stored(pairs, "pairs")
+    half = whole(known, "i").join(sent(pairs), ["i_key", "i_no"])
+    met = half.join(sent(whole(asked, "q")), ["q_key", "q_no"])
+    # bit_count() widens a negative number by 32 bits that are set.
+    differ = sum((F.bit_count(F.col(f"q_{w}").bitwiseXOR(F.col(f"i_{w}")).cast("long").bitwiseAND(F.lit(0xFFFFFFFF))) for w in WORDS), F.lit(0))
+    return met.where(differ <= MOST_BITS)
 
 
 def edited_copies(queries: DataFrame, images: DataFrame) -> DataFrame:
     """(query_id, class_id, copies, votes): the classes of equal images that each
-    query image shows a part or an edit of. class_id is the least id of the class.
+    query image shows a part or an edit of. class_id is the least id of the class;
+    votes are the query's corners that agree on how the one lies in the other.
 
     queries: (query_id, image); images: (image_id, image). Null ids and images and
-    what cannot be decoded match nothing. Images without corners match nothing.
-    Repeated queries count once; other columns are ignored; empty tables give an
-    empty result."""
+    what cannot be decoded match nothing (unreadable() names them). Images without
+    corners, or of fewer than 23 pixels in height or width, match nothing. Of
+    repeated queries with one id the least image counts; other columns are ignored;
+    empty tables give an empty result."""
     known = images.where("image_id is not null and image is not null").select(F.col("image_id").cast("long"), "image")
     classes = known.groupBy(F.sha2("image", 256).alias("same")).agg(F.min("image_id").alias("key"), F.countDistinct("image_id").alias("copies"), F.first("image").alias("image"))
-    classes = stored(classes.select("key", "copies", "image"), "classes")
+    # One id may stand for several images; the least counts as its class's.
+    classes = stored(classes.groupBy("key").agg(F.min_by(F.struct("copies", "image"), "same").alias("c")).select("key", "c.*"), "classes")
     asked = queries.where("query_id is not null and image is not null").groupBy(F.col("query_id").cast("long").alias("key")).agg(F.min("image").alias("image"))
-
-    def tables(of: DataFrame, name: str) -> DataFrame:
-        d = stored(descriptors(of), name)
-        sides = d.select(*[F.col(x).alias(f"{name}_{x}") for x in d.columns])
-        return sides.select("*", F.posexplode(f"{name}_words").alias("word", "value"))
-
-    met = tables(asked, "q").join(tables(classes, "i"), ["word", "value"])
-    differ = F.aggregate(F.zip_with("q_words", "i_words", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, x: s + x)
-    # A descriptor pair that agrees in several words is taken in the first of them.
-    first = F.array_position(F.zip_with("q_words", "i_words", lambda a, b: a == b), F.lit(True)) - 1
-    met = met.where((F.col("word") == first) & (differ <= MOST_BITS))
-    ratio = F.round(2 * F.log2(F.col("q_scale") / F.col("i_scale"))).cast("int")
-    zoom = F.pow(F.lit(2.0), ratio / 2)
-    cell = [F.floor((F.col(f"q_{c}") * zoom - F.col(f"i_{c}")) / CELL) for c in "xy"]
-    # Each match votes for its cell and the next ones, so a shift at an edge counts.
-    near = F.explode(F.array(*[F.struct((cell[0] + i).alias("x"), (cell[1] + j).alias("y")) for i in (0, 1) for j in (0, 1)]))
-    votes = met.select("q_key", "i_key", ratio.alias("ratio"), near.alias("cell"), F.struct("q_x", "q_y").alias("point"))
-    counted = votes.groupBy("q_key", "i_key", "ratio", "cell").agg(F.size(F.collect_set("point")).alias("votes"))
-    best = counted.groupBy("q_key", "i_key").agg(F.max("votes").cast("long").alias("votes")).where(F.col("votes") >= LEAST_VOTES)
+    asked = stored(asked, "asked")
+    met = _meeting(stored(descriptors(asked), "q"), stored(descriptors(classes), "i"))
+
+    zoom, turn = F.col("q_scale") / F.col("i_scale"), F.col("i_angle") - F.col("q_angle")
+    x = F.col("i_x") - zoom * (F.cos(turn) * F.col("q_x") - F.sin(turn) * F.col("q_y"))
+    y = F.col("i_y") - zoom * (F.sin(turn) * F.col("q_x") + F.cos(turn) * F.col("q_y"))
+    steps = F.floor(turn * TURNS / (2 * np.pi))
+    # Each match votes for its cell and the next ones, so one at an edge counts.
+    ratio = F.floor(3 * F.log2(zoom) + 0.25)
+    near = [(z, k, i, j) for z in (0, 1) for k in (0, 1) for i in (0, 1) for j in (0, 1)]
+    cells = F.explode(F.array(*[F.struct((ratio + z).alias("ratio"), F.pmod(steps + k, F.lit(TURNS)).alias("turn"), (F.floor(x / CELL) + i).alias("x"), (F.floor(y / CELL) + j).alias("y")) for z, k, i, j in near]))
+    votes = met.select("q_key", "i_key", cells.alias("cell"), *[F.col(f"{s}_{c}").cast("double").alias(f"{s}_{c}") for s in "qi" for c in "xy"])
+
+    # Votes, and the least-squares fit of (i_x, i_y) = (p x - q y + dx, q x + p y + dy).
+    def total(of: str) -> Column:
+        return F.sum(F.expr(of))
+
+    sums = {"n": F.count("*"), "sx": total("q_x"), "sy": total("q_y"), "su": total("i_x"), "sv": total("i_y"), "sr": total("q_x * q_x + q_y * q_y"), "sp": total("q_x * i_x + q_y * i_y"), "sq": total("q_x * i_y - q_y * i_x")}
+    counted = votes.groupBy("q_key", "i_key", "cell").agg(F.countDistinct("q_x", "q_y").alias("votes"), F.countDistinct("i_x", "i_y").alias("_i"), *[c.alias(k) for k, c in sums.items()])
+    counted = counted.withColumn("votes", F.least("votes", "_i")).withColumn("den", F.expr("sr - (sx * sx + sy * sy) / n")).where((F.col("votes") >= LEAST_VOTES) & (F.col("den") > 1))
+    counted = counted.withColumn("p", F.expr("(sp - (sx * su + sy * sv) / n) / den")).withColumn("q", F.expr("(sq - (sx * sv - sy * su) / n) / den"))
+    counted = counted.withColumn("dx", F.expr("(su - p * sx + q * sy) / n")).withColumn("dy", F.expr("(sv - q * sx - p * sy) / n"))
+    best = counted.groupBy("q_key", "i_key").agg(F.max_by(F.struct("votes", "p", "q", "dx", "dy"), F.struct("votes", "cell")).alias("b")).select("q_key", "i_key", "b.*")
+    best = stored(best, "best")
+    shown = classes.select(F.col("key").alias("i_key"), F.col("image").alias("i_image")).join(sent(best), "i_key")
+    shown = shown.join(asked.select(F.col("key").alias("q_key"), F.col("image").alias("q_image")), "q_key")
+    good = shown.select("q_key", "i_key", "votes", "p", "q", "dx", "dy", "q_image", "i_image").mapInPandas(_confirm, "q_key long, i_key long, votes long")
     named = classes.select(F.col("key").alias("i_key"), "copies")
-    return best.join(named, "i_key").select(F.col("q_key").alias("query_id"), F.col("i_key").alias("class_id"), "copies", "votes")
+    return good.join(named, "i_key").select(F.col("q_key").alias("query_id"), F.col("i_key").alias("class_id"), "copies", "votes")
 
 
-def pictures(vectors: DataFrame, crop: bool = False) -> DataFrame:
+EDITS = ("crop", "turn", "tilt", "half", "zoom")
+
+
+def edited(image: np.ndarray, edit: str) -> np.ndarray:
+    """A crop that is darker and of less contrast, a quarter turn, a tilt by 20
+    degrees of the middle, three quarters of the height and two thirds of the width,
+    or four fifths of the size."""
+    h, w = image.shape
+    if edit == "crop":
+        return 10 + 0.8 * image[round(h * 0.09) : round(h * 0.91), round(w * 0.06) : round(w * 0.88)]
+    if edit == "turn":
+        return np.rot90(image)
+    if edit == "half":
+        return image[h // 4 :, : -(-2 * w // 3)]
+    if edit == "zoom":
+        return resized(image, 0.8)
+    side, t = int(min(h, w) * 0.72), np.deg2rad(20)
+    y, x = np.meshgrid(np.arange(side) - (side - 1) / 2, np.arange(side) - (side - 1) / 2, indexing="ij")
+    return sampled(image, (h - 1) / 2 + np.cos(t) * y - np.sin(t) * x, (w - 1) / 2 + np.sin(t) * y + np.cos(t) * x)
+
+
+def pictures(vectors: DataFrame, edit: str | None = None) -> DataFrame:
     """Draw each vector (vec_id, embedding) as a picture of 64 by 64 pixels, a
-    smooth field with one bump per number; or, with crop, an edited copy of it:
-    a part of it, darker and of less contrast."""
+    smooth field with one bump per number; or an edited copy of it."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -211,9 +383,7 @@ def pictures(vectors: DataFrame, crop: bool = False) -> DataFrame:
                 at = np.linspace(0, side - 1, 64)
                 y, x = np.meshgrid(at, at, indexing="ij")
                 image = np.clip(128 + 45 * sampled(grid, y, x), 0, 255)
-                if crop:
-                    image = 10 + 0.8 * image[6:58, 4:56]
-                images.append(encode_pgm(image))
+                images.append(encode_pgm(edited(image, edit) if edit else image))
             yield pd.DataFrame({"image_id": frame["vec_id"], "image": images})
 
     return vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).mapInPandas(run, "image_id long, image binary")

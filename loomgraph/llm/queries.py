@@ -68,7 +68,7 @@ def op9_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     """No table holds pictures, so every vector is drawn as one; the queries are
     cropped and darkened copies of those whose id is divisible by 100."""
     vectors = table(spark, sf_dir, "embeddings")
-    asked = images.pictures(vectors.where("vec_id % 100 = 0"), crop=True).withColumnRenamed("image_id", "query_id")
+    asked = images.pictures(vectors.where("vec_id % 100 = 0"), "crop").withColumnRenamed("image_id", "query_id")
     return images.edited_copies(asked, images.pictures(vectors))
 
 

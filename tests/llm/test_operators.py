@@ -18,7 +18,7 @@ from loomgraph.llm.mixing import SCHEDULES, integral, mix, position
 from loomgraph.llm.queries import tokenizer_path
 from loomgraph.llm.shingles import shingle_sets, superminhash
 from loomgraph.llm.spans import without_repeats
-from loomgraph.llm.tokens import Encoder, open_part, token_files, write_tokens
+from loomgraph.llm.tokens import Encoder, Part, token_files, write_tokens
 
 #: Null ids and texts, empty and blank ones, a repeated row, a name that clashes.
 ODD = [(None, "a b c d e f", "s", 1), (1, None, None, 1), (2, "", "s", 1), (3, " \n\t ", "s", 1), (4, "x", "s", 1), (4, "x", "s", 1), (5, "y " * 5000, "s", 1)]
@@ -255,9 +255,61 @@ def test_mix_odd(odd, none):
 def test_spans(spark):
     passage = "This is a sentence of the passage that repeats. Here comes another one with many words in it. And a third one ends it here."
     rows = [(1, f"Start one here now. {passage} Own end of the first."), (2, f"Glued before {passage} Then other words follow here."), (3, "All of this is clean. Nothing repeats in it at all today.")]
-    got = by_id(without_repeats(spark.createDataFrame(rows, "doc_id long, text string")))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = by_id(without_repeats(docs, least_words=10))
     assert got[1]["n_removed"] == 0 and got[1]["text"] == rows[0][1] and got[3]["text"] == rows[2][1]
     assert got[2]["n_removed"] == 2 and got[2]["text"] == "Glued before This is a sentence of the passage that repeats. Then other words follow here."
+    # By default, so few words that repeat are no passage.
+    assert by_id(without_repeats(docs))[2]["text"] == rows[1][1]
+
+
+def brute_spans(rows, span, least):
+    """What is left of each text by comparing words as they are, span by span."""
+    from loomgraph.llm.spans import cuts, sentences
+
+    seen, kept = {}, {}
+    long = 24
+    for (d, t) in sorted(rows):
+        (start, hashes, first), = sentences([t])
+        w = [x.lower() for x in t.split()]
+        edges = [*first.tolist(), len(w)]
+        found = set()
+        for m in range(len(edges)):
+            stop = next((k for k in range(m + span, len(edges)) if edges[k] - edges[m] >= least), None)
+            begin = next((k for k in range(m - span, -1, -1) if edges[m] - edges[k] >= least), None)
+            found |= {(edges[m], edges[stop])} if stop is not None else set()
+            found |= {(edges[begin], edges[m])} if begin is not None else set()
+        cut = cuts(hashes).tolist()
+        for c in cut:
+            end = next((e for e in cut if e - c >= long), None)
+            found |= {(c, end)} if end is not None else set()
+        lost = set()
+        for a, b in sorted(found):
+            e, at = seen.setdefault(tuple(w[a:b]), (d, a))
+            if (e, at) != (d, a):
+                lost |= set(range(a if e != d else max(a, at + b - a), b))
+        kept[d] = [x for k, x in enumerate(t.split()) if k not in lost]
+    return kept
+
+
+def test_spans_like_brute_force(spark):
+    passages = [". ".join(text(int(n)) for n in RNG.integers(2, 30, 5)) + "." for _ in range(6)]
+    rows = []
+    for k in range(60):
+        parts = [text(int(RNG.integers(0, 20))), passages[k % 6] if k % 3 else text(40), text(5) + ".", passages[RNG.integers(6)][: int(RNG.integers(50, 400))], text(12)]
+        rows.append((k, " ".join(parts).strip()))
+    got = by_id(without_repeats(spark.createDataFrame(rows, "doc_id long, text string")))
+    want = brute_spans(rows, 2, 24)
+    assert {d: r["text"].split() for d, r in got.items()} == want
+    assert any(len(want[d]) < len(t.split()) for d, t in rows)
+
+
+def test_spans_of_texts_that_share_an_id(spark):
+    a, b, c = text(60), text(60), text(30)
+    got = without_repeats(spark.createDataFrame([(1, a), (2, a), (2, b), (2, b), (3, c)], "doc_id long, text string")).collect()
+    assert sorted(r["text"] for r in got if r["doc_id"] != 2) == sorted([a, c])
+    left = sorted((r["text"] for r in got if r["doc_id"] == 2), key=len)
+    assert len(left[0].split()) < 40 and left[1:] == [b, b]
 
 
 def test_spans_odd(odd, none):
@@ -270,7 +322,7 @@ def test_spans_of_short_sentences(spark):
     passage = " ".join(f"{w}.!!" for w in text(40).split())
     tail = "A sentence that holds as many as ten words is here. Now one with a few more words than that is here. So. It ends."
     rows = [(1, f"One begins. {passage}"), (2, f"Two begins here. {passage} Two ends."), (3, tail), (4, f"Glued. {tail}"), (5, "same. " * 100)]
-    got = by_id(without_repeats(spark.createDataFrame(rows, "doc_id long, text string")))
+    got = by_id(without_repeats(spark.createDataFrame(rows, "doc_id long, text string"), least_words=10))
     assert got[1]["text"] == rows[0][1] and got[3]["text"] == tail
     assert got[2]["text"] == "Two begins here. Two ends." and got[2]["n_removed"] == 40
     assert got[4]["text"] == "Glued. " and got[4]["n_removed"] == 4
@@ -356,31 +408,73 @@ def test_lines_odd(odd, none):
 # Token files
 
 
-def test_encoder_is_exact():
-    enc = Encoder(tokenizer_path())
-    parts = [*"ab A.,'s1 \n\t é字  \r%", "<|endoftext|>", "don't", "\n\n", " \n", "word", "...", "-->"]
+def library(text, special_as_text=False):
+    """The library's own tokenizer, untouched but for that switch."""
+    from tokenizers import Tokenizer
+
+    if special_as_text not in _LIBRARY:
+        _LIBRARY[special_as_text] = Tokenizer.from_file(tokenizer_path())
+        if special_as_text:
+            _LIBRARY[special_as_text].encode_special_tokens = True
+    return _LIBRARY[special_as_text].encode(text, add_special_tokens=False).ids
+
+
+_LIBRARY: dict = {}
+
+
+@pytest.mark.parametrize("special_as_text", [False, True])
+def test_encoder_is_exact(special_as_text):
+    enc = Encoder(tokenizer_path(), special_as_text)
+    parts = [*"ab A.,'s1 \n\t é字  \r%", "<|endoftext|>", "don't", "\n\n", " \n", "word", "...", "-->", "\u0085", "ß²", "<|endoftext"]
     for _ in range(4000):
         t = "".join(RNG.choice(parts, int(RNG.integers(0, 14))))
-        assert enc.encode(t) == enc.direct(t), t
+        assert np.frombuffer(enc.encode(t), np.uint16).tolist() == library(t, special_as_text), t
+    assert library("a <|endoftext|> b") == [64, 220, 50256, 275]
+
+
+def test_encoder_forgets(monkeypatch):
+    from loomgraph.llm import tokens
+
+    monkeypatch.setattr(tokens, "REMEMBERED", 30)
+    enc = Encoder(tokenizer_path())
+    for _ in range(300):
+        t = text(20)
+        assert np.frombuffer(enc.encode(t), np.uint16).tolist() == library(t)
+        assert len(enc.ids) <= 30 and len(enc.ids.old) <= 30
 
 
 def test_token_files(spark, odd, none, tmp_path):
-    rows = [(k * 3 % 50, text(int(RNG.integers(0, 40)))) for k in range(50)]
+    rows = [(k * 3 % 50, text(int(RNG.integers(0, 40))) + (" <|endoftext|> x" if k % 9 == 0 else "")) for k in range(50)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = token_files(docs, str(tmp_path / "t"), tokenizer_path(), 0, 3).collect()
-    enc, at = Encoder(tokenizer_path()), 0
-    for r, (d, t) in zip(sorted(got, key=lambda r: r["start"]), sorted(rows), strict=True):
-        ids = np.append(np.frombuffer(enc.direct(t), np.uint16), 0)
-        assert (r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) == (d, at, len(ids), zlib.crc32(ids.astype("<u4").tobytes()))
-        at += len(ids)
+
+    def check(got, wanted):
+        at = 0
+        for r, (d, t) in zip(sorted(got, key=lambda r: r["start"]), wanted, strict=True):
+            ids = np.append(library(t), 0)
+            assert (r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) == (d, at, len(ids), zlib.crc32(ids.astype("<u4").tobytes()))
+            at += len(ids)
+        return at
+
+    at = check(token_files(docs, str(tmp_path / "t"), tokenizer_path(), 0, 3).collect(), sorted(rows))
     parts = write_tokens(docs, str(tmp_path / "u"), tokenizer_path(), 0, 3)
-    whole = np.concatenate([open_part(str(tmp_path / "u"), p["name"])[0] for p in parts])
-    assert len(whole) == at and [p["base"] for p in parts] == list(np.cumsum([0, *[p["n_tokens"] for p in parts]])[:-1])
+    read = [Part(str(tmp_path / "u"), p["name"]) for p in parts]
+    assert sum(len(p.tokens(0, p.total)) for p in read) == at and [p["base"] for p in parts] == list(np.cumsum([0, *[p["n_tokens"] for p in parts]])[:-1])
+    assert isinstance(read[0].data, np.memmap) and len(list((tmp_path / "u").iterdir())) == 2 * len(parts) + 1
+    by_text = docs.withColumn("at", F.md5("text"))
+    check(token_files(by_text, str(tmp_path / "v"), tokenizer_path(), 0, 3, ("at", "doc_id")).collect(), sorted(rows, key=lambda r: (hashlib.md5(r[1].encode()).hexdigest(), r[0])))
     rows = sorted(token_files(odd, str(tmp_path / "o"), tokenizer_path()).collect(), key=lambda r: r["start"])
     assert len(rows) == len(ODD) and rows[0]["doc_id"] is None and [r["n_tokens"] for r in rows[1:3]] == [1, 1]
+    rows = sorted(token_files(odd, str(tmp_path / "w"), tokenizer_path(), order=("text",)).collect(), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in rows] == [1, 2, 3, None, 4, 4, 5]
     assert token_files(none, str(tmp_path / "n"), tokenizer_path()).collect() == []
 
 
+def test_token_files_of_a_long_text(spark, tmp_path):
+    long = "word and another. " * 60_000
+    got = token_files(spark.createDataFrame([(1, long), (2, "x")], "doc_id long, text string"), str(tmp_path / "l"), tokenizer_path(), 0, 1).collect()
+    assert sorted(r["n_tokens"] for r in got) == [2, len(library(long)) + 1]
+
+
 # Decontamination
 
 
@@ -464,25 +558,87 @@ def test_code_lengths_are_exact():
 # Images
 
 
-def test_images(spark):
-    vectors = spark.createDataFrame([(k, [float(x) for x in RNG.normal(size=64)]) for k in range(30)] + [(30, None), (None, [1.0, 2.0])], "vec_id long, embedding array<double>")
-    twice = vectors.union(vectors.where("vec_id = 3").withColumn("vec_id", F.lit(31).cast("long")))
-    asked = images.pictures(vectors.where("vec_id < 10"), crop=True).withColumnRenamed("image_id", "query_id")
-    got = {(r["query_id"], r["class_id"]): r for r in images.edited_copies(asked, images.pictures(twice)).collect()}
-    assert sum((k, k) in got for k in range(10)) >= 9 and got[3, 3]["copies"] == 2
-    assert sum(a != b for a, b in got) <= 10
-    assert images.edited_copies(asked.limit(0), images.pictures(twice)).collect() == []
+def drawn(spark, n=30, size=64):
+    return spark.createDataFrame([(k, [float(x) for x in RNG.normal(size=size)]) for k in range(n)], "vec_id long, embedding array<double>")
 
 
-def test_png():
+def test_images(spark):
+    vectors = drawn(spark).union(spark.createDataFrame([(40, None), (None, [1.0, 2.0]), (41, [])], "vec_id long, embedding array<double>"))
+    shown = images.pictures(vectors.union(vectors.where("vec_id = 3").withColumn("vec_id", F.lit(31).cast("long"))))
+    found = {}
+    for k, edit in enumerate(images.EDITS):
+        one = images.pictures(vectors.where("vec_id < 10"), edit).select((F.col("image_id") + 1000 * k).alias("query_id"), "image")
+        asked = one if not k else asked.union(one)
+    asked = asked.withColumn("copies", F.lit("x")).withColumn("key", F.lit(1))
+    for r in images.edited_copies(asked, shown.withColumn("votes", F.lit(0))).collect():
+        found.setdefault(r["query_id"], {})[r["class_id"]] = r["copies"]
+    right = [sum(k in found.get(k + 1000 * e, {}) for k in range(10)) for e in range(len(images.EDITS))]
+    assert right[0] == right[1] == 10 and min(right) >= 8 and sum(right) >= 47
+    assert all(set(c) == {q % 1000} for q, c in found.items()) and found[3][3] == 2
+    assert images.edited_copies(asked.limit(0), shown).collect() == [] and images.edited_copies(asked, shown.limit(0)).collect() == []
+    junk = spark.createDataFrame([(1, b"junk"), (2, None), (None, b"P5 1 1 255\n0"), (3, bytes(images.encode_pgm(np.zeros((30, 30)))))], "image_id long, image binary")
+    assert images.edited_copies(junk.withColumnRenamed("image_id", "query_id"), junk).collect() == []
+    assert {r[0] for r in images.unreadable(junk).collect()} == {1, 2}
+
+
+def test_hamming_tables_find_all(spark):
+    from loomgraph.llm.common import stored
+
+    vectors = drawn(spark, 12)
+    a = stored(images.descriptors(images.pictures(vectors, "crop").withColumnRenamed("image_id", "key")), "a")
+    b = stored(images.descriptors(images.pictures(vectors).withColumnRenamed("image_id", "key")), "b")
+    got = {(r["q_key"], r["q_no"], r["i_key"], r["i_no"]) for r in images._meeting(a, b).collect()}
+    left, right = ([(r["key"], r["no"], np.array([r[w] for w in images.WORDS], np.int32)) for r in d.collect()] for d in (a, b))
+    want = {(k, i, m, j) for k, i, x in left for m, j, y in right if np.bitwise_count((x ^ y).view(np.uint32)).sum() <= images.MOST_BITS}
+    assert got == want and len(want) > 50
+
+
+def test_corners_follow_the_size(spark):
+    """A small part of a large picture is found: corners are kept by tile."""
+    field = images.resized(RNG.normal(128, 60, (40, 40)), 10)
+    whole, part = (images.encode_pgm(x) for x in (field, field[250:330, 30:120]))
+    other = images.encode_pgm(images.resized(RNG.normal(128, 60, (40, 40)), 10))
+    shown = spark.createDataFrame([(1, whole), (2, other)], "image_id long, image binary")
+    got = images.edited_copies(spark.createDataFrame([(7, part)], "query_id long, image binary"), shown).collect()
+    assert [(r["query_id"], r["class_id"]) for r in got] == [(7, 1)]
+
+
+def png(image, colour=0, depth=8, palette=None, interlaced=False):
     import struct
 
-    image = RNG.integers(0, 256, (9, 7), np.uint8)
-
     def chunk(kind, data):
         return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
 
-    rows = b"".join(bytes([1]) + np.diff(r.astype(int), prepend=0).astype(np.uint8).tobytes() for r in image)
-    raw = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 7, 9, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b"")
-    assert (images.decode(raw) == image).all() and (images.decode(images.encode_pgm(image)) == image).all()
-    assert images.decode(b"junk") is None and images.decode(None) is None
+    h, w = image.shape[:2]
+    passes = ((0, 0, 8, 8), (0, 4, 8, 8), (4, 0, 8, 4), (0, 2, 4, 4), (2, 0, 4, 2), (0, 1, 2, 2), (1, 0, 2, 1)) if interlaced else ((0, 0, 1, 1),)
+    rows = b""
+    for y, x, dy, dx in passes:
+        part = image[y::dy, x::dx]
+        step = max(1, depth // 8 * (image.shape[2] if image.ndim == 3 else 1))
+        above = None
+        for k, r in enumerate(part if part.size else []):
+            raw = np.frombuffer(r.astype(">u2").tobytes() if depth == 16 else np.packbits(np.unpackbits(r[:, None], axis=1)[:, -depth:].ravel()).tobytes() if depth < 8 else r.tobytes(), np.uint8).astype(int)
+            above = np.zeros(len(raw), int) if above is None else above
+            left, corner = (np.concatenate((np.zeros(step, int), v[:-step])) if len(v) > step else np.zeros(len(v), int) for v in (raw, above))
+            guess = left + above - corner
+            da, db, dc = (abs(guess - v) for v in (left, above, corner))
+            paeth = np.where((da <= db) & (da <= dc), left, np.where(db <= dc, above, corner))
+            kind = k % 5
+            rows += bytes([kind]) + ((raw - (0, left, above, (left + above) // 2, paeth)[kind]) & 255).astype(np.uint8).tobytes()
+            above = raw
+    head = struct.pack(">IIBBBBB", w, h, depth, colour, 0, 0, int(interlaced))
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + (chunk(b"PLTE", palette.tobytes()) if palette is not None else b"") + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b"")
+
+
+def test_png():
+    grey = RNG.integers(0, 256, (19, 13), np.uint8)
+    rgb = RNG.integers(0, 256, (11, 9, 3), np.uint8)
+    deep = RNG.integers(0, 65536, (7, 6)).astype(np.uint16)
+    few = RNG.integers(0, 4, (9, 10), np.uint8)
+    palette = RNG.integers(0, 256, (4, 3), np.uint8)
+    assert (images.decode(png(grey)) == grey).all() and (images.decode(png(grey, interlaced=True)) == grey).all()
+    assert np.allclose(images.decode(png(rgb, 2)), rgb.mean(2)) and np.allclose(images.decode(png(deep, depth=16)), deep / 257)
+    assert np.allclose(images.decode(png(few, depth=2)), few * 85.0)
+    assert np.allclose(images.decode(png(few, 3, 2, palette)), palette[few].mean(2)) and np.allclose(images.decode(png(few, 3, 8, palette, True)), palette[few].mean(2))
+    assert (images.decode(images.encode_pgm(grey)) == grey).all()
+    assert images.decode(b"junk") is None and images.decode(None) is None and images.decode(png(grey)[:60]) is None
