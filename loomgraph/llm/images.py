@@ -281,21 +281,22 @@ def _confirm(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _meeting(asked: DataFrame, known: DataFrame) -> DataFrame:
     """Matching descriptors (q_key, q_x, .., i_key, i_x, ..), each pair once."""
 
+    longs = [F.shiftleft(F.col(WORDS[k]).cast("long"), 32).bitwiseOR(F.col(WORDS[k + 1]).cast("long").bitwiseAND(F.lit(0xFFFFFFFF))) for k in range(0, TABLES, 2)]
+
     def tables(of: DataFrame, side: str) -> DataFrame:
-        words = F.posexplode(F.array(*WORDS)).alias("word", "value")
-        return of.select(F.col("key").alias(f"{side}_key"), F.col("no").alias(f"{side}_no"), words)
+        names = [c.alias(f"{side}_{k}") for k, c in enumerate(longs)]
+        return of.select(F.col("key").alias(f"{side}_key"), F.col("no").alias(f"{side}_no"), *names, F.posexplode(F.array(*WORDS)).alias("word", "value"))
 
     def whole(of: DataFrame, side: str) -> DataFrame:
-        return of.select(*[F.col(c).alias(f"{side}_{c}") for c in of.columns])
+        return of.select(*[F.col(c).alias(f"{side}_{c}") for c in of.columns if c not in WORDS])
 
-    # Only numbers of descriptors meet in the tables; what they are comes after.
-    pairs = tables(known, "i").join(sent(tables(asked, "q")), ["word", "value"]).drop("word", "value").distinct()
-    pairs = stored(pairs, "pairs")
+    left, right = tables(known, "i"), sent(tables(asked, "q"))
+    differ = sum((F.bit_count(F.col(f"q_{k}").bitwiseXOR(F.col(f"i_{k}"))) for k in range(len(longs))), F.lit(0))
+    # The test belongs to the join: of what meets in a table, few rows are made.
+    met = left.join(right, (left["word"] == right["word"]) & (left["value"] == right["value"]) & (differ <= MOST_BITS))
+    pairs = stored(met.select("q_key", "q_no", "i_key", "i_no").distinct(), "pairs")
     half = whole(known, "i").join(sent(pairs), ["i_key", "i_no"])
-    met = half.join(sent(whole(asked, "q")), ["q_key", "q_no"])
-    # bit_count() widens a negative number by 32 bits that are set.
-    differ = sum((F.bit_count(F.col(f"q_{w}").bitwiseXOR(F.col(f"i_{w}")).cast("long").bitwiseAND(F.lit(0xFFFFFFFF))) for w in WORDS), F.lit(0))
-    return met.where(differ <= MOST_BITS)
+    return half.join(sent(whole(asked, "q")), ["q_key", "q_no"])
 
 
 def edited_copies(queries: DataFrame, images: DataFrame) -> DataFrame:
