@@ -309,13 +309,19 @@ def edited_copies(queries: DataFrame, images: DataFrame) -> DataFrame:
     corners, or of fewer than 23 pixels in height or width, match nothing. Of
     repeated queries with one id the least image counts; other columns are ignored;
     empty tables give an empty result."""
-    known = images.where("image_id is not null and image is not null").select(F.col("image_id").cast("long"), "image")
-    classes = known.groupBy(F.sha2("image", 256).alias("same")).agg(F.min("image_id").alias("key"), F.countDistinct("image_id").alias("copies"), F.first("image").alias("image"))
-    # One id may stand for several images; the least counts as its class's.
-    classes = stored(classes.groupBy("key").agg(F.min_by(F.struct("copies", "image"), "same").alias("c")).select("key", "c.*"), "classes")
+    known = images.where("image_id is not null and image is not null").select(F.col("image_id").cast("long"), "image", F.sha2("image", 256).alias("same"))
+    # Pictures stay where they are: only their hashes are grouped.
+    classes = known.groupBy("same").agg(F.min("image_id").alias("key"), F.countDistinct("image_id").alias("copies"))
+    # One id may stand for several images; it is the class of one of them.
+    classes = stored(classes.groupBy("key").agg(F.min_by("copies", "same").alias("copies"), F.min("same").alias("same")), "classes")
+    pictured = known.join(sent(classes.select("same", "key")), "same").where("image_id = key").select("key", "image")
     asked = queries.where("query_id is not null and image is not null").groupBy(F.col("query_id").cast("long").alias("key")).agg(F.min("image").alias("image"))
     asked = stored(asked, "asked")
-    met = _meeting(stored(descriptors(asked), "q"), stored(descriptors(classes), "i"))
+    met = _meeting(stored(descriptors(asked), "q"), stored(descriptors(pictured), "i"))
+    met = stored(met, "met")
+    # Two images that have met only once or in one point have nothing to agree on.
+    places = met.select("q_key", "i_key", "q_x", "q_y").distinct().groupBy("q_key", "i_key").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_VOTES)
+    met = met.join(stored(places.select("q_key", "i_key"), "several"), ["q_key", "i_key"])
 
     zoom, turn = F.col("q_scale") / F.col("i_scale"), F.col("i_angle") - F.col("q_angle")
     x = F.col("i_x") - zoom * (F.cos(turn) * F.col("q_x") - F.sin(turn) * F.col("q_y"))
@@ -338,11 +344,11 @@ def edited_copies(queries: DataFrame, images: DataFrame) -> DataFrame:
     counted = counted.withColumn("dx", F.expr("(su - p * sx + q * sy) / n")).withColumn("dy", F.expr("(sv - q * sx - p * sy) / n"))
     best = counted.groupBy("q_key", "i_key").agg(F.max_by(F.struct("votes", "p", "q", "dx", "dy"), F.struct("votes", "cell")).alias("b")).select("q_key", "i_key", "b.*")
     best = stored(best, "best")
-    shown = classes.select(F.col("key").alias("i_key"), F.col("image").alias("i_image")).join(sent(best), "i_key")
+    shown = pictured.select(F.col("key").alias("i_key"), F.col("image").alias("i_image")).join(sent(best), "i_key")
     shown = shown.join(asked.select(F.col("key").alias("q_key"), F.col("image").alias("q_image")), "q_key")
     good = shown.select("q_key", "i_key", "votes", "p", "q", "dx", "dy", "q_image", "i_image").mapInPandas(_confirm, "q_key long, i_key long, votes long")
     named = classes.select(F.col("key").alias("i_key"), "copies")
-    return good.join(named, "i_key").select(F.col("q_key").alias("query_id"), F.col("i_key").alias("class_id"), "copies", "votes")
+    return good.distinct().join(named, "i_key").select(F.col("q_key").alias("query_id"), F.col("i_key").alias("class_id"), "copies", "votes")
 
 
 EDITS = ("crop", "turn", "tilt", "half", "zoom")
