@@ -121,17 +121,20 @@ MOST_BROADCAST = 32 << 20
 
 
 def _width(kind: T.DataType) -> int:
-    if isinstance(kind, T.StructType):
-        return 8 + sum(_width(f.dataType) for f in kind.fields)
-    if isinstance(kind, T.NumericType | T.BooleanType):
-        return 8
-    raise ValueError(f"the size of {kind.simpleString()} isn't known from its type")
+    """Bytes of a value, without those of its texts."""
+    return 8 + sum(_width(f.dataType) for f in kind.fields) if isinstance(kind, T.StructType) else 8
 
 
 def small(df: DataFrame, most: int = MOST_BROADCAST) -> bool:
-    """Whether all rows of df, whose columns are numbers, take at most so many
-    bytes; counts no further than that."""
-    return bounded(df, most // (16 + _width(df.schema)))
+    """Whether all rows of df, whose columns are numbers or texts, take at most so
+    many bytes; looks no further than that."""
+    if any(isinstance(f.dataType, T.ArrayType | T.MapType) for f in df.schema.fields):
+        raise ValueError(f"no bound of the size is known for {df.schema.simpleString()}")
+    rows = most // (16 + _width(df.schema))
+    texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType | T.BinaryType)]
+    of = sum((F.coalesce(F.octet_length(t), F.lit(0)) for t in texts), F.lit(0)).cast("long")
+    n, size = df.limit(rows + 1).agg(F.count("*"), F.sum(of)).first()
+    return n <= rows and n * (16 + _width(df.schema)) + (size or 0) <= most
 
 
 def sent(df: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
