@@ -1,16 +1,20 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Five small transducers over word classes (insult, threat, target, negation,
-reported speech) are composed into one deterministic machine. A text is cut into
-clauses; a clause with an insult or a threat runs through the machine, which turns
-its words into weights: an insult counts more when aimed at somebody, less under a
-negation and less in reported speech. Matched clauses, not single words, make the
-features of a document, and a logistic model turns those into a probability.
-
-Lexicon weights and the logistic model are fitted on labelled rows: on a sample of
-at most MOST_LABELLED documents, chosen by a hash of doc_id, in which near copies
-(equal least hash of three-word windows) count once, lest the words of one much
-copied text pass for insults.
+A text is cut into clauses, and the words of a clause into classes: insult, threat,
+target, negation, reported speech, other. Five transducers are composed into one
+deterministic machine that runs over the classes once. The first two turn an insult
+or a threat into a match; the others mark a match as aimed at somebody (before or
+after it), negated, or reported. So a match comes out as one of a few kinds, such as
+an aimed insult or a reported threat, and each kind has its weight. The weight of a
+clause is that of its matches, each times its word's weight in the lexicon. Matched
+clauses, not single words, make the features of a document.
+
+All weights are learned: those of words by their odds with the labels, those of
+kinds and of the features by logistic regression, with a prior that a kind that was
+never seen weighs what its marks say. Labelled rows are a sample of at most
+MOST_LABELLED documents, chosen by a hash of doc_id, in which near copies of one
+label (equal least hashes of three-word windows under two hashes) count once, lest
+the words of one much copied text pass for insults.
 """
 
 from __future__ import annotations
@@ -18,7 +22,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -26,15 +30,17 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import crc_mod, mix
+from loomgraph.llm.common import crc_mod, mix, stored
 from loomgraph.llm.shingles import words
 
-#: The bounds of what is learned: labelled documents, and entries of the lexicon.
-MOST_LABELLED, MOST_TERMS = 20_000, 600
+#: The bound of what is learned from: labelled documents.
+MOST_LABELLED = 20_000
 #: A learned term must be found with toxic labels so many deviations more often
 #: than by chance, and in so many documents.
 LEAST_Z, LEAST_DOCS = 6.5, 4
 PREFIX = 6
+#: Words that a negation reaches.
+REACH = 3
 
 INSULTS = frozenset("idiot idiots moron morons stupid trash scum loser losers worthless pathetic disgusting clown clowns dumb fool fools garbage imbecile vermin jerk dummkopf abschaum idioten imbécile ordure raclure estúpido basura escoria".split())
 THREATS = frozenset("kill hurt destroy murder beat crush smash shoot stab burn strangle töten umbringen tuer frapper matar golpear".split())
@@ -47,91 +53,145 @@ _WORD, _CLAUSE = re.compile(r"[^\W\d_]+"), re.compile(r"[.!?;:\n]+")
 
 @dataclass
 class Transducer:
-    """A deterministic transducer: arcs from (state, symbol) to (state, symbol,
-    factor). Symbols without an arc pass unchanged by way of `other`."""
+    """A deterministic transducer: step gives the next state and what a symbol
+    becomes in a state. Symbols are a class and the marks that it has got."""
 
-    arcs: dict = field(default_factory=dict)
-    other: dict = field(default_factory=dict)
-
-    def step(self, state: int, symbol: str) -> tuple[int, str, float]:
-        return self.arcs.get((state, symbol)) or (self.other.get(state, state), symbol, 1.0)
+    step: Callable[[int, str], tuple[int, str]]
+    start: int = 0
 
 
 def compose(first: Transducer, second: Transducer, alphabet: str) -> Transducer:
-    """Feed the first one's output to the second; factors multiply."""
-    out, seen, todo = Transducer(), {(0, 0): 0}, [(0, 0)]
+    """Feed the first one's output to the second: one machine over the alphabet,
+    with an arc for every symbol in every state that can be reached."""
+    arcs, seen = {}, {(first.start, second.start): 0}
+    todo = list(seen)
     while todo:
         a, b = todo.pop()
         for symbol in alphabet:
-            to_a, middle, x = first.step(a, symbol)
-            to_b, last, y = second.step(b, middle)
+            to_a, middle = first.step(a, symbol)
+            to_b, last = second.step(b, middle)
             if (to_a, to_b) not in seen:
                 seen[to_a, to_b] = len(seen)
                 todo.append((to_a, to_b))
-            out.arcs[seen[a, b], symbol] = (seen[to_a, to_b], last, x * y)
-    return out
+            arcs[seen[a, b], symbol] = (seen[to_a, to_b], last)
+    return Transducer(lambda state, symbol: arcs[state, symbol])
+
+
+#: Insult, threat, target, negation, report, other.
+ALPHABET = "ITGNRO"
+
+
+def _insult(state: int, symbol: str) -> tuple[int, str]:
+    """An insult is a match; one right after another is marked as piled up."""
+    return (1, "i+" if state else "i") if symbol == "I" else (0, symbol)
+
+
+def _threat(state: int, symbol: str) -> tuple[int, str]:
+    """A threat is a match; in a clause that has had one it is marked too."""
+    return (1, "t+" if state else "t") if symbol == "T" else (state, symbol)
+
+
+def _target(state: int, symbol: str) -> tuple[int, str]:
+    """Marks matches after a target; a target after an open match closes it: states
+    are nothing yet, target seen, and an insult or a threat still open."""
+    if symbol == "G":
+        return 1, {2: "i@", 3: "t@"}.get(state, symbol)
+    if symbol[0] in "it":
+        return (1, symbol + "@") if state == 1 else (3 if symbol[0] == "t" else max(state, 2), symbol)
+    return state, symbol
+
+
+def _negation(state: int, symbol: str) -> tuple[int, str]:
+    """Marks matches up to REACH words after a negation."""
+    if symbol == "N":
+        return REACH, symbol
+    return max(0, state - 1), symbol + "-" if state and symbol[0] in "it" else symbol
+
+
+def _report(state: int, symbol: str) -> tuple[int, str]:
+    """Marks matches after a verb of reported speech."""
+    if symbol == "R":
+        return 1, symbol
+    return state, symbol + '"' if state and symbol[0] in "it" else symbol
+
+
+def grammar() -> dict:
+    """The arcs of the five, composed: (state, class) to (state, kind of match, or
+    None where there is none)."""
+    machine = Transducer(_insult)
+    for part in (_threat, _target, _negation, _report):
+        machine = compose(machine, Transducer(part), ALPHABET)
+    arcs, todo = {}, [0]
+    while todo:
+        state = todo.pop()
+        for symbol in ALPHABET:
+            to, kind = machine.step(state, symbol)
+            if (state, symbol) not in arcs:
+                arcs[state, symbol] = (to, kind if kind[0] in "it" else None)
+                todo.append(to)
+    return arcs
 
 
-def grammar() -> tuple[Transducer, Transducer]:
-    """Negation and reported speech, composed, which look back; and the target,
-    which is read from both ends of a clause. I insult, T threat, G target, N
-    negation, R report, O other word."""
-    reach = 3
-    negation = Transducer(other={k: k - 1 for k in range(1, reach + 1)})
-    for k in range(reach + 1):
-        negation.arcs[k, "N"] = (reach, "N", 1.0)
-        if k:
-            negation.arcs |= {(k, "I"): (k - 1, "I", 0.4), (k, "T"): (k - 1, "T", 0.2)}
-    report = Transducer(arcs={(0, "R"): (1, "R", 1.0), (1, "I"): (1, "I", 0.5), (1, "T"): (1, "T", 0.4)})
-    # A threat needs a target: alone it counts little.
-    target = Transducer(arcs={(0, "G"): (1, "G", 1.0), (1, "I"): (1, "I", 1.5), (0, "T"): (0, "T", 0.1), (1, "T"): (1, "T", 1.5)})
-    return compose(negation, report, "ITGNRO"), target
+ARCS = grammar()
+KINDS = sorted({kind for _, kind in ARCS.values() if kind})
+
+
+def prior(kind: str) -> float:
+    """What a kind weighs before anything is learned, by its marks."""
+    out = 1.0 if kind[0] == "i" else 0.3
+    for mark, factor in (("@", 1.5), ("+", 1.1), ("-", 0.4), ('"', 0.5)):
+        out *= factor if mark in kind else 1.0
+    return out
 
 
 @dataclass
 class Model:
-    """A lexicon of words and stems with weights, and a logistic model."""
+    """A lexicon of words and stems with weights, weights of the kinds of matches,
+    and a logistic model over what the clauses of a document give."""
 
     terms: dict
     stems: dict
+    threats: dict = field(default_factory=lambda: dict.fromkeys(THREATS, 1.0))
+    kinds: dict = field(default_factory=lambda: {k: prior(k) for k in KINDS})
     weights: list = field(default_factory=list)
-    machines: tuple = field(default_factory=grammar)
 
-    def weight(self, word: str) -> float:
-        return self.terms.get(word) or self.stems.get(word[:PREFIX], 0.0)
+    def matches(self, tokens: list[str]) -> list[tuple[str, float]]:
+        """(kind, weight of the word) for each match of a clause. A mark that a
+        target gives to the match before it weighs what that match does."""
+        state, found, last = 0, [], 1.0
+        for word in tokens:
+            own = self.terms.get(word) or self.stems.get(word[:PREFIX])
+            symbol = "I" if own else "T" if word in self.threats else "N" if word in NEGATIONS else "G" if word in TARGETS else "R" if word in REPORTS else "O"
+            state, kind = ARCS[state, symbol]
+            if kind:
+                last = last if symbol == "G" else own or self.threats[word]
+                found.append((kind, last))
+        return found
 
     def clause(self, tokens: list[str]) -> float:
-        """The weight of a clause. A target may stand before or after the insult:
-        the better of both readings counts."""
-        front, target = self.machines
-        state, read = 0, []
-        for word in tokens:
-            own = self.weight(word)
-            symbol = "I" if own else "T" if word in THREATS else "N" if word in NEGATIONS else "G" if word in TARGETS else "R" if word in REPORTS else "O"
-            state, symbol, factor = front.arcs[state, symbol]
-            if symbol in "ITG":
-                read.append((symbol, factor * (own or 3.0)))
-        best = 0.0
-        for way in (read, read[::-1]):
-            state, total = 0, 0.0
-            for symbol, weight in way:
-                state, symbol, factor = target.step(state, symbol)
-                if symbol != "G":
-                    total += factor * weight
-            best = max(best, total)
-        return best
+        return sum(self.kinds[kind] * weight for kind, weight in self.matches(tokens))
 
-    def features(self, text: str | None) -> list[float]:
+    def clauses(self, text: str | None) -> list[list[str]]:
+        """The words of the clauses that hold an insult or a threat."""
         low = (text or "").lower()
-        tokens = _WORD.findall(low)
-        terms, stems = self.terms, self.stems
-        hits = [w for w in tokens if w in terms or w[:PREFIX] in stems or w in THREATS]
-        length = math.log1p(len(tokens))
-        if not hits:
-            return [0.0, 0.0, 0.0, 0.0, 0.0, length]
-        scores = [s for c in _CLAUSE.split(low) if (s := self.clause(_WORD.findall(c)))]
-        kinds = len({w for w in hits})
-        return [math.log1p(sum(scores)), max(scores, default=0.0), math.log1p(len(scores)), sum(scores) / math.sqrt(len(tokens)), math.log1p(kinds), length]
+        terms, stems, threats = self.terms, self.stems, self.threats
+        if not any(w in terms or w[:PREFIX] in stems or w in threats for w in _WORD.findall(low)):
+            return []
+        return [_WORD.findall(c) for c in _CLAUSE.split(low)]
+
+    def by_kind(self, text: str | None) -> list[float]:
+        """Sums of a document's matches, by kind."""
+        sums = dict.fromkeys(KINDS, 0.0)
+        for c in self.clauses(text):
+            for kind, weight in self.matches(c):
+                sums[kind] += weight
+        return [math.log1p(sums[k]) for k in KINDS]
+
+    def features(self, text: str | None) -> list[float]:
+        scores = [s for c in self.clauses(text) if (s := self.clause(c)) > 0]
+        if not scores:
+            return [0.0] * 4
+        return [math.log1p(sum(scores)), math.log1p(max(scores)), math.log1p(len(scores)), sum(scores) / math.sqrt(len(_WORD.findall(text)))]
 
     def score(self, features: list) -> np.ndarray:
         x = np.asarray(features, float)
@@ -139,30 +199,38 @@ class Model:
         return 1 / (1 + np.exp(-z))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 40) -> list[float]:
-    """Newton's method on standardised features; weights for the raw ones."""
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 40, start: np.ndarray | None = None) -> list[float]:
+    """Newton's method on standardised features; weights for the raw ones. The ridge
+    draws them to 0, or to start, which are weights for the raw ones too."""
     if not len(y) or y.min() == y.max():
         return [math.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)) if len(y) else -3.0, *[0.0] * x.shape[1]]
-    mean, scale = x.mean(0), x.std(0) + 1e-9
+    mean, scale = x.mean(0), x.std(0)
+    if start is not None:  # what never varies keeps its start
+        scale = np.where(scale > 1e-6, scale, 1.0)
+    scale = scale + 1e-9
     a = np.hstack([np.ones((len(x), 1)), (x - mean) / scale])
-    w = np.zeros(a.shape[1])
+    drawn = np.zeros(x.shape[1]) if start is None else start * scale
+    w = np.r_[0.0, drawn]
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        grad = a.T @ (p - y) / len(y) + ridge * np.r_[0, w[1:]]
+        grad = a.T @ (p - y) / len(y) + ridge * np.r_[0, w[1:] - drawn]
         hess = (a * (p * (1 - p))[:, None]).T @ a / len(y) + ridge * np.diag(np.r_[0, np.ones(len(w) - 1)]) + 1e-9 * np.eye(len(w))
         w -= np.linalg.solve(hess, grad)
     raw = w[1:] / scale
     return [float(w[0] - raw @ mean), *map(float, raw)]
 
 
-def _least_window(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Add a key that near copies mostly share."""
+def _least_windows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Add a key that near copies mostly share and other texts don't: the least
+    window under two hashes."""
     for frame in frames:
         keys = []
         for text in frame["text"]:
             h, _ = words([text])
             n = max(1, len(h) - 2)
-            keys.append(int(mix(h[:n] + (h[1:][:n] * np.uint64(3) + h[2:][:n] * np.uint64(5) if len(h) > 2 else np.uint64(0))).min().view(np.int64)) if len(h) else 0)
+            own = mix(h[:n] + (h[1:][:n] * np.uint64(3) + h[2:][:n] * np.uint64(5) if len(h) > 2 else np.uint64(0)))
+            least = (int(own.min()) + 7 * int(mix(own ^ np.uint64(0xA0761D6478BD642F)).min())) % (1 << 63) if len(h) else 0
+            keys.append(least)
         yield frame.assign(key=keys)
 
 
@@ -179,37 +247,56 @@ def _count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"term": part, "n0": [found[0][t] for t in part], "n1": [found[1][t] for t in part]})
 
 
+def _rows(sample: DataFrame, of: Callable) -> tuple[np.ndarray, np.ndarray]:
+    """of() of every text of the sample, and its label: some numbers for each of at
+    most MOST_LABELLED rows."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield pd.DataFrame({"x": [of(t) for t in frame["text"]], "y": frame["toxic"].astype(float)})
+
+    rows = sample.mapInPandas(run, "x array<double>, y double").toPandas()
+    return np.array(rows["x"].tolist(), float), rows["y"].to_numpy(float)
+
+
 def fit(labelled: DataFrame, most: int = MOST_LABELLED) -> Model:
-    """Learn from rows (doc_id, text, toxic)."""
+    """Learn from rows (doc_id, text, toxic). Nothing known: a model that finds
+    nothing toxic."""
     labelled = labelled.where("toxic is not null and doc_id is not null").select("doc_id", F.col("text").cast("string"), (F.col("toxic") > 0).cast("int").alias("toxic"))
     n = labelled.select("doc_id").count()
     share = min(1.0, most / max(1, n))
     sample = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < math.ceil(share * 1_000_003))
-    sample = sample.mapInPandas(_least_window, "doc_id long, text string, toxic int, key long").groupBy("key").agg(F.min_by("text", "doc_id").alias("text"), F.min_by("toxic", "doc_id").alias("toxic")).persist()
+    sample = sample.mapInPandas(_least_windows, "doc_id long, text string, toxic int, key long").groupBy("key", "toxic").agg(F.min_by("text", F.struct("doc_id", "text")).alias("text"))
+    sample = stored(sample, "labelled")
     totals = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n0, n1 = totals.get(0, 0), totals.get(1, 0)
     rate = n1 / max(1, n0 + n1)
-    terms: dict[str, float] = {}
+    learned, seeds = {}, {}
     if n0 and n1:
         df = F.col("n0") + F.col("n1")
         z = (F.col("n1") - df * rate) / F.sqrt(df * rate * (1 - rate))
         odds = F.log((F.col("n1") + 0.5) / (n1 + 1)) - F.log((F.col("n0") + 0.5) / (n0 + 1))
         counts = sample.mapInPandas(_count, "term string, n0 long, n1 long").groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-        learned = counts.where((F.col("n1") >= LEAST_DOCS) & (z >= LEAST_Z) & (odds >= 2)).select("term", odds.alias("w"), z.alias("z")).orderBy(F.desc("z"), "term").limit(MOST_TERMS)
-        terms = {r["term"]: r["w"] for r in learned.collect()}
-    words_ = {w: 4.0 for w in INSULTS} | {t: w for t, w in terms.items() if not t.endswith("*")}
-    # A stem is of use only where its words are too many to be learned one by one.
-    stems = {t[:-1]: w for t, w in terms.items() if t.endswith("*")}
-    model = Model(words_, stems)
-
-    def features(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            yield pd.DataFrame({"x": [model.features(t) for t in frame["text"]], "y": frame["toxic"].astype(float)})
-
-    # At most `most` rows of six numbers.
-    rows = sample.mapInPandas(features, "x array<double>, y double").toPandas()
-    sample.unpersist()
-    model.weights = logistic(np.array(rows["x"].tolist()).reshape(len(rows), 6), rows["y"].to_numpy(float))
+        # No more of these than the sample has words.
+        wanted = counts.where(((F.col("n1") >= LEAST_DOCS) & (z >= LEAST_Z) & (odds >= 2)) | F.col("term").isin(sorted(INSULTS | THREATS)))
+        for r in wanted.select("term", odds.alias("w"), df.alias("n"), ((F.col("n1") >= LEAST_DOCS) & (z >= LEAST_Z) & (odds >= 2)).alias("strong")).collect():
+            if r["term"] in INSULTS or r["term"] in THREATS:
+                if r["n"] >= LEAST_DOCS:
+                    seeds[r["term"]] = max(0.1, r["w"])
+            if r["strong"] and r["term"] not in THREATS:
+                learned[r["term"]] = r["w"]
+    # Seed words that the labels say nothing of weigh what the others do.
+    usual = float(np.median([*learned.values(), *(w for t, w in seeds.items() if t in INSULTS)] or [1.0]))
+    terms = {w: seeds.get(w, usual) for w in INSULTS} | {t: w for t, w in learned.items() if not t.endswith("*")}
+    stems = {t[:-1]: w for t, w in learned.items() if t.endswith("*")}
+    model = Model(terms, stems, {w: seeds.get(w, usual) for w in THREATS})
+    x, y = _rows(sample, model.by_kind)
+    if n0 and n1:
+        start = np.array([prior(k) for k in KINDS])
+        got = np.array(logistic(x, y, 0.05, start=start)[1:])
+        model.kinds = dict(zip(KINDS, map(float, np.maximum(got, 0.0)), strict=True))
+    x, y = _rows(sample, model.features)
+    model.weights = logistic(x if len(x) else np.zeros((0, 4)), y)
     return model
 
 
