@@ -10,13 +10,13 @@ code wins.
 
 Training takes at most MOST_PER_LANGUAGE whole documents of a language, chosen by
 a hash of doc_id. For speed, costs of all common four-byte strings stand in one
-table, by pairs of common byte pairs; the rest are computed from the trees.
+table, by pairs of common byte pairs; the rest are computed from the trees. A letter
+is what str.isalpha() takes for one.
 """
 
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +30,6 @@ ORDER = 3
 MOST_PER_LANGUAGE = 1_500
 #: Bytes that the table of common strings may take, for all languages together.
 TABLE_BYTES = 1 << 25
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 def _grams(texts: list, order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
@@ -77,20 +76,36 @@ class Tree:
 
 
 class Scorer:
+    """Code lengths of texts. It travels as plain arrays, state(), so that a worker
+    need not have this module where it can be imported."""
+
     def __init__(self, trees: dict[str, Tree], common: np.ndarray) -> None:
         """common: byte pairs by falling frequency."""
         self.languages, self.trees = sorted(trees), trees
         n = len(self.languages)
-        side = max(2, min(len(common) + 1, math.isqrt(TABLE_BYTES // (4 * max(1, n)))))
+        side = max(2, min(len(common) + 1, math.isqrt(TABLE_BYTES // (8 * max(1, n)))))
         self.side, pairs = side, common[: side - 1].astype(np.uint32)
         self.number = np.zeros(1 << 16, np.int32)  # 0: not a common pair
         self.number[pairs] = np.arange(1, len(pairs) + 1)
         codes = ((pairs[:, None] << np.uint32(16)) | pairs[None, :]).ravel()
-        self.table = np.zeros((side, side, n), np.float32)
+        self.table = np.zeros((side, side, n))
         for k, name in enumerate(self.languages):
             self.table[1 : len(pairs) + 1, 1 : len(pairs) + 1, k] = trees[name].cost(codes).reshape(len(pairs), len(pairs))
         self.table = self.table.reshape(side * side, n)
 
+    def state(self) -> dict:
+        return {**vars(self), "trees": {k: t.levels for k, t in self.trees.items()}}
+
+    @classmethod
+    def of(cls, state: dict) -> Scorer:
+        out = cls.__new__(cls)
+        vars(out).update(state)
+        out.trees = {}
+        for k, levels in state["trees"].items():
+            out.trees[k] = Tree.__new__(Tree)
+            out.trees[k].levels = levels
+        return out
+
     def bits(self, texts: list) -> np.ndarray:
         """Code length of each text in each language."""
         codes, of = _grams(texts)
@@ -107,7 +122,7 @@ class Scorer:
         that of all; `und` and 0 for a text without letters. Ties go to the first
         name."""
         named, share = ["und"] * len(texts), np.zeros(len(texts))
-        own = [i for i, t in enumerate(texts) if t and _LETTER.search(t)]
+        own = [i for i, t in enumerate(texts) if t and any(map(str.isalpha, t))]
         if not own or not self.languages:
             return named, share
         bits = self.bits([texts[i] for i in own])
@@ -156,16 +171,17 @@ def identify(docs: DataFrame, scorer: Scorer) -> DataFrame:
     Null texts and texts without a letter are `und` with a score of 0, and so is
     everything if nothing was learned. Other columns are ignored; repeated rows
     give repeated rows."""
-    sent = docs.sparkSession.sparkContext.broadcast(scorer)
+    sent = docs.sparkSession.sparkContext.broadcast(scorer.state())
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = Scorer.of(sent.value)
         for frame in frames:
             texts = frame["text"].tolist()
             size = start = 0
             for i, t in enumerate(texts):  # some megabytes at a time
                 size += len(t or "")
                 if size > 1_000_000 or i == len(texts) - 1:
-                    named, score = sent.value.predict(texts[start : i + 1])
+                    named, score = own.predict(texts[start : i + 1])
                     yield pd.DataFrame({"doc_id": frame["doc_id"].iloc[start : i + 1], "lang_pred": named, "score": score})
                     start, size = i + 1, 0
 
