@@ -11,8 +11,10 @@ Names are told by their case, which a document in capitals lacks. So windows of
 plain lower-cased words are joined too, and a document that holds enough of those
 has the item word for word: its slots are not looked at.
 
-A name is a run of up to 16 capitalised words inside a sentence: after a lower-case letter,
-a digit or one of `,;:`, and one space.
+A name is a run of capitalised words inside a sentence: after a lower-case letter, a
+digit or one of `,;:`, and one space. An item that has no window of enough literal
+tokens, being too short or of slots alone, would be met by chance in any document;
+it is found where its whole template is the whole of a text.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import bounded, stored
+from loomgraph.llm.common import MOST_BROADCAST, sent, stored
 
 #: Template tokens to a window; windows of an item that a document must hold.
 WIDTH, COVERAGE = 5, 0.8
@@ -28,10 +30,9 @@ WIDTH, COVERAGE = 5, 0.8
 LEAST_LITERAL = 3
 #: Item values with one counterpart, of all item values.
 CONSISTENT = 0.9
-#: Up to so many rows are broadcast; beyond, rows are shuffled by their key.
-MOST_BROADCAST = 1_000_000
 BLANK = r"[\x20\x09-\x0D]+"
-NAMES = r"([\p{Ll}\p{N},;:] )(\p{Lu}[\p{L}'\-]*(?: \p{Lu}[\p{L}'\-]*){0,15})"
+#: Possessive, so that a run of any length is read in a loop and not by recursion.
+NAMES = r"([\p{Ll}\p{N},;:] )(\p{Lu}[\p{L}'\-]*+(?: \p{Lu}[\p{L}'\-]*+)*+)"
 NUMBERS = r"(\p{N}+(?:[.,:/]\p{N}+)*)"
 UNITS = "kg|g|mg|lb|lbs|oz|km|m|cm|mm|mi|miles?|feet|ft|inch(?:es)?|hours?|hrs?|minutes?|mins?|seconds?|secs?|days?|weeks?|months?|years?|percent|dollars?|euros?|cents?|pounds?|litres?|liters?|l|ml|mph|kmh"
 PUNCTUATION = r"[^\p{L}\p{N}<>=\x20\x09-\x0D]+"
@@ -51,9 +52,9 @@ def template(text: Column, values: bool = False) -> Column:
 
 def tokens(text: Column, values: bool = False) -> Column:
     """Template tokens; a run of names is one of them."""
-    # Not inside a placeholder; 16 words of a name are as good as always shorter.
-    gap = rf"{BLANK}(?![^<>]{{0,600}}>)" if values else BLANK
-    return F.filter(F.split(template(text, values), gap), lambda t: t != "")
+    if values:  # blanks inside a placeholder don't part tokens
+        return F.regexp_extract_all(template(text, True), F.lit(r"(?:<[^<>]*+>|[^<>\x20\x09-\x0D])++"), F.lit(0))
+    return F.filter(F.split(template(text), BLANK), lambda t: t != "")
 
 
 def plain(text: Column) -> Column:
@@ -74,66 +75,67 @@ def windows(tokens: Column, width: int) -> Column:
     return F.transform(at, lambda i: F.xxhash64(F.slice(tokens, i + 1, width)))
 
 
+def whole(tokens: Column, longest: int) -> Column:
+    """The hash of all tokens, if there are no more than that."""
+    return F.when(F.size(tokens).between(1, longest), F.array(F.xxhash64(F.lit("whole"), tokens))).otherwise(F.array().cast("array<bigint>"))
+
+
 def _literals(tokens: Column) -> Column:
     return F.size(F.filter(tokens, lambda t: ~F.contains(t, F.lit("<"))))
 
 
 def item_windows(benchmark: DataFrame, width: int) -> DataFrame:
-    """(item_id, item, plain, windows, window, item_at) of windows with enough
+    """(item_id, item, plain, window, item_at, size, windows) of windows with enough
     literal tokens, numbers among plain words being none; item is a hash of the
-    text, for texts that share an item_id."""
+    text, for texts that share an item_id, and size the number of tokens. An item
+    without such a window of its template has its whole template instead, at -1."""
     items = benchmark.where("item_id is not null and text is not null").select("item_id", "text").distinct()
     texts = items.select("item_id", F.xxhash64("text").alias("item"), "text")
     items = texts.select("item_id", "item", F.lit(False).alias("plain"), tokens(F.col("text")).alias("t"))
-    items = items.union(texts.select("item_id", "item", F.lit(True), plain(F.col("text"))))
+    items = stored(items.union(texts.select("item_id", "item", F.lit(True), plain(F.col("text")))), "items")
     placed = items.select("item_id", "item", "plain", "t", F.posexplode(windows(F.col("t"), width)).alias("item_at", "window"))
     own = F.slice("t", F.col("item_at") + 1, width)
     words = F.size(F.filter(own, lambda t: ~F.rlike(t, F.lit(r"\p{N}"))))
     literal = placed.where(F.when(F.col("plain"), words).otherwise(_literals(own)) >= LEAST_LITERAL)
-    return literal.select("item_id", "item", "plain", "item_at", "window", F.count("*").over(Window.partitionBy("item_id", "item", "plain")).alias("windows"))
-
-
-def _with(big: DataFrame, small: DataFrame, on: str, most: int) -> DataFrame:
-    return big.join(F.broadcast(small) if bounded(small, most) else small, on)
-
-
-def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, coverage: float = COVERAGE, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
-    """A row (doc_id, item_id, matched, windows, slots, changed) for each document
-    and item whose template it holds: how many of the item's windows were found,
-    how many distinct slot values the item has along the best alignment, and how
-    many of them have another value in the document. If only the plain words reach
-    the coverage, the windows are theirs, and there are no slots.
-
-    Null texts and ids match nothing; so do items of fewer than `width` template
-    tokens or without a window of LEAST_LITERAL literal ones. Repeated rows count
-    once; texts that share an item_id are looked for one by one. Empty tables give no rows; other columns are ignored."""
-    docs = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
-    items = stored(item_windows(benchmark, width), "items")
-    rows = docs.select("doc_id", tokens(F.col("text")).alias("t"), plain(F.col("text")).alias("p"))
+    literal = literal.select("item_id", "item", "plain", "window", "item_at", F.size("t").alias("size"))
+    rest = items.where("not plain and size(t) > 0").join(literal.where("not plain").select("item_id", "item").distinct(), ["item_id", "item"], "left_anti")
+    rest = rest.select("item_id", "item", "plain", F.xxhash64(F.lit("whole"), "t").alias("window"), F.lit(-1).alias("item_at"), F.size("t").alias("size"))
+    both = literal.union(rest)
+    return both.withColumn("windows", F.count("*").over(Window.partitionBy("item_id", "item", "plain")))
+
+
+def held_items(texts: DataFrame, benchmark: DataFrame, width: int = WIDTH, coverage: float = COVERAGE, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
+    """(row, item_id, matched, windows, slots, changed) for texts (row, text): see
+    contaminated(). row is a hash that stands for the text."""
+    items = stored(item_windows(benchmark, width), "windows")
+    longest = items.where("item_at < 0").agg(F.max("size")).first()[0] or 0
+    asked = sent(items.select("window", "item_id", "item", "plain", "item_at", "windows"), most_broadcast)
+    rows = texts.select("row", tokens(F.col("text")).alias("t"), plain(F.col("text")).alias("p"))
     # Windows without a placeholder are often the same of both kinds.
-    rows = rows.select("doc_id", F.explode(F.array_union(windows(F.col("t"), width), windows(F.col("p"), width))).alias("window"))
-    found = _with(rows, items, "window", most_broadcast).groupBy("doc_id", "item_id", "item", "plain", "item_at").agg(F.first("windows").alias("windows"))
-    held = found.groupBy("doc_id", "item_id", "item", "plain").agg(F.count("*").alias("matched"), F.first("windows").alias("windows")).where(F.col("matched") >= coverage * F.col("windows"))
+    rows = rows.select("row", F.explode(F.concat(F.array_union(windows(F.col("t"), width), windows(F.col("p"), width)), whole(F.col("t"), longest))).alias("window"))
+    key = ["row", "item_id", "item"]
+    found = rows.join(asked, "window").groupBy(*key, "plain", "item_at").agg(F.first("windows").alias("windows"))
+    held = found.groupBy(*key, "plain").agg(F.count("*").alias("matched"), F.first("windows").alias("windows")).where(F.col("matched") >= coverage * F.col("windows"))
     held = stored(held, "held")
     verbatim, held = held.where("plain").drop("plain"), held.where("not plain").drop("plain")
 
-    # A second look at the few documents that may be copies, with slot values.
-    wanted = held.select("doc_id").distinct()
-    near = docs.join(F.broadcast(wanted) if bounded(wanted, most_broadcast) else wanted, "doc_id", "left_semi")
+    # A second look at the few texts that may be copies, with slot values.
+    near = texts.join(sent(held.select("row").distinct(), most_broadcast), "row", "left_semi").dropDuplicates(["row"])
 
     def valued(df: DataFrame, key: str, at: str, prefix: str) -> DataFrame:
         t = df.select(key, tokens(F.col("text"), True).alias("v")).withColumn("t", F.transform("v", _bare))
         own = t.select(key, "v", F.posexplode(windows(F.col("t"), width)).alias(at, "window"))
-        slots = F.filter(F.slice("v", F.col(at) + 1, width), lambda x: F.contains(x, F.lit("<")))
+        own = own.union(t.select(key, "v", F.lit(-1), F.explode(whole(F.col("t"), longest))))
+        at_ = F.col(at)
+        slots = F.filter(F.when(at_ < 0, F.col("v")).otherwise(F.slice("v", F.greatest(at_, F.lit(0)) + 1, width)), lambda x: F.contains(x, F.lit("<")))
         return own.select(key, at, "window", slots.alias(f"{prefix}_slots"))
 
     asked = benchmark.where("text is not null").select("item_id", F.xxhash64("text").alias("item"), "text").distinct()
     asked = asked.join(held.select("item_id", "item").distinct(), ["item_id", "item"], "left_semi").select(F.struct("item_id", "item").alias("_item"), "text")
     asked = valued(asked, "_item", "item_at", "item").select("_item.*", "item_at", "window", "item_slots")
-    pairs = valued(near, "doc_id", "doc_at", "doc").join(held.select("doc_id", "item_id", "item"), "doc_id")
+    pairs = valued(near, "row", "doc_at", "doc").join(held.select(*key), "row")
     aligned = pairs.join(asked, ["item_id", "item", "window"]).withColumn("shift", F.col("doc_at") - F.col("item_at"))
-    aligned = stored(aligned.select("doc_id", "item_id", "item", "shift", "doc_slots", "item_slots"), "aligned")
-    key = ["doc_id", "item_id", "item"]
+    aligned = stored(aligned.select(*key, "shift", "doc_slots", "item_slots"), "aligned")
     best = aligned.groupBy(*key, "shift").agg(F.count("*").alias("n")).groupBy(*key).agg(F.max_by("shift", F.struct("n", "shift")).alias("shift"))
     # The table compresses so well that Spark would take it for one to broadcast.
     slots = aligned.hint("merge").join(best, [*key, "shift"]).select(*key, F.explode(F.arrays_zip("item_slots", "doc_slots")).alias("s")).select(*key, "s.item_slots", "s.doc_slots").distinct()
@@ -146,5 +148,25 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, cove
     # The template counts if it is held, and of texts that share an item_id the one
     # of which most is held.
     rest = ["matched", "windows", "slots", "changed"]
-    best = out.groupBy("doc_id", "item_id").agg(F.max_by(F.struct(*rest), F.struct(~F.col("plain"), F.col("matched") / F.col("windows"), "matched", "item")).alias("_best"))
+    best = out.groupBy("row", "item_id").agg(F.max_by(F.struct(*rest), F.struct(~F.col("plain"), F.col("matched") / F.col("windows"), "matched", "item")).alias("_best"))
+    return best.select("row", "item_id", "_best.*")
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, coverage: float = COVERAGE, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
+    """A row (doc_id, item_id, matched, windows, slots, changed) for each document
+    and item whose template it holds: how many of the item's windows were found,
+    how many distinct slot values the item has along the best alignment, and how
+    many of them have another value in the document. If only the plain words reach
+    the coverage, the windows are theirs, and there are no slots. An item without a
+    window of its own is found as a whole: one window.
+
+    Null texts and ids match nothing, nor do items without a letter or digit. Texts
+    are looked at one by one: those that share a doc_id or an item_id are not added
+    up, and the best one's row is given. Repeated rows count once. Texts of any
+    length are taken whole. Empty tables give no rows; other columns are ignored."""
+    docs = docs.where("doc_id is not null and text is not null").select("doc_id", "text", F.xxhash64("text").alias("row"))
+    held = stored(held_items(docs.select("row", "text"), benchmark, width, coverage, most_broadcast), "contaminated")
+    rest = ["matched", "windows", "slots", "changed"]
+    out = docs.select("doc_id", "row").join(sent(held, most_broadcast), "row")
+    best = out.groupBy("doc_id", "item_id").agg(F.max_by(F.struct(*rest), F.struct(F.col("matched") / F.col("windows"), *rest)).alias("_best"))
     return best.select("doc_id", "item_id", "_best.*")
