@@ -49,16 +49,20 @@ def position(share: Column, knots: tuple) -> Column:
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), out))
 
 
-def targets(sources: DataFrame, weights: tuple, most_epochs: int) -> DataFrame:
+def targets(sources: DataFrame, weights: tuple, most_epochs: int, schedules: tuple = SCHEDULES) -> DataFrame:
     """Words to take of each source (source, source_size).
 
     Weights repeat over the sources in code-point order, null last; each one's
     weight is its base times the integral of its schedule. Filling from the source
     that reaches its limit first gives the same targets as resharing the excess
-    round by round. There is one row per source here, and one task."""
+    round by round. There is one row per source here, and one task. Sums are those of
+    doubles, exact for whole numbers up to 2^53."""
     every = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    s = sources.withColumn("class", (rank % len(weights)).cast("int")).withColumn("w", F.element_at(F.array(*[F.lit(x) for x in weights]), F.col("class") + 1).cast("long"))
+    s = sources.withColumn("class", (rank % len(weights)).cast("int")).withColumn("w", F.lit(None).cast("double"))
+    for k, base in enumerate(weights):
+        whole = base * integral(schedules[k % len(schedules)])[-1]
+        s = s.withColumn("w", F.when(F.col("class") == k, F.lit(float(whole))).otherwise(F.col("w")))
     s = s.withColumn("cap", F.col("source_size") * most_epochs).withColumn("total", F.sum("source_size").over(every))
     order = Window.orderBy(F.col("cap") / F.col("w"), F.col("source").asc_nulls_last())
     before, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(0, Window.unboundedFollowing)
@@ -69,14 +73,14 @@ def targets(sources: DataFrame, weights: tuple, most_epochs: int) -> DataFrame:
     return s.select("source", "class", "source_size", F.when(F.col("full"), F.col("cap").cast("double")).otherwise(share).alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple = (5, 2, 1), most_epochs: int = 3, schedules: tuple = SCHEDULES) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple = (5, 2, 1), most_epochs: int = 3, schedules: tuple = SCHEDULES, ordered: bool = True) -> DataFrame:
     """All columns of docs (doc_id, text, source, ...) and size, source_size,
-    target, taken, copies, positions, in order of the first position.
+    target, taken, copies, positions, in order of the first position if ordered.
 
     taken counts words: the copy that meets the target is cut there, so a source's
     sum is its target, rounded down. copies counts whole documents instead, the
     copy at the target being in if half of it fits. positions has the training
-    position of each copy, taken in part or whole. Null text: size 0, nothing
+    position of each copy that is counted or taken in part. Null text: size 0, nothing
     taken. Null source: a source of its own, last. Null doc_id: sorted as if it
     were an empty string. Rows alike share any order, their sums being the same.
     Nothing is random: reruns agree. An empty table gives an empty result. Columns
@@ -88,7 +92,7 @@ def mix(docs: DataFrame, weights: tuple = (5, 2, 1), most_epochs: int = 3, sched
     digits = max(0, math.ceil(math.log(max(1, rows / ROWS_PER_BLOCK), 16)))
     sized = sized.withColumn("_block", F.substring("_key", 1, digits))
     blocks = stored(sized.groupBy("source", "_block").agg(F.sum("size").alias("_sum")), "blocks")
-    goals = targets(blocks.groupBy("source").agg(F.sum("_sum").alias("source_size")), weights, most_epochs)
+    goals = targets(blocks.groupBy("source").agg(F.sum("_sum").alias("source_size")), weights, most_epochs, schedules)
     base = F.coalesce(F.sum("_sum").over(Window.partitionBy("source").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     placed = blocks.withColumn("_base", base).drop("_sum")
     bases = stored(placed.join(goals.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s"), "bases")
@@ -101,14 +105,15 @@ def mix(docs: DataFrame, weights: tuple = (5, 2, 1), most_epochs: int = 3, sched
     starts = [F.col("_at") + e * F.col("source_size") for e in range(most_epochs)]
     parts = [F.greatest(F.lit(0), F.least(F.col("size"), end - s)).cast("long") for s in starts]
     out = out.withColumn("taken", sum(parts[1:], parts[0]))
-    out = out.withColumn("copies", sum((F.when((F.col("size") > 0) & (s + F.col("size") / 2 < F.col("target")), 1).otherwise(0) for s in starts), F.lit(0)).cast("int"))
+    counted = [(F.col("size") > 0) & (s + F.col("size") / 2 < F.col("target")) for s in starts]
+    out = out.withColumn("copies", sum((F.when(c, 1).otherwise(0) for c in counted), F.lit(0)).cast("int"))
     times = []
-    for start, part in zip(starts, parts, strict=True):
-        share, at = start / F.col("target"), F.lit(None).cast("double")
+    for start, part, whole in zip(starts, parts, counted, strict=True):
+        share, at = F.try_divide(start, F.col("target")), F.lit(None).cast("double")
         for k, knots in enumerate(schedules):
-            at = F.when(F.col("class") % len(schedules) == k, position(share, knots)).otherwise(at)
-        times.append(F.when(part > 0, at))
+            of_class = F.col("class") % len(schedules) == k
+            at = F.when(of_class, position(share, knots)).otherwise(at)
+        times.append(F.when((part > 0) | whole, at))
     out = out.withColumn("positions", F.array_compact(F.array(*times)))
     out = out.drop("_key", "_block", "_at", "_base", "_s", "_b", "class")
-    first = F.get("positions", F.lit(0))
-    return out.orderBy(first.asc_nulls_last(), "doc_id")
+    return out.orderBy(F.get("positions", F.lit(0)).asc_nulls_last(), "doc_id") if ordered else out

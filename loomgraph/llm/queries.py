@@ -43,7 +43,8 @@ def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+    first = F.round(F.get("positions", F.lit(0)), 9).alias("first_position")
+    return mix(docs).select("doc_id", "size", "source_size", "target", "taken", first)
 
 
 def op5_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,17 +132,22 @@ WITH sized AS (
            <= a.w * (a.total - coalesce(sum(b.cap) FILTER (WHERE b.cap * a.w < a.cap * b.w), 0)) AS is_full
   FROM weighed a, weighed b GROUP BY a.source, a.s, a.cap, a.w, a.total
 ), goals AS (
-  SELECT source, s, CASE WHEN is_full THEN CAST(cap AS DOUBLE) ELSE
+  SELECT source, s, w, CASE WHEN is_full THEN CAST(cap AS DOUBLE) ELSE
     CAST(w * (total - coalesce(sum(cap) FILTER (WHERE is_full) OVER (), 0)) AS DOUBLE) / CAST(sum(w) FILTER (WHERE NOT is_full) OVER () AS DOUBLE) END AS target
   FROM filled
 ), placed AS (
-  SELECT doc_id, size, g.s, target,
+  SELECT doc_id, size, g.s, g.w, target,
          CAST(coalesce(sum(size) OVER (PARTITION BY z.source ORDER BY md5(coalesce(CAST(doc_id AS VARCHAR), '')), doc_id, size
            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS at_
   FROM sized z JOIN goals g ON z.source IS NOT DISTINCT FROM g.source
 )
 SELECT doc_id, size, s AS source_size, target,
        CAST(greatest(0, least(size, floor(target) - at_)) + greatest(0, least(size, floor(target) - at_ - s))
-         + greatest(0, least(size, floor(target) - at_ - 2 * s)) AS BIGINT) AS taken
+         + greatest(0, least(size, floor(target) - at_ - 2 * s)) AS BIGINT) AS taken,
+       CASE WHEN size > 0 AND (floor(target) > at_ OR at_ + size / 2.0::DOUBLE < target) THEN round(least(1.0::DOUBLE, CASE w
+         WHEN 5 THEN 1.5::DOUBLE - sqrt(2.25::DOUBLE - 2 * (at_ / target))
+         WHEN 2 THEN at_ / target
+         ELSE CASE WHEN at_ / target <= 0.25 THEN sqrt(0.0625::DOUBLE + 2 * (at_ / target)) - 0.25::DOUBLE
+           ELSE 0.5::DOUBLE + (sqrt(0.5625::DOUBLE + 6 * (at_ / target - 0.25::DOUBLE)) - 0.75::DOUBLE) / 3 END END), 9) END AS first_position
 FROM placed""",
 }
