@@ -164,6 +164,31 @@ def test_grammar():
     assert reported < aimed and negated < plain < aimed and reported <= plain
     assert model.clause(["kill"]) < model.clause(["kill", "you"])
     assert model.clause(["a", "word"]) == 0
+    assert model.clause(["idiot", "you"]) > plain and model.clause(["not", "a", "b", "c", "idiot"]) == plain
+    kinds = [k for k, _ in model.matches(["she", "said", "you", "never", "idiot", "idiot"])]
+    assert kinds == ['i@-"', 'i+@-"']
+
+
+def test_composed_machine_is_its_parts_in_a_row():
+    parts = (toxicity._insult, toxicity._threat, toxicity._target, toxicity._negation, toxicity._report)
+    for _ in range(300):
+        state, states = 0, [0] * len(parts)
+        for symbol in RNG.choice(list(toxicity.ALPHABET), 12).tolist():
+            state, kind = toxicity.ARCS[state, symbol]
+            out = symbol
+            for k, part in enumerate(parts):
+                states[k], out = part(states[k], out)
+            assert kind == (out if out[0] in "it" else None)
+
+
+def test_toxicity_of_held_out_documents(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit(toxicity.training_rows(docs, labels))
+    held = docs.where(toxicity.held_out()).join(labels.where("toxic is not null").select("doc_id", "toxic"), "doc_id")
+    rows = toxicity.score(held, model).join(held.select("doc_id", "toxic"), "doc_id").collect()
+    bad, good = (np.array([r["score"] for r in rows if r["toxic"] == k]) for k in (1, 0))
+    assert (bad >= 0.5).mean() > 0.85 and (good >= 0.5).mean() < 0.01
+    assert ((bad[:, None] > good).mean() + 0.5 * (bad[:, None] == good).mean()) > 0.94
 
 
 def test_toxicity_learns(spark):
@@ -178,11 +203,14 @@ def test_toxicity_learns(spark):
     assert all(r["predicted"] == (d % 5 == 0) for d, r in got.items())
 
 
-def test_toxicity_odd(odd, none):
+def test_toxicity_odd(spark, odd, none):
     model = toxicity.fit(none.withColumn("toxic", F.lit(1)))
     rows = toxicity.score(odd, model).collect()
     assert len(rows) == len(ODD) and all(0 <= r["score"] <= 1 and r["predicted"] == 0 for r in rows)
     assert toxicity.keep_clean(odd, model).count() == len(ODD) and toxicity.score(none, model).count() == 0
+    long = spark.createDataFrame([(1, "you idiot " * 150_000), (2, "a " * 500_000)], "doc_id long, text string")
+    own = toxicity.Model({"idiot": 1.0}, {}, weights=[-1.0, 1.0, 0.0, 0.0, 0.0])
+    assert [r["predicted"] for r in sorted(toxicity.score(long, own).collect())] == [1, 0]
 
 
 # Chat
@@ -243,8 +271,17 @@ def test_schedules_are_inverted(spark):
             assert abs(np.trapezoid(own, grid) / integral(knots)[-1] - share) < 1e-4
 
 
+def test_targets_follow_the_integrals(spark):
+    rows = [(k, "w " * 10, "abc"[k % 3]) for k in range(300)]
+    flat = (((0.0, 1.0), (1.0, 1.0)), ((0.0, 2.0), (1.0, 4.0)), ((0.0, 0.0), (0.5, 4.0), (1.0, 0.0)))
+    got = {r["source"]: r["target"] for r in mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), (1, 1, 2), 3, flat).collect()}
+    assert got == {"a": 3000 / 8, "b": 3000 * 3 / 8, "c": 3000 * 4 / 8}
+
+
 def test_mix_odd(odd, none):
     rows = mix(odd).collect()
+    blank = mix(odd.withColumn("text", F.when(F.col("doc_id") > 2, F.col("text"))).withColumn("source", F.col("doc_id").cast("string"))).collect()
+    assert len(blank) == len(ODD) and all(r["taken"] == 0 and r["positions"] == [] for r in blank if r["doc_id"] in (1, 2))
     assert len(rows) == len(ODD) and "score" in rows[0].asDict() and sum(r["taken"] for r in rows if r["doc_id"] == 1) == 0
     assert mix(none).collect() == []
 
@@ -506,6 +543,74 @@ def test_templates_of_another_case(spark):
     assert set(got) == {1, 2, 3} and got[1]["matched"] == got[1]["windows"] and got[3]["slots"] > 0
 
 
+def test_items_without_windows(spark):
+    bench = spark.createDataFrame([(1, "What is 2 + 2?"), (2, "7 8 9 10 11 12"), (3, "..."), (4, "Yes")], "item_id long, text string")
+    rows = [(1, "what is 31 + 31"), (2, "What is 2 + 3?"), (3, "He asked what is 2 + 2 and left."), (4, "1 2 3 4 5 6"), (5, "1 2 3 4 5 6 7"), (6, "yes!"), (7, "Yes, yes"), (8, "?!"), (9, "What is 2 + 2?")]
+    got = {(r["doc_id"], r["item_id"]): (r["slots"], r["changed"]) for r in contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    # Two values of one slot value, as in (2, 1), are another question.
+    assert got == {(1, 1): (1, 1), (4, 2): (6, 6), (6, 4): (0, 0), (9, 1): (1, 0)}
+
+
+def test_templates_of_long_runs(spark):
+    names = " ".join(f"Nn{chr(97 + k % 26)}" for k in range(400))
+    item = f"We heard that on that day the long list of guests named {names} was read aloud by the old man at the door of the hall, all 12 pages of it."
+    other = item.replace("Nna", "Zza").replace("12", "15")
+    docs = spark.createDataFrame([(1, f"{text(30)}. {item} {text(20)}"), (2, other), (3, "A B " * 50_000 + item)], "doc_id long, text string")
+    got = {r["doc_id"]: (r["slots"], r["changed"]) for r in contaminated(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
+    assert got == {1: (2, 0), 2: (2, 2), 3: (2, 0)}
+
+
+def test_texts_that_share_an_id_are_not_added_up(spark):
+    item = text(40)
+    half = item.split()
+    docs = spark.createDataFrame([(1, " ".join(half[:22])), (1, " ".join(half[18:])), (2, item), (2, text(30)), (None, item)], "doc_id long, text string")
+    got = [(r["doc_id"], r["matched"]) for r in contaminated(docs, spark.createDataFrame([(5, item)], "item_id long, text string")).collect()]
+    assert got == [(2, 36)]
+
+
+def test_templates_like_brute_force(spark):
+    items = [f"{text(6)} {k} kg {text(8)} {k + 1} {text(9)}" for k in range(10, 22)]
+    rows = []
+    for k in range(80):
+        w = items[k % 12].split()
+        for at in RNG.choice(len(w), k % 6, replace=False):
+            w[at] = "qq" if w[at].isalpha() else str(RNG.integers(100))
+        rows.append((k, f"{text(5)} {' '.join(w)} {text(4)}"))
+
+    def tokens_of(t):
+        return [("<num>" if x.isdigit() else "<unit>" if x == "kg" else x, x) for x in t.split()]
+
+    def holds(doc, item):
+        d, i = tokens_of(doc), tokens_of(item)
+        grams = {}
+        for a in range(len(d) - 4):
+            grams.setdefault(tuple(x for x, _ in d[a : a + 5]), []).append(a)
+        at = [a for a in range(len(i) - 4) if sum(x[0] != "<" for x, _ in i[a : a + 5]) >= 3]
+        plain_d = {tuple(x for _, x in d[a : a + 5]) for a in range(len(d) - 4)}
+        plain_i = [a for a in range(len(i) - 4) if sum(not x.isdigit() for _, x in i[a : a + 5]) >= 3]
+        if sum(tuple(x for _, x in i[a : a + 5]) in plain_d for a in plain_i) >= 0.8 * len(plain_i):
+            return True
+        hit = [a for a in at if tuple(x for x, _ in i[a : a + 5]) in grams]
+        if len(hit) < 0.8 * len(at):
+            return False
+        shifts = {}
+        for a in range(len(i) - 4):
+            for b in grams.get(tuple(x for x, _ in i[a : a + 5]), []):
+                shifts.setdefault(b - a, []).append(a)
+        best = max(shifts, key=lambda s: (len(shifts[s]), s))
+        values = {}
+        for a in shifts[best]:
+            for j in range(a, a + 5):
+                if i[j][0][0] == "<":
+                    values.setdefault(i[j][1], set()).add(d[j + best][1])
+        return sum(len(v) == 1 for v in values.values()) >= 0.9 * len(values)
+
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    want = {(d, k) for d, t in rows for k, item in enumerate(items) if holds(t, item)}
+    assert got == want and 10 < len(want) < 60
+
+
 # Languages
 
 
@@ -516,6 +621,8 @@ def test_languages(spark, odd, none):
     scorer = langid.fit(docs.where("doc_id < 150"))
     got = by_id(langid.identify(docs.where("doc_id >= 150"), scorer))
     assert all(r["lang_pred"] == ("x", "y")[d % 2] and 0.5 < r["score"] <= 1 for d, r in got.items())
+    signs = spark.createDataFrame([(1, "² ½ ① 12"), (2, "_ 3"), (3, "ª"), (4, "a" * 3_000_000)], "doc_id long, text string")
+    assert [r["lang_pred"] == "und" for r in sorted(langid.identify(signs, scorer).collect())] == [True, True, False, False]
     out = langid.identify(odd, scorer).collect()
     assert {r["doc_id"]: r["lang_pred"] for r in out}[1] == "und" and len(out) == len(ODD)
     nothing = langid.fit(none.withColumn("lang", F.lit("x")))
@@ -552,7 +659,7 @@ def test_code_lengths_are_exact():
         return total
 
     for t in ["abra", "banana abracadabra", "quite other", "ab\nxé"]:
-        assert abs(scorer.bits([t])[0, 0] - bits(t)) < 1e-3
+        assert abs(scorer.bits([t])[0, 0] - bits(t)) < 1e-9
 
 
 # Images
