@@ -21,9 +21,13 @@ from pyspark.sql import types as T
 KEY_BITS = 48
 
 
-def node_id(number: int, key: Column) -> Column:
-    """A node id from the number of its label and its key in the table."""
-    return (key.cast("long") + F.lit(number << KEY_BITS)).alias("_id")
+def node_id(number: int, key: Column, checked: bool = False) -> Column:
+    """A node id from the number of its label and its key in the table. A key that
+    has no room in it would run into another label's ids; checked: that fails."""
+    key = key.cast("long")
+    if checked:
+        key = F.when(key.isNull() | key.between(0, (1 << KEY_BITS) - 1), key).otherwise(F.raise_error(F.concat(F.lit("node key out of range: "), key.cast("string"))).cast("long"))
+    return (key + F.lit(number << KEY_BITS)).alias("_id")
 
 
 def union(frames: list[DataFrame]) -> DataFrame:
@@ -42,8 +46,10 @@ class Graph:
         self.unique: set[tuple[str, str]] = set()
         self.fulltext: dict[str, tuple[str, str]] = {}
         self.vectors: dict[tuple[str, str], dict] = {}
+        #: Where the graph was opened or saved, and which version it stems from.
         self.path: str | None = None
-        self._writer = threading.Lock()
+        self.version = 0
+        self._writer = threading.RLock()
 
     # Reading
 
@@ -55,35 +61,54 @@ class Graph:
 
     execute = cypher
 
-    def batch(self, texts: list[str]) -> list[DataFrame]:
-        """Several statements as one: if one fails, none has happened."""
-        before = self.snapshot()
+    def batch(self, texts: list[str], params: dict | None = None) -> list[DataFrame]:
+        """Several statements as one: others see all of them or none, and if one
+        fails, none has happened."""
+        lock = self.write()
         try:
-            return [self.cypher(t) for t in texts]
-        except Exception:
-            self.nodes, self.edges, self.numbers, self.unique = before.nodes, before.edges, before.numbers, before.unique
-            raise
+            work = self.snapshot()
+            out = [work.cypher(t, params) for t in texts]
+            self.take(work)
+            return out
+        finally:
+            lock.release()
+
+    def take(self, other: Graph) -> None:
+        """Become what the other graph is."""
+        self.nodes, self.edges, self.numbers = other.nodes, other.edges, other.numbers
+        self.unique, self.fulltext, self.vectors = other.unique, other.fulltext, other.vectors
 
     def execute_with_timeout(self, text: str, seconds: float, params: dict | None = None) -> list:
-        """Collect a statement's rows; its jobs are cancelled after so long."""
-        tag = f"loomgraph-{uuid.uuid4().hex}"
-        late = threading.Timer(seconds, lambda: self.spark.sparkContext.cancelJobsWithTag(tag))
+        """Collect a statement's rows. After so long its jobs are cancelled, and that
+        is a TimeoutError."""
+        tag, over = f"loomgraph-{uuid.uuid4().hex}", threading.Event()
+
+        def stop() -> None:
+            over.set()
+            self.spark.sparkContext.cancelJobsWithTag(tag)
+
+        late = threading.Timer(seconds, stop)
         late.start()
-        self.spark.addTag(tag)
         self.spark.sparkContext.addJobTag(tag)
         try:
             return self.cypher(text, params).collect()
+        except Exception as e:
+            if over.is_set():
+                raise TimeoutError(f"not done after {seconds} s") from e
+            raise
         finally:
             late.cancel()
-            self.spark.removeTag(tag)
             self.spark.sparkContext.removeJobTag(tag)
 
     def snapshot(self) -> Graph:
-        """A graph that later writes to this one don't change."""
+        """A graph that later writes to this one don't change: a read transaction."""
         other = Graph(self.spark, self.nodes, self.edges, self.numbers)
-        other.unique, other.fulltext, other.vectors = set(self.unique), dict(self.fulltext), dict(self.vectors)
+        other.unique, other.fulltext, other.vectors = set(self.unique), dict(self.fulltext), {k: dict(v) for k, v in self.vectors.items()}
+        other.path, other.version = self.path, self.version
         return other
 
+    begin_read = snapshot
+
     def distinct(self) -> Graph:
         """The graph with parallel edges folded into the first of their columns'
         least values."""
@@ -138,6 +163,13 @@ class Graph:
 
         return bm25_top(self.nodes[label].select("_id", F.col(f"`{prop}`").alias("text")), query, limit)
 
+    def fulltext_candidates(self, label: str, prop: str, query: str, every: bool = False) -> DataFrame:
+        """`_id` of the nodes whose property holds any, or every, term of a query."""
+        from loomgraph.operators.search import matches
+
+        t = self.nodes[label].where(F.col(f"`{prop}`").isNotNull())
+        return t.where(matches(F.col(f"`{prop}`"), query, every)).select("_id")
+
     def vector_search(self, label: str, prop: str, query: list[float], k: int = 10, metric: str | None = None) -> DataFrame:
         from loomgraph.operators.search import vector_top
 
@@ -156,8 +188,36 @@ class Graph:
 
     # Writing: every change makes new tables, and takes effect at once.
 
+    def merge_node_by_property(self, label: str, key: str, value: object, properties: dict | None = None) -> int:
+        """The id of the node of this label with that property, which gets the other
+        properties; a new node if there is none. Of several nodes with the property
+        all are changed, and the least id is returned."""
+        names = [key, *(properties or {})]
+        if not all(n.isidentifier() for n in [label, *names]):
+            raise ValueError(f"not names: {label}, {names}")
+        values = {f"p{k}": v for k, v in enumerate([value, *(properties or {}).values()])}
+        sets = ", ".join(f"n.{n} = $p{k}" for k, n in enumerate(names) if k)
+        on = f" ON CREATE SET {sets} ON MATCH SET {sets}" if sets else ""
+        self.cypher(f"MERGE (n:{label} {{{key}: $p0}}){on}", values)
+        return self.nodes[label].where(F.col(f"`{key}`") == F.lit(value)).agg(F.min("_id")).first()[0]
+
+    def set_property(self, id: int, name: str, value: object) -> bool:
+        """Set a property of one node; whether there is such a node."""
+        label = next((x for x, k in self.numbers.items() if k == id >> KEY_BITS and x in self.nodes), None)
+        if label is None or self.nodes[label].where(F.col("_id") == id).isEmpty():
+            return False
+        if not name.isidentifier():
+            raise ValueError(f"not a name: {name}")
+        self.cypher(f"MATCH (n:{label}) WHERE id(n) = $id SET n.{name} = $value", {"id": id, "value": value})
+        return True
+
+    def create_fulltext_index(self, name: str, label: str, prop: str) -> None:
+        """Name a property for full-text search. What is added to the label later is
+        found too: the search reads the table."""
+        self.fulltext[name] = (label, prop)
+
     def write(self):
-        """The one writer's lock; a second writer is turned away."""
+        """The one writer's lock; another thread that wants to write is turned away."""
         if not self._writer.acquire(blocking=False):
             raise Conflict("another writer is at work")
         return self._writer
@@ -205,18 +265,19 @@ class Graph:
 
         return kept(rows)
 
-    def save(self, path: str) -> str:
-        """Publish a version: write all tables to a new folder, then switch the
-        pointer, which is one small file."""
+    def save(self, path: str) -> int:
+        """Publish a version: write all tables to a new folder, then name them in one
+        small file. A Conflict if others have published since this graph was opened."""
         from loomgraph.sources.storage import save
 
         return save(self, path)
 
     @staticmethod
-    def open(spark: SparkSession, path: str) -> Graph:
+    def open(spark: SparkSession, path: str, version: int | None = None) -> Graph:
+        """A published version, the last one by default."""
         from loomgraph.sources.storage import load
 
-        return load(spark, path)
+        return load(spark, path, version)
 
     def create_vector_index(self, label: str, prop: str, dimensions: int, similarity: str = "cosine") -> None:
         if similarity not in ("cosine", "dot", "euclidean"):

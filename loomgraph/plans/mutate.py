@@ -41,7 +41,7 @@ def schema(graph: Graph, s: Schema) -> DataFrame:
             graph.edges = {k: e.repartition("_src").sortWithinPartitions("_src", "_dst") for k, e in graph.edges.items()}
         path = graph.path
         graph.save(path)
-        new = Graph.open(graph.spark, path)
+        new = Graph.open(graph.spark, path, graph.version)
         graph.nodes, graph.edges = new.nodes, new.edges
     # An equality index needs nothing: Parquet statistics prune.
     return done

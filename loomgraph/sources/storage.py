@@ -1,27 +1,59 @@
-"""Tables that are written: intermediate ones, and published versions."""
+"""Tables that are written: intermediate ones, and published versions.
+
+A saved graph is a folder with `data-*`, the tables of each version, and `commits`,
+in which file N names the tables of version N. A version is published by renaming
+its file, written before under another name, to a number that isn't taken yet: a
+reader sees it whole or not at all, and of two writers that have started from the
+same version only one can publish the next.
+"""
 
 from __future__ import annotations
 
+import atexit
 import json
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+_made: list[tuple[SparkSession, str]] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder in spark.checkpoint.dir. On a single machine, as in tests, it may
+    be unset, and a folder of our own is taken."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir is unset: executors and driver need a folder that all of them share")
         found = f"file://{tempfile.mkdtemp(prefix='loomgraph-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def scratch(spark: SparkSession, name: str = "tables") -> str:
+    """A new path in the shared folder that goes when the process ends."""
+    path = f"{shared_dir(spark)}/loomgraph-{name}/{uuid.uuid4().hex}"
+    _made.append((spark, path))
+    return path
+
+
+@atexit.register
+def _at_exit() -> None:
+    for spark, path in _made:
+        try:
+            fs, at = _filesystem(spark, path)
+            fs.delete(at, True)
+        except Exception:  # noqa: BLE001  the JVM may be gone already
+            return
+
+
 def kept(df: DataFrame) -> DataFrame:
-    """Write a table to the shared folder and read it back; its lineage is cut."""
-    path = f"{shared_dir(df.sparkSession)}/loomgraph-tables/{uuid.uuid4().hex}"
+    """Write a table to the shared folder and read it back; its lineage is cut. It
+    stays as long as the process, as graphs and results may read it."""
+    path = scratch(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -44,40 +76,88 @@ def _read_text(spark: SparkSession, path: str) -> str:
     return "\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect())
 
 
-def save(graph, path: str) -> str:
-    """Write all tables as a new version in `path`, then name it in CURRENT. Readers
-    of the version before keep its files."""
-    version = uuid.uuid4().hex
-    root = f"{path.rstrip('/')}/{version}"
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the versions that have been published, ascending."""
+    fs, at = _filesystem(spark, f"{path.rstrip('/')}/commits")
+    if not fs.exists(at):
+        return []
+    names = [f.getPath().getName() for f in fs.listStatus(at)]
+    return sorted(int(n) for n in names if n.isdigit())
+
+
+def _publish(spark: SparkSession, draft: str, target: str) -> bool:
+    """Rename, unless the target is there."""
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    path = jvm.org.apache.hadoop.fs.Path
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(path(target).toUri(), spark.sparkContext._jsc.hadoopConfiguration()) if "://" in target else jvm.org.apache.hadoop.fs.FileContext.getFileContext(spark.sparkContext._jsc.hadoopConfiguration())
+    options = gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+    try:
+        context.rename(path(draft), path(target), options)
+    except Py4JJavaError as e:
+        if "FileAlreadyExistsException" in str(e.java_exception):
+            return False
+        raise
+    return True
+
+
+def save(graph, path: str) -> int:
+    """Write all tables as a new version in `path` and publish it; its number. If
+    the graph was opened here (or saved here before) and others have published since,
+    that is a Conflict and nothing changes."""
+    from loomgraph.graph import Conflict
+
+    spark, path = graph.spark, path.rstrip("/")
+    known = versions(spark, path)
+    base = graph.version if graph.path == path else (known[-1] if known else 0)
+    if known and known[-1] != base:
+        raise Conflict(f"version {known[-1]} was published since version {base} was opened")
+    name = f"data-{uuid.uuid4().hex}"
     for x, t in graph.nodes.items():
-        t.write.parquet(f"{root}/nodes/{x}")
+        t.write.parquet(f"{path}/{name}/nodes/{x}")
     for (s, r, d), t in graph.edges.items():
-        t.write.parquet(f"{root}/edges/{s}.{r}.{d}")
-    _write_text(graph.spark, f"{root}/manifest.json", json.dumps(graph.manifest()))
-    _write_text(graph.spark, f"{path.rstrip('/')}/CURRENT.next", version)
-    fs, new = _filesystem(graph.spark, f"{path.rstrip('/')}/CURRENT.next")
-    _, old = _filesystem(graph.spark, f"{path.rstrip('/')}/CURRENT")
-    fs.delete(old, False)
-    fs.rename(new, old)
-    graph.path = path
-    return version
-
-
-def load(spark: SparkSession, path: str):
-    """The current version of a saved graph; an empty one if nothing was saved."""
+        t.write.parquet(f"{path}/{name}/edges/{s}.{r}.{d}")
+    draft = f"{path}/commits/draft-{uuid.uuid4().hex}"
+    _write_text(spark, draft, json.dumps({"data": name, **graph.manifest()}))
+    if not _publish(spark, draft, f"{path}/commits/{base + 1:012d}"):
+        for gone in (draft, f"{path}/{name}"):
+            fs, at = _filesystem(spark, gone)
+            fs.delete(at, True)
+        raise Conflict(f"version {base + 1} was published by another writer")
+    graph.path, graph.version = path, base + 1
+    return base + 1
+
+
+def load(spark: SparkSession, path: str, version: int | None = None):
+    """A version of a saved graph, the last one by default; an empty graph if nothing
+    was saved."""
     from loomgraph.graph import Graph, empty
 
-    fs, at = _filesystem(spark, f"{path.rstrip('/')}/CURRENT")
-    if not fs.exists(at):
+    path = path.rstrip("/")
+    known = versions(spark, path)
+    if version is not None and version not in known:
+        raise ValueError(f"there is no version {version} in {path}")
+    if not known:
         graph = empty(spark)
         graph.path = path
         return graph
-    root = f"{path.rstrip('/')}/{_read_text(spark, f'{path.rstrip("/")}/CURRENT')}"
-    m = json.loads(_read_text(spark, f"{root}/manifest.json"))
-    kind = T.StructType.fromJson
+    version = known[-1] if version is None else version
+    m = json.loads(_read_text(spark, f"{path}/commits/{version:012d}"))
+    root, kind = f"{path}/{m['data']}", T.StructType.fromJson
     nodes = {x: spark.read.schema(kind(s)).parquet(f"{root}/nodes/{x}") for x, s in m["nodes"].items()}
     edges = {(s, r, d): spark.read.schema(kind(t)).parquet(f"{root}/edges/{s}.{r}.{d}") for s, r, d, t in m["edges"]}
     graph = Graph(spark, nodes, edges, m["numbers"])
-    graph.unique, graph.path = {tuple(x) for x in m["unique"]}, path
+    graph.unique, graph.path, graph.version = {tuple(x) for x in m["unique"]}, path, version
     graph.fulltext, graph.vectors = {k: tuple(v) for k, v in m["fulltext"].items()}, {(a, b): v for a, b, v in m["vectors"]}
     return graph
+
+
+def vacuum(spark: SparkSession, path: str, keep: int = 1) -> list[int]:
+    """Remove all but the last `keep` versions; the numbers of those removed. Not to
+    be called while an old version is read."""
+    path, old = path.rstrip("/"), versions(spark, path)[:-keep]
+    for version in old:
+        m = json.loads(_read_text(spark, f"{path}/commits/{version:012d}"))
+        for gone in (f"{path}/commits/{version:012d}", f"{path}/{m['data']}"):
+            fs, at = _filesystem(spark, gone)
+            fs.delete(at, True)
+    return old

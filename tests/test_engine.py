@@ -1,6 +1,7 @@
 """Small graphs with known answers: patterns, paths, nulls, writes."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from loomgraph.graph import Conflict, Graph, empty
 from loomgraph.plans.expressions import Unknown
@@ -132,3 +133,119 @@ def test_save_and_open(spark, tmp_path):
     again.cypher("CHECKPOINT")
     assert rows(Graph.open(spark, str(tmp_path)).cypher("MATCH (a:P) RETURN a.v AS v")) == [(3,), (None,)]
     assert Graph.open(spark, str(tmp_path / "new")).labels() == []
+
+
+def test_two_writers_of_one_path(spark, tmp_path):
+    g = empty(spark)
+    g.cypher("CREATE (a:P {name: 'x'})")
+    assert g.save(str(tmp_path)) == 1
+    one, two = Graph.open(spark, str(tmp_path)), Graph.open(spark, str(tmp_path))
+    one.cypher("MATCH (a:P) SET a.v = 1")
+    two.cypher("MATCH (a:P) SET a.v = 2")
+    assert one.save(str(tmp_path)) == 2
+    with pytest.raises(Conflict):
+        two.save(str(tmp_path))
+    with pytest.raises(Conflict):
+        two.cypher("CHECKPOINT")
+    assert rows(Graph.open(spark, str(tmp_path)).cypher("MATCH (a:P) RETURN a.v AS v")) == [(1,)]
+    assert len([p for p in tmp_path.iterdir() if p.name.startswith("data-")]) == 2
+
+
+def test_reading_at_a_version(spark, tmp_path):
+    from loomgraph.sources.storage import vacuum, versions
+
+    path, g = str(tmp_path), empty(spark)
+    g.cypher("CREATE (a:P {name: 'x'})")
+    for k in range(3):
+        g.cypher("MATCH (a:P) SET a.v = $k", {"k": k})
+        g.save(path)
+    assert [rows(Graph.open(spark, path, n).cypher("MATCH (a:P) RETURN a.v AS v")) for n in (1, 2, 3)] == [[(0,)], [(1,)], [(2,)]]
+    with pytest.raises(ValueError, match="version 9"):
+        Graph.open(spark, path, 9)
+    assert vacuum(spark, path) == [1, 2] and versions(spark, path) == [3]
+    assert rows(Graph.open(spark, path).cypher("MATCH (a:P) RETURN a.v AS v")) == [(2,)]
+    (tmp_path / "commits" / f"{4:012d}").write_text("half a fi")
+    with pytest.raises(ValueError):
+        Graph.open(spark, path)
+
+
+def test_publishing_takes_no_taken_number(spark, tmp_path):
+    from loomgraph.sources.storage import _publish
+
+    (tmp_path / "a").write_text("first")
+    (tmp_path / "b").write_text("second")
+    assert _publish(spark, str(tmp_path / "a"), str(tmp_path / "n")) and not _publish(spark, str(tmp_path / "b"), str(tmp_path / "n"))
+    assert (tmp_path / "n").read_text() == "first"
+
+
+def test_batch_is_one(spark):
+    g = empty(spark)
+    g.cypher("CREATE (a:P {name: 'x'})")
+    with pytest.raises(Unknown):
+        g.batch(["CREATE (a:P {name: 'y'})", "CREATE FULLTEXT INDEX i FOR (p:P) ON EACH [p.name]", "CREATE CONSTRAINT ON (p:P) ASSERT p.name IS UNIQUE", "RETURN nope(1) AS x"])
+    assert not g.fulltext and not g.unique and g.cypher("MATCH (a:P) RETURN count(*) AS n").first()[0] == 1
+    out = g.batch(["CREATE (a:P {name: $n})", "MATCH (a:P) RETURN count(*) AS n"], {"n": "z"})
+    assert out[1].first()[0] == 2 and g.cypher("MATCH (a:P) RETURN count(*) AS n").first()[0] == 2
+
+
+def test_one_writer_at_a_time(spark):
+    import threading
+
+    g, turned = empty(spark), []
+
+    def other():
+        try:
+            g.cypher("CREATE (a:P {name: 'y'})")
+        except Conflict:
+            turned.append(True)
+
+    lock = g.write()
+    t = threading.Thread(target=other)
+    t.start()
+    t.join()
+    lock.release()
+    assert turned == [True]
+    g.cypher("CREATE (a:P {name: 'y'})")
+    assert g.counts() == (1, 0)
+
+
+def test_upsert(spark):
+    g = empty(spark)
+    first = g.merge_node_by_property("P", "name", "x", {"v": 1})
+    assert g.merge_node_by_property("P", "name", "x", {"v": 2}) == first
+    other = g.merge_node_by_property("P", "name", "it's", None)
+    assert other != first and g.set_property(other, "v", 7) and not g.set_property(12345, "v", 7)
+    assert rows(g.cypher("MATCH (a:P) RETURN a.name AS n, a.v AS v")) == [("it's", 7), ("x", 2)]
+    with pytest.raises(ValueError, match="not names"):
+        g.merge_node_by_property("P", "name: 1}) //", "x")
+
+
+def test_keys_that_have_no_room(spark):
+    from pyspark.errors import PySparkException
+
+    from loomgraph.graph import node_id
+
+    keys = spark.createDataFrame([(5,), (None,)], "k long")
+    assert [r[0] for r in keys.select(node_id(2, F.col("k"), True)).collect()] == [(2 << 48) + 5, None]
+    for k in (-1, 1 << 48):
+        with pytest.raises(PySparkException, match="out of range"):
+            spark.createDataFrame([(k,)], "k long").select(node_id(2, F.col("k"), True)).collect()
+
+
+def test_patterns_in_optional_matches(graph):
+    text = "MATCH (n:P) OPTIONAL MATCH (n)-[:R]->(m:P) WHERE (m)-[:R]->(:P {name: 'e'}) OR m.name = 'a' RETURN n.name AS n, m.name AS m"
+    assert rows(graph.cypher(text)) == sorted([("a", None), ("b", "d"), ("c", "d"), ("d", None), ("e", "a")], key=repr)
+    text = "MATCH (n:P) OPTIONAL MATCH (n)-[:R]->(m:P) WHERE NOT EXISTS { (m)-[:R]->(x:P) WHERE x.v > n.v } RETURN n.name AS n, count(m) AS c"
+    assert rows(graph.cypher(text)) == [("a", 0), ("b", 0), ("c", 1), ("d", 1), ("e", 1)]
+
+
+def test_call_with_a_relationship(spark):
+    g = Graph(spark, {"P": spark.range(2).withColumnRenamed("id", "_id")}, {("P", "R", "P"): spark.createDataFrame([(0, 1, 2), (0, 1, 1)], "_src long, _dst long, w long")}, {"P": 0})
+    assert rows(g.cypher("MATCH (a)-[r:R]->(b) CALL { WITH r RETURN r.w * 10 AS x } RETURN r.w AS w, x")) == [(1, 10), (2, 20)]
+
+
+def test_timeout(spark):
+    g = empty(spark)
+    assert [r[0] for r in g.execute_with_timeout("RETURN 1 AS x", 60)] == [1]
+    with pytest.raises(TimeoutError):
+        g.execute_with_timeout("UNWIND range(1, 3000) AS x UNWIND range(1, 3000) AS y UNWIND range(1, 3000) AS z RETURN sum(x * y % 7 + z) AS s", 2)
