@@ -54,24 +54,18 @@ def shortest(pairs: DataFrame, edges: DataFrame, high: int) -> DataFrame:
     """(`_s`, `_t`, `_hops`) for the pairs (`_s`, `_t`) that a path of at most so
     many hops joins; 0 for a node and itself.
 
-    Breadth first from the distinct starts. A pair that has been found is asked no
-    more, and the search ends when no pair or no new node is left."""
+    Breadth first from the distinct starts, one table a level, each node once for
+    each start. A start whose pairs have all been found goes no further, and the
+    search ends when no new node is left."""
     pairs = kept(pairs.where("_s is not null and _t is not null").distinct())
-    found = [pairs.where("_s = _t").withColumn("_hops", F.lit(0).cast("long"))]
-    open_ = kept(pairs.where("_s != _t"))
-    seen = level = kept(open_.select("_s").distinct().select("_s", F.col("_s").alias("_t")))
+    edges = kept(edges)  # read again by each level
+    level = pairs.select("_s").distinct().select("_s", F.col("_s").alias("_t"), F.lit(0).cast("long").alias("_hops"))
+    seen = level
     for hops in range(1, high + 1):
-        if open_.isEmpty():
-            break
-        level = level.join(open_.select("_s").distinct(), "_s", "left_semi")
-        level = level.join(edges, F.col("_t") == F.col("_from")).select("_s", F.col("_to").alias("_t")).distinct()
-        level = kept(level.join(seen, ["_s", "_t"], "left_anti"))
+        open_ = pairs.join(seen, ["_s", "_t"], "left_anti").select("_s").distinct()
+        level = level.join(open_, "_s", "left_semi").join(edges, F.col("_t") == F.col("_from")).select("_s", F.col("_to").alias("_t")).distinct()
+        level = kept(level.join(seen, ["_s", "_t"], "left_anti").withColumn("_hops", F.lit(hops).cast("long")))
         if level.isEmpty():
             break
-        found.append(kept(open_.join(level, ["_s", "_t"], "left_semi")).withColumn("_hops", F.lit(hops).cast("long")))
-        open_ = kept(open_.join(level, ["_s", "_t"], "left_anti"))
         seen = seen.union(level)
-    out = found[0]
-    for x in found[1:]:
-        out = out.union(x)
-    return out
+    return pairs.join(seen, ["_s", "_t"])

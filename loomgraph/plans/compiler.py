@@ -7,7 +7,7 @@ import itertools
 from dataclasses import replace
 from typing import Any
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -160,8 +160,8 @@ class Compiler:
             for c in own:
                 found.df = found.df.where(Expressions(found.df, found.vars, self.params).condition(c))
             tests = conditions + mixed
-            if any(isinstance(x, Exists | Shortest) for x in walk(tuple(tests))):
-                raise ValueError("a pattern in the WHERE of an OPTIONAL MATCH")
+            if any(isinstance(x, Exists | Shortest | Call) and not self._plain_call(x) for x in walk(tuple(tests))):
+                return self.match_by_row(m, left)
 
             def condition(a: DataFrame, b: DataFrame, vars: dict):
                 both = a.crossJoin(b).limit(0)  # for the types alone
@@ -176,9 +176,20 @@ class Compiler:
             out.df = out.df.where(Expressions(out.df, out.vars, self.params).condition(c))
         return self.filtered(out, where)
 
+    def match_by_row(self, m: Match, left: Rows) -> Rows:
+        """OPTIONAL MATCH whose test needs joins of its own: a MATCH of numbered rows,
+        which are joined with what it finds by their numbers."""
+        from loomgraph.sources.storage import kept
+
+        key = f"_q{next(self.fresh)}"
+        numbered = kept(left.df.withColumn(key, F.monotonically_increasing_id()))
+        inner = self.match(replace(m, optional=False), Rows(numbered, dict(left.vars), dict(left.labels)))
+        new = [col(c) for c in inner.df.columns if c not in numbered.columns]
+        return Rows(numbered.join(inner.df.select(key, *new), key, "left").drop(key), {**left.vars, **inner.vars}, {**left.labels, **inner.labels})
+
     @staticmethod
     def _plain_call(x: Any) -> bool:
-        return isinstance(x, Call) and x.name not in ("full_text_search", "bm25_score", "hybrid_search")
+        return isinstance(x, Call) and x.name not in ("full_text_search", "bm25_score", "hybrid_search", "out_degree", "in_degree", "degree")
 
     def filtered(self, rows: Rows, tests: list) -> Rows:
         """WHERE: patterns become semi and anti joins where they stand alone."""
@@ -431,19 +442,27 @@ class Compiler:
             return inner if rows is None else Rows(rows.df.crossJoin(inner.df), {**rows.vars, **inner.vars}, rows.labels)
         if rows is None:
             raise Unknown(f"unknown variable {s.imports[0]}")
-        ids = {v: (f"{v}._id" if rows.vars.get(v) == "node" else v) for v in s.imports}
-        if any(v not in rows.vars or rows.vars[v] == "rel" for v in s.imports):
-            raise Unknown(f"only nodes and values can be imported: {', '.join(s.imports)}")
+        if any(v not in rows.vars for v in s.imports):
+            raise Unknown(f"only what is bound can be imported: {', '.join(s.imports)}")
+
+        def identity(v: str) -> Column:
+            """What tells values apart; of a relationship all columns, as parallel ones
+            differ in their properties alone."""
+            if rows.vars[v] == "rel":
+                return F.struct(*[col(c) for c in rows.df.columns if c.startswith(f"{v}.")])
+            return col(f"{v}._id" if rows.vars[v] == "node" else v)
+
         keys = {v: f"_k:{v}" for v in s.imports}
         own = [c for c in rows.df.columns if c in s.imports or c.split(".")[0] in s.imports]
-        distinct = self.distinct(Rows(rows.df.select(*map(col, own)), {v: rows.vars[v] for v in s.imports}))
-        seed = distinct.select("*", *[col(ids[v]).alias(k) for v, k in keys.items()])
+        imported = Rows(rows.df.select(*map(col, own)), {v: rows.vars[v] for v in s.imports})
+        distinct = imported.df.distinct() if "rel" in imported.vars.values() else self.distinct(imported)
+        seed = distinct.select("*", *[identity(v).alias(k) for v, k in keys.items()])
         inner = self.statement(s.query, Rows(seed, {v: rows.vars[v] for v in s.imports}, {v: rows.labels[v] for v in s.imports if v in rows.labels}), tuple(keys.values()))
         columns = [c for c in inner.df.columns if c not in keys.values()]
         df, last = inner.df, s.query.clauses[-1] if isinstance(s.query, Query) else None
         test = F.lit(True)
         for v, k in keys.items():
-            test = test & col(ids[v]).eqNullSafe(col(k))
+            test = test & identity(v).eqNullSafe(col(k))
         # Without keys of its own, an aggregate has a row for every outer row.
         total = isinstance(last, Return) and all(is_aggregate(i.expr) for i in last.body.items) and last.body.limit is None
         out = rows.df.join(df, test, "left" if total else "inner").drop(*keys.values())

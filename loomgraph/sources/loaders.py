@@ -3,6 +3,7 @@ by executors, in parallel, but for file names."""
 
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -116,9 +117,21 @@ def _props(df: DataFrame) -> Column:
     return F.to_json(F.struct(*[F.col(f"`{c}`") for c in own])) if own else F.lit("{}")
 
 
+def _schemas(spark: SparkSession, path: str) -> dict:
+    """Schemas of a dump's tables by name; none if it has no such file."""
+    from loomgraph.sources.storage import _filesystem, _read_text
+
+    fs, at = _filesystem(spark, f"{path}/schemas.json")
+    return json.loads(_read_text(spark, f"{path}/schemas.json")) if fs.exists(at) else {}
+
+
 def export_json(graph: Graph, path: str) -> None:
     """Folders of JSON lines: nodes (node_id, label, labels, properties) and edges
-    (src_id, dst_id, rel_type, properties)."""
+    (src_id, dst_id, rel_type, properties); and schemas.json, the types of them."""
+    from loomgraph.sources.storage import _write_text
+
+    schemas = {f"node {x}": json.loads(t.schema.json()) for x, t in graph.nodes.items()} | {f"edge {s} {r} {d}": json.loads(t.schema.json()) for (s, r, d), t in graph.edges.items()}
+    _write_text(graph.spark, f"{path}/schemas.json", json.dumps(schemas))
     for x, t in graph.nodes.items():
         labels = F.col("_labels") if "_labels" in t.columns else F.array(F.lit(x))
         t.select(F.col("_id").alias("node_id"), F.lit(x).alias("label"), labels.alias("labels"), _props(t).alias("properties")).write.mode("append").json(f"{path}/nodes")
@@ -129,20 +142,24 @@ def export_json(graph: Graph, path: str) -> None:
 def import_json(spark: SparkSession, path: str) -> Graph:
     """The inverse of export_json(): ids stay."""
 
-    def opened(df: DataFrame) -> DataFrame:
-        schema = df.select(F.schema_of_json_agg("properties")).first()[0] if hasattr(F, "schema_of_json_agg") else None
-        if schema is None:
-            schema = spark.read.json(df.select("properties").rdd.map(lambda r: r[0])).schema
-        schema = T.StructType(schema.fields) if isinstance(schema, T.StructType) else schema
-        body = df.withColumn("_p", F.from_json("properties", schema))
-        names = schema.fieldNames() if isinstance(schema, T.StructType) else []
-        return body.select(*[c for c in df.columns if c[0] == "_"], *[F.col(f"_p.`{c}`").alias(c) for c in names])
+    known = _schemas(spark, path)
+
+    def opened(df: DataFrame, name: str) -> DataFrame:
+        kept = [c for c in df.columns if c[0] == "_"]
+        if name in known:
+            schema = T.StructType([f for f in T.StructType.fromJson(known[name]).fields if f.name[0] != "_"])
+            body = df.withColumn("_p", F.from_json("properties", schema))
+            return body.select(*kept, *[F.col(f"_p.`{c}`").alias(c) for c in schema.fieldNames()])
+        # A dump of another hand: the names of its properties, one row for each.
+        body = df.withColumn("_p", F.from_json("properties", "map<string,string>"))
+        names = sorted(r[0] for r in body.select(F.explode(F.map_keys("_p"))).distinct().collect())
+        return _typed(body.select(*kept, *[F.col("_p")[c].alias(c) for c in names]))
 
     n = spark.read.schema(DUMP_NODE).json(f"{path}/nodes")
     nodes, numbers = {}, {}
     for label, number in sorted((r[0], r[1]) for r in n.groupBy("label").agg(F.min(F.shiftright("node_id", KEY_BITS))).collect()):
         numbers[label] = number
-        nodes[label] = opened(n.where(F.col("label") == label).select(F.col("node_id").alias("_id"), F.col("labels").alias("_labels"), "properties"))
+        nodes[label] = opened(n.where(F.col("label") == label).select(F.col("node_id").alias("_id"), F.col("labels").alias("_labels"), "properties"), f"node {label}")
     edges = {}
     try:
         e = spark.read.schema(DUMP_EDGE).json(f"{path}/edges")
@@ -153,7 +170,7 @@ def import_json(spark: SparkSession, path: str) -> Graph:
         kinds = []
     for s, r, d in sorted(kinds):
         own = e.where((F.col("src_label") == s) & (F.col("rel_type") == r) & (F.col("dst_label") == d))
-        edges[s, r, d] = opened(own.select(F.col("src_id").alias("_src"), F.col("dst_id").alias("_dst"), "properties"))
+        edges[s, r, d] = opened(own.select(F.col("src_id").alias("_src"), F.col("dst_id").alias("_dst"), "properties"), f"edge {s} {r} {d}")
     return Graph(spark, nodes, edges, numbers)
 
 

@@ -32,3 +32,19 @@ def test_apoc(spark, tmp_path):
 def test_result_json(spark):
     found = [json.loads(r[0]) for r in result_json(spark.createDataFrame([(1, "x"), (2**60, None)], "n long, s string")).collect()]
     assert found == [{"n": 1, "s": "x"}, {"n": str(2**60)}]
+
+
+def test_json_keeps_types_and_nulls(spark, tmp_path):
+    from loomgraph.sources.loaders import export_json, import_json
+
+    g = empty(spark)
+    g.cypher("CREATE (a:P {name: 'x', v: 1.5, n: 7})-[:K {w: 2}]->(b:P {name: '8'}), (c:Q {tags: ['a', 'b']})")
+    export_json(g, str(tmp_path / "d"))
+    text = "MATCH (a:P) RETURN a.name AS name, a.v AS v, a.n AS n ORDER BY name"
+    again = import_json(spark, str(tmp_path / "d"))
+    assert again.cypher(text).collect() == g.cypher(text).collect() and again.cypher(text).dtypes == g.cypher(text).dtypes
+    assert again.cypher("MATCH (c:Q) RETURN c.tags AS t").first()[0] == ["a", "b"]
+    assert again.cypher("MATCH (a)-[k:K]->(b) RETURN k.w AS w").first()[0] == 2
+    (tmp_path / "d" / "schemas.json").unlink()
+    bare = import_json(spark, str(tmp_path / "d"))
+    assert bare.cypher("MATCH (a:P {name: 'x'}) RETURN a.v AS v, a.n AS n").first() == (1.5, 7)
