@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from loomgraph import interactive
 from loomgraph.sources.shop import shop
 
 #: name: (statement, SQL)
@@ -17,7 +18,7 @@ READS: dict[str, tuple[str, str]] = {
     "multi_label_none": ("MATCH (n:Nation:Region) RETURN count(n) AS n", "SELECT CAST(0 AS BIGINT) AS n"),
     "index_equality": ("MATCH (p:Part {partkey: 7}) RETURN p.name AS name, p.brand AS brand", "SELECT p_name AS name, p_brand AS brand FROM part WHERE p_partkey = 7"),
     "index_range": ("MATCH (p:Part) WHERE p.size >= 10 AND p.size < 12 RETURN p.partkey AS k", "SELECT p_partkey AS k FROM part WHERE p_size >= 10 AND p_size < 12"),
-    "text_contains": ("MATCH (p:Part) WHERE p.type CONTAINS 'E' AND p.name ENDS WITH '7' RETURN p.partkey AS k", "SELECT p_partkey AS k FROM part WHERE contains(p_type, 'E') AND p_name LIKE '%7'"),
+    "text_contains": ("MATCH (p:Part) WHERE p.type CONTAINS 'DI' AND p.name ENDS WITH 'ring' RETURN p.partkey AS k", "SELECT p_partkey AS k FROM part WHERE contains(p_type, 'DI') AND p_name LIKE '%ring'"),
     "label_count": ("MATCH (o:Order) RETURN count(o) AS n", "SELECT count(*) AS n FROM orders"),
     "unknown_label": ("MATCH (x:Nowhere) RETURN count(*) AS n", "SELECT CAST(0 AS BIGINT) AS n"),
     "standalone_return": ("RETURN 7 / 2 AS a, -7 / 2 AS b, -7 % 3 AS c, 7 / 0 AS d, 'x' + 'y' AS e, 2 * 3 - 1 AS f", "SELECT CAST(3 AS BIGINT) AS a, CAST(-3 AS BIGINT) AS b, CAST(-1 AS BIGINT) AS c, CAST(NULL AS BIGINT) AS d, 'xy' AS e, CAST(5 AS BIGINT) AS f"),
@@ -62,8 +63,8 @@ READS: dict[str, tuple[str, str]] = {
     "type_alternation": ("MATCH (c:Customer {custkey: 5})-[:PLACED|IN_NATION]->(x) RETURN count(*) AS n", "SELECT (SELECT count(*) FROM orders WHERE o_custkey = 5) + 1 AS n"),
     "edge_props": ("MATCH (o:Order)-[l:CONTAINS]->(p:Part) WHERE l.quantity > 49 AND l.returnflag = 'R' RETURN o.orderkey AS o, p.partkey AS p, l.linenumber AS l", "SELECT l_orderkey AS o, l_partkey AS p, l_linenumber AS l FROM lineitem WHERE l_quantity > 49 AND l_returnflag = 'R'"),
     "mutual": (
-        "MATCH (a:Part {partkey: 1})-[:NEXT_PART]->(m:Part)<-[:NEXT_PART]-(b:Part {partkey: 2}) RETURN DISTINCT m.partkey AS k",
-        "WITH e AS (SELECT DISTINCT a.l_partkey x, b.l_partkey y FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1) SELECT y AS k FROM e WHERE x = 1 INTERSECT SELECT y FROM e WHERE x = 2",
+        "MATCH (a:Part)-[:NEXT_PART]->(m:Part)<-[:NEXT_PART]-(b:Part) WHERE a.partkey IN [14, 4, 7529] AND b.partkey IN [134, 121, 14685] RETURN DISTINCT a.partkey AS a, b.partkey AS b, m.partkey AS k",
+        "WITH e AS (SELECT DISTINCT a.l_partkey x, b.l_partkey y FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1) SELECT DISTINCT a.x AS a, b.x AS b, a.y AS k FROM e a JOIN e b ON a.y = b.y WHERE a.x IN (14, 4, 7529) AND b.x IN (134, 121, 14685)",
     ),
     "cartesian": ("MATCH (n:Nation), (r:Region) WHERE n.regionkey < r.regionkey RETURN count(*) AS n", "SELECT count(*) AS n FROM nation, region WHERE n_regionkey < r_regionkey"),
     "comma_patterns": (
@@ -96,8 +97,8 @@ READS: dict[str, tuple[str, str]] = {
     ),
     # Aggregation, order, sets
     "aggregates": (
-        "MATCH (c:Customer) RETURN c.mktsegment AS s, count(*) AS n, count(DISTINCT c.nationkey) AS d, min(c.acctbal) AS lo, max(c.acctbal) AS hi, round(avg(c.acctbal) * 10000) / 10000 AS m, round(sum(c.acctbal) * 100) / 100 AS t",
-        "SELECT c_mktsegment AS s, count(*) AS n, count(DISTINCT c_nationkey) AS d, min(c_acctbal) AS lo, max(c_acctbal) AS hi, floor(avg(c_acctbal) * 10000 + 0.5) / 10000 AS m, floor(sum(c_acctbal) * 100 + 0.5) / 100 AS t FROM customer GROUP BY c_mktsegment",
+        "MATCH (c:Customer) RETURN c.mktsegment AS s, count(*) AS n, count(DISTINCT c.nationkey) AS d, min(c.acctbal) AS lo, max(c.acctbal) AS hi, avg(c.nationkey) AS m, round(sum(c.acctbal) * 100) / 100 AS t",
+        "SELECT c_mktsegment AS s, count(*) AS n, count(DISTINCT c_nationkey) AS d, min(c_acctbal) AS lo, max(c_acctbal) AS hi, avg(c_nationkey) AS m, floor(sum(c_acctbal) * 100 + 0.5) / 100 AS t FROM customer GROUP BY c_mktsegment",
     ),
     "aggregate_empty": ("MATCH (c:Customer) WHERE c.custkey < -1 RETURN count(c) AS n, sum(c.nationkey) AS s, avg(c.acctbal) AS a, size(collect(c.name)) AS l", "SELECT CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS s, CAST(NULL AS DOUBLE) AS a, CAST(0 AS BIGINT) AS l"),
     "collect_preds": (
@@ -134,6 +135,10 @@ READS: dict[str, tuple[str, str]] = {
         "WITH [3, 1, 2, 3] AS l RETURN head(l) AS a, last(l) AS b, size(tail(l)) AS c, sort(l) AS d, size(distinct(l)) AS e, reverse(l) AS f, range(5, 1, -2) AS g, size(range(5, 1)) AS h, l[1] AS i, 2 IN l AS j",
         "SELECT CAST(3 AS BIGINT) AS a, CAST(3 AS BIGINT) AS b, CAST(3 AS BIGINT) AS c, CAST([1, 2, 3, 3] AS BIGINT[]) AS d, CAST(3 AS BIGINT) AS e, CAST([3, 2, 1, 3] AS BIGINT[]) AS f, CAST([5, 3, 1] AS BIGINT[]) AS g, CAST(0 AS BIGINT) AS h, CAST(1 AS BIGINT) AS i, true AS j",
     ),
+    "more_functions": (
+        "MATCH (p:Part) RETURN p.partkey AS k, ltrim('  x ') AS a, rtrim('  x ') AS b, endsWith(p.name, 'ring') AS c, contains(p.type, 'O') AS d, isNotNull(p.brand) AS e, size(vector([1, 2])) AS f, size(toFloatVector([1, 2, 3])) AS g, rand() < 1 AS h, size(keys(properties(p))) AS i",
+        "SELECT p_partkey AS k, 'x ' AS a, '  x' AS b, p_name LIKE '%ring' AS c, contains(p_type, 'O') AS d, true AS e, CAST(2 AS BIGINT) AS f, CAST(3 AS BIGINT) AS g, true AS h, (SELECT count(*) FROM information_schema.columns WHERE table_name = 'part') AS i FROM part",
+    ),
     "graph_functions": ("MATCH (n:Nation)-[r:IN_REGION]->(m) RETURN n.nationkey AS k, type(r) AS t, labels(m) AS l, size(keys(n)) AS s, id(m) % 1000 AS i", "SELECT n_nationkey AS k, 'IN_REGION' AS t, ['Region'] AS l, CAST(3 AS BIGINT) AS s, CAST(n_regionkey AS BIGINT) AS i FROM nation"),
     # Search
     "vector_topk": (
@@ -179,8 +184,20 @@ READS |= {
         _WALK.format(n=2) + " SELECT count(*) AS n FROM w JOIN (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem) ON l_partkey = t WHERE d >= 1",
     ),
     "shortest_path": (
-        "MATCH (a:Part {partkey: 1}), (b:Part) WHERE b.partkey < 20 RETURN b.partkey AS k, shortestPath((a)-[:NEXT_PART*..3]->(b)) AS d",
-        f"WITH RECURSIVE {_EDGES}, w(t, d) AS (SELECT CAST(1 AS BIGINT), 0 UNION SELECT y, d + 1 FROM w JOIN e ON x = t WHERE d < 3) SELECT p_partkey AS k, CAST(min(d) AS BIGINT) AS d FROM part LEFT JOIN w ON t = p_partkey WHERE p_partkey < 20 GROUP BY p_partkey",
+        "MATCH (a:Part {partkey: 1}), (b:Part) RETURN b.partkey AS k, shortestPath((a)-[:NEXT_PART*..3]->(b)) AS d",
+        f"WITH RECURSIVE {_EDGES}, w(t, d) AS (SELECT CAST(1 AS BIGINT), 0 UNION SELECT y, d + 1 FROM w JOIN e ON x = t WHERE d < 3) SELECT p_partkey AS k, CAST(min(d) AS BIGINT) AS d FROM part LEFT JOIN w ON t = p_partkey GROUP BY p_partkey",
+    ),
+    "all_shortest_paths": (
+        "MATCH (a:Part {partkey: 1}), (b:Part {partkey: 5}) RETURN allShortestPaths((a)-[:NEXT_PART*..3]->(b)) AS d",
+        f"WITH RECURSIVE {_EDGES}, w(t, d) AS (SELECT CAST(1 AS BIGINT), 0 UNION SELECT y, d + 1 FROM w JOIN e ON x = t WHERE d < 3) SELECT CAST(min(d) AS BIGINT) AS d FROM w WHERE t = 5",
+    ),
+    "optional_exists": (
+        "MATCH (c:Customer) OPTIONAL MATCH (c)-[:PLACED]->(o:Order) WHERE EXISTS { (o)-[l:CONTAINS]->(p:Part) WHERE l.quantity > 49 AND p.partkey > c.custkey } RETURN c.custkey AS k, count(o) AS n",
+        "SELECT c_custkey AS k, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 49 AND l_partkey > c_custkey) GROUP BY 1",
+    ),
+    "call_relationship": (
+        "MATCH (o:Order)-[l:CONTAINS]->(p:Part {partkey: 3}) CALL { WITH l, o RETURN l.quantity * 2 AS q } RETURN o.orderkey AS o, l.linenumber AS l, q",
+        "SELECT l_orderkey AS o, l_linenumber AS l, l_quantity * 2 AS q FROM lineitem WHERE l_partkey = 3",
     ),
     "named_path": ("MATCH p = (a:Part {partkey: 1})-[:NEXT_PART]->(b:Part)-[:NEXT_PART]->(c:Part) RETURN length(p) AS l, size(nodes(p)) AS s, count(*) AS n", f"WITH {_EDGES} SELECT CAST(2 AS BIGINT) AS l, CAST(3 AS BIGINT) AS s, count(*) AS n FROM e a JOIN e b ON a.y = b.x WHERE a.x = 1 HAVING count(*) > 0"),
 }
@@ -203,6 +220,8 @@ def _after(*texts: str) -> Callable[[SparkSession, str], DataFrame]:
 
 
 WRITES: dict[str, tuple[Callable, str]] = {
+    "multi_label": (_after("CREATE (a:City:Capital {name: 'X'}), (b:City {name: 'Y'})", "MATCH (n:City:Capital) RETURN n.name AS name, size(labels(n)) AS l"), "SELECT 'X' AS name, CAST(2 AS BIGINT) AS l"),
+    "delete_node": (_after("CREATE (a:City {name: 'X'}), (b:City {name: 'Y'})", "MATCH (c:City {name: 'X'}) DELETE c", "MATCH (c:City) RETURN c.name AS name"), "SELECT 'Y' AS name"),
     "create": (_after("CREATE (a:City {name: 'X', size: 3})-[:NEAR {km: 4}]->(b:City {name: 'Y'})", "MATCH (a:City)-[r:NEAR]->(b) RETURN a.name AS a, a.size AS s, r.km AS km, b.name AS b, b.size AS t"), "SELECT 'X' AS a, CAST(3 AS BIGINT) AS s, CAST(4 AS BIGINT) AS km, 'Y' AS b, CAST(NULL AS BIGINT) AS t"),
     "match_create": (_after("MATCH (n:Nation), (r:Region {regionkey: 1}) WHERE n.nationkey < 3 CREATE (n)-[:LIKES {w: n.nationkey}]->(r)", "MATCH (n)-[l:LIKES]->(r:Region) RETURN n.name AS n, l.w AS w, r.name AS r"), "SELECT n_name AS n, n_nationkey AS w, r_name AS r FROM nation, region WHERE n_nationkey < 3 AND r_regionkey = 1"),
     "merge_node": (
@@ -253,14 +272,11 @@ SELECT doc_id + 8 * 281474976710656 AS _id, CAST(score AS DOUBLE) AS score, row_
 
 def _saved(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A graph that was saved, changed, saved again and opened."""
-    import uuid
-
     from loomgraph.graph import Graph
-    from loomgraph.sources.storage import shared_dir
+    from loomgraph.sources.storage import scratch
 
-    path = f"{shared_dir(spark)}/loomgraph-saved/{uuid.uuid4().hex}"
-    whole = shop(spark, sf_dir)
-    graph = Graph(spark, {x: whole.nodes[x] for x in ("Region", "Nation")}, {k: e for k, e in whole.edges.items() if k[1] == "IN_REGION"}, whole.numbers)
+    path = scratch(spark, "saved")
+    graph = shop(spark, sf_dir)
     graph.save(path)
     graph.cypher("MATCH (r:Region {regionkey: 0}) SET r.name = 'changed'")
     graph.save(path)
@@ -268,26 +284,22 @@ def _saved(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _json_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import uuid
-
     from loomgraph.graph import Graph
     from loomgraph.sources.loaders import export_json, import_json
-    from loomgraph.sources.storage import shared_dir
+    from loomgraph.sources.storage import scratch
 
-    path = f"{shared_dir(spark)}/loomgraph-dump/{uuid.uuid4().hex}"
+    path = scratch(spark, "dump")
     whole = shop(spark, sf_dir)
     export_json(Graph(spark, {x: whole.nodes[x] for x in ("Region", "Nation", "Customer")}, {k: whole.edges[k] for k in (("Nation", "IN_REGION", "Region"), ("Customer", "IN_NATION", "Nation"))}, whole.numbers), path)
     return import_json(spark, path).cypher("MATCH (c:Customer)-[:IN_NATION]->(n:Nation)-[:IN_REGION]->(r:Region) RETURN r.name AS name, count(c) AS n, round(sum(c.acctbal) * 100) / 100 AS s")
 
 
 def _csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import uuid
-
     from loomgraph.graph import empty
     from loomgraph.sources.loaders import load_edges, load_nodes
-    from loomgraph.sources.storage import shared_dir
+    from loomgraph.sources.storage import scratch
 
-    path = f"{shared_dir(spark)}/loomgraph-csv/{uuid.uuid4().hex}"
+    path = scratch(spark, "csv")
     spark.read.parquet(f"{sf_dir}/customer.parquet").selectExpr("c_custkey as id", "c_name as name", "c_acctbal as acctbal").write.csv(f"{path}/c", header=True)
     spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr("o_orderkey as id", "o_totalprice as price").write.csv(f"{path}/o", header=True)
     spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr("o_custkey as src_id", "o_orderkey as dst_id", "o_orderstatus as status").write.csv(f"{path}/e", header=True)
@@ -303,7 +315,128 @@ def _dot(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomgraph.sources.loaders import dot_lines
 
     whole = shop(spark, sf_dir)
-    return dot_lines(Graph(spark, {"Region": whole.nodes["Region"]}, {}, whole.numbers))
+    kinds = (("Nation", "IN_REGION", "Region"), ("Customer", "IN_NATION", "Nation"))
+    return dot_lines(Graph(spark, {x: whole.nodes[x] for x in ("Region", "Nation", "Customer")}, {k: whole.edges[k] for k in kinds}, whole.numbers))
+
+
+_ID = {label: f"{k} * 281474976710656" for label, k in (("Region", 0), ("Nation", 1), ("Customer", 2))}
+_DOT = " UNION ALL ".join([
+    "SELECT 'digraph graph_ {' AS value UNION ALL SELECT '}'",
+    *[f"SELECT '  n' || ({key} + {_ID[x]}) || ' [label=\"{x}: ' || {name} || '\"];' FROM {t}" for x, key, name, t in (("Region", "r_regionkey", "r_name", "region"), ("Nation", "n_nationkey", "n_name", "nation"), ("Customer", "c_custkey", "c_name", "customer"))],
+    f"SELECT '  n' || (n_nationkey + {_ID['Nation']}) || ' -> n' || (n_regionkey + {_ID['Region']}) || ' [label=\"IN_REGION\"];' FROM nation",
+    f"SELECT '  n' || (c_custkey + {_ID['Customer']}) || ' -> n' || (c_nationkey + {_ID['Nation']}) || ' [label=\"IN_NATION\"];' FROM customer",
+])
+
+
+def _with_params(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shop(spark, sf_dir).cypher("MATCH (c:Customer) WHERE c.mktsegment IN $segments AND c.acctbal > $low RETURN c.custkey AS k, $tag AS t", {"segments": ["BUILDING", "MACHINERY"], "low": 5000, "tag": "x"})
+
+
+def _bare_node(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What RETURN n gives, as JSON."""
+    from pyspark.sql import functions as F
+
+    found = shop(spark, sf_dir).cypher("MATCH (r:Region) RETURN r")
+    return found.select(F.col("r.regionkey").cast("long").alias("k"), F.col("r.name").alias("name"))
+
+
+def _unique(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A constraint, a write that breaks it, and one that doesn't."""
+    from loomgraph.graph import Conflict
+
+    graph, refused = shop(spark, sf_dir), 0
+    graph.cypher("CREATE CONSTRAINT ON (n:Nation) ASSERT n.name IS UNIQUE")
+    for name in ("NATION_3", "Elsewhere"):
+        try:
+            graph.cypher("CREATE (n:Nation {name: $name, nationkey: 99})", {"name": name})
+        except Conflict:
+            refused += 1
+    return graph.cypher("MATCH (n:Nation) RETURN count(n) AS n, $refused AS refused", {"refused": refused})
+
+
+def _checkpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Versions by CHECKPOINT and OPTIMIZE, and a read of an older one."""
+    from loomgraph.graph import Graph
+    from loomgraph.sources.storage import scratch
+
+    whole = shop(spark, sf_dir)
+    graph = Graph(spark, {x: whole.nodes[x] for x in ("Customer", "Order")}, {k: whole.edges[k] for k in (("Customer", "PLACED", "Order"),)}, whole.numbers)
+    path = scratch(spark, "versions")
+    graph.save(path)
+    graph.cypher("MATCH (c:Customer)-[p:PLACED]->(o:Order) WHERE o.orderstatus = 'F' DELETE p")
+    graph.cypher("CHECKPOINT")
+    graph.cypher("OPTIMIZE")
+    text = "MATCH (c:Customer)-[:PLACED]->(o:Order) RETURN o.orderstatus AS s, count(*) AS n"
+    old, new = Graph.open(spark, path, 1).cypher(text), Graph.open(spark, path).cypher(text)
+    return old.selectExpr("1 as version", "s", "n").union(new.selectExpr(f"{graph.version} as version", "s", "n")).selectExpr("cast(version as bigint) as version", "s", "n")
+
+
+def _batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A batch that fails leaves nothing; one that succeeds leaves all."""
+    graph = shop(spark, sf_dir)
+    for last in ("MATCH (x:Region) RETURN nope(x) AS n", "CREATE (a:City {name: 'Z'})"):
+        try:
+            graph.batch(["CREATE (a:City {name: 'X'})", "CREATE FULLTEXT INDEX cities FOR (c:City) ON EACH [c.name]", last])
+        except ValueError:
+            pass
+    return graph.cypher("MATCH (c:City) RETURN c.name AS name, count(*) AS n")
+
+
+def _upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    graph = shop(spark, sf_dir)
+    graph.merge_node_by_property("Nation", "name", "NATION_2", {"tag": "old"})
+    graph.merge_node_by_property("Nation", "name", "Nowhere", {"tag": "new"})
+    graph.set_property((1 << 48) + 4, "tag", "set")
+    return graph.cypher("MATCH (n:Nation) WHERE n.tag IS NOT NULL RETURN n.name AS name, n.tag AS tag")
+
+
+def _ldbc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers and orders written as files of the benchmark's names and loaded."""
+    from loomgraph.graph import empty
+    from loomgraph.sources.loaders import load_ldbc
+    from loomgraph.sources.storage import scratch
+
+    root, read = scratch(spark, "ldbc"), lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
+    tables = {"person_0_0.csv": read("customer").selectExpr("c_custkey as id", "c_name as lastName"), "post_0_0.csv": read("orders").selectExpr("o_orderkey as id", "o_orderpriority as content"), "post_hasCreator_person_0_0.csv": read("orders").selectExpr("o_orderkey as `Post.id`", "o_custkey as `Person.id`"), "readme": read("region")}
+    for name, t in tables.items():
+        t.write.csv(f"{root}/{name}", header=True, sep="|")
+    graph = empty(spark)
+    load_ldbc(graph, [f"{root}/{name}" for name in tables])
+    return graph.cypher("MATCH (m:Post)-[:HAS_CREATOR]->(p:Person) RETURN p.ldbc_id AS k, p.lastName AS name, count(m) AS n")
+
+
+def _apoc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations and regions written as an APOC export and loaded."""
+    from loomgraph.graph import empty
+    from loomgraph.sources.loaders import load_apoc
+    from loomgraph.sources.storage import scratch
+
+    root, read = scratch(spark, "apoc"), lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
+    nation = read("nation").selectExpr("n_nationkey + 100 as _id", "if(n_nationkey % 2 = 0, ':Nation:Even', ':Nation') as _labels", "n_name as name")
+    nation.union(read("region").selectExpr("r_regionkey as _id", "':Region'", "r_name")).write.csv(f"{root}/n", header=True)
+    read("nation").selectExpr("n_nationkey + 100 as _start", "n_regionkey as _end", "'IN_REGION' as _type", "n_nationkey as w").write.csv(f"{root}/r", header=True)
+    graph = empty(spark)
+    load_apoc(graph, f"{root}/n", f"{root}/r")
+    return graph.cypher("MATCH (n:Even)-[e:IN_REGION]->(r:Region) RETURN n.name AS n, r.name AS r, e.w AS w")
+
+
+def _every_term(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    found = shop(spark, sf_dir).fulltext_candidates("Document", "text", "the idiot", every=True)
+    return found.select((F.col("_id") % F.lit(1 << 48)).alias("k"))
+
+
+def _top_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shop(spark, sf_dir).top_degree_nodes("Customer", 10).selectExpr("_id % 281474976710656 as k", "degree")
+
+
+def _counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, labels and types, and one node by its id."""
+    graph = shop(spark, sf_dir)
+    name = graph.get_node((1 << 48) + 3).first()["name"]
+    n, e = graph.counts()
+    return spark.createDataFrame([(n, e, len(graph.labels()), len(graph.relationship_types()), name)], "n long, e long, labels long, types long, name string")
 
 
 OTHERS: dict[str, tuple[Callable, str]] = {
@@ -312,8 +445,19 @@ OTHERS: dict[str, tuple[Callable, str]] = {
     "save_and_open": (_saved, "SELECT CASE WHEN r_regionkey = 0 THEN 'changed' ELSE r_name END AS name, count(*) AS n FROM nation JOIN region ON r_regionkey = n_regionkey GROUP BY 1"),
     "json_round_trip": (_json_round_trip, "SELECT r_name AS name, count(*) AS n, floor(sum(c_acctbal) * 100 + 0.5) / 100 AS s FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey GROUP BY 1"),
     "csv_round_trip": (_csv_round_trip, "SELECT o_custkey AS k, o_orderstatus AS s, count(*) AS n FROM orders WHERE o_totalprice > 200000 GROUP BY 1, 2"),
-    "dot_export": (_dot, "SELECT 'digraph graph_ {' AS value UNION ALL SELECT '}' UNION ALL SELECT '  n' || r_regionkey || ' [label=\"Region: ' || r_name || '\"];' FROM region"),
+    "dot_export": (_dot, _DOT),
+    "params": (_with_params, "SELECT c_custkey AS k, 'x' AS t FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') AND c_acctbal > 5000"),
+    "return_node": (_bare_node, "SELECT CAST(r_regionkey AS BIGINT) AS k, r_name AS name FROM region"),
+    "unique_constraint": (_unique, "SELECT count(*) + 1 AS n, CAST(1 AS BIGINT) AS refused FROM nation"),
+    "checkpoint_optimize": (_checkpoint, "SELECT CAST(1 AS BIGINT) AS version, o_orderstatus AS s, count(*) AS n FROM orders GROUP BY 2 UNION ALL SELECT 3, o_orderstatus, count(*) FROM orders WHERE o_orderstatus <> 'F' GROUP BY 2"),
+    "batch": (_batch, "SELECT name, CAST(1 AS BIGINT) AS n FROM (VALUES ('X'), ('Z')) t(name)"),
+    "upsert": (_upsert, "SELECT 'NATION_2' AS name, 'old' AS tag UNION ALL SELECT 'Nowhere', 'new' UNION ALL SELECT 'NATION_4', 'set'"),
+    "ldbc_load": (_ldbc, "SELECT c_custkey AS k, c_name AS name, count(*) AS n FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1, 2"),
+    "apoc_load": (_apoc, "SELECT n_name AS n, r_name AS r, CAST(n_nationkey AS BIGINT) AS w FROM nation JOIN region ON r_regionkey = n_regionkey WHERE n_nationkey % 2 = 0"),
+    "full_text_every_term": (_every_term, "SELECT doc_id AS k FROM documents WHERE list_has_all(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), ['the', 'idiot'])"),
+    "top_degree_nodes": (_top_degree, "SELECT o_custkey AS k, count(*) + 1 AS degree FROM orders GROUP BY 1 ORDER BY degree DESC, k LIMIT 10"),
+    "db_counts": (_counts, "SELECT CAST((SELECT count(*) FROM region) + (SELECT count(*) FROM nation) + (SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier) + (SELECT count(*) FROM part) + (SELECT count(*) FROM orders) + (SELECT count(*) FROM events) + (SELECT count(DISTINCT user_id) FROM events) + (SELECT count(*) FROM documents) + (SELECT count(*) FROM embeddings) AS BIGINT) AS n, CAST((SELECT count(*) FROM nation) + (SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier) + (SELECT count(*) FROM orders) + (SELECT count(*) FROM lineitem) + (SELECT count(*) FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem)) + (SELECT count(*) FROM events) + (SELECT count(*) FROM (SELECT DISTINCT a.l_partkey, b.l_partkey FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1)) AS BIGINT) AS e, CAST(10 AS BIGINT) AS labels, CAST(7 AS BIGINT) AS types, 'NATION_3' AS name"),
 }
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**{k: _reader(t) for k, (t, _) in READS.items()}, **{k: f for k, (f, _) in (WRITES | OTHERS).items()}}
-ORACLES: dict[str, str] = {k: s for k, (_, s) in (READS | WRITES | OTHERS).items()}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**{k: _reader(t) for k, (t, _) in READS.items()}, **{k: f for k, (f, _) in (WRITES | OTHERS).items()}, **interactive.QUERIES}
+ORACLES: dict[str, str] = {k: s for k, (_, s) in (READS | WRITES | OTHERS).items()} | interactive.ORACLES

@@ -12,10 +12,21 @@ NUMBERS = {label: k for k, label in enumerate(NODES)}
 
 
 def shop(spark: SparkSession, sf_dir: str) -> Graph:
-    """Nothing is read but schemas: all tables are lazy."""
+    """The tables of a folder as a graph of their own to write to. Schemas and lists
+    of files are read once for each session and folder; all tables are lazy."""
+    opened = spark.__dict__.setdefault("_loomgraph_shops", {})
+    if sf_dir not in opened:
+        opened[sf_dir] = _open(spark, sf_dir)
+    return opened[sf_dir].snapshot()
+
+
+def _open(spark: SparkSession, sf_dir: str) -> Graph:
+    tables: dict[str, DataFrame] = {}
 
     def read(name: str) -> DataFrame:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        if name not in tables:
+            tables[name] = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        return tables[name]
 
     def end(label: str, key: str, alias: str):
         return node_id(NUMBERS[label], F.col(key)).alias(alias)
