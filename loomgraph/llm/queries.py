@@ -67,10 +67,14 @@ def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     """No table holds pictures, so every vector is drawn as one; the queries are
-    cropped and darkened copies of those whose id is divisible by 100."""
+    cropped and darkened copies of those whose id is divisible by 100. A row for each
+    of them that is found: the class of most votes, and how many classes and images
+    there are with it (the operator returns each pair)."""
     vectors = table(spark, sf_dir, "embeddings")
     asked = images.pictures(vectors.where("vec_id % 100 = 0"), "crop").withColumnRenamed("image_id", "query_id")
-    return images.edited_copies(asked, images.pictures(vectors))
+    found = images.edited_copies(asked, images.pictures(vectors))
+    best = F.max_by("class_id", F.struct("votes", -F.col("class_id"))).alias("class_id")
+    return found.groupBy("query_id").agg(best, F.max("votes").alias("votes"), F.count("*").alias("n_classes"), F.sum("copies").alias("n_images"))
 
 
 def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
