@@ -67,17 +67,22 @@ def _bare(token: Column) -> Column:
     return F.regexp_replace(token, "<(num|name|unit)=[^>]*>", "<$1>")
 
 
-def windows(tokens: Column, width: int) -> Column:
-    """Hashes of all windows of so many tokens, by position. The tokens must be a
-    column of their own: an expression would be evaluated once for each window."""
-    n = F.size(tokens) - width
+def hashed(tokens: Column) -> Column:
+    return F.transform(tokens, lambda t: F.xxhash64(t))
+
+
+def windows(hashes: Column, width: int) -> Column:
+    """Hashes of all windows of so many tokens, by position, from those of the tokens.
+    These must be a column of their own: an expression would be evaluated once for
+    each window."""
+    n = F.size(hashes) - width
     at = F.when(n >= 0, F.sequence(F.lit(0), n)).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda i: F.xxhash64(F.slice(tokens, i + 1, width)))
+    return F.transform(at, lambda i: F.xxhash64(*[F.get(hashes, i + k) for k in range(width)]))
 
 
-def whole(tokens: Column, longest: int) -> Column:
+def whole(hashes: Column, longest: int) -> Column:
     """The hash of all tokens, if there are no more than that."""
-    return F.when(F.size(tokens).between(1, longest), F.array(F.xxhash64(F.lit("whole"), tokens))).otherwise(F.array().cast("array<bigint>"))
+    return F.when(F.size(hashes).between(1, longest), F.array(F.xxhash64(F.lit("whole"), hashes))).otherwise(F.array().cast("array<bigint>"))
 
 
 def _literals(tokens: Column) -> Column:
@@ -92,14 +97,14 @@ def item_windows(benchmark: DataFrame, width: int) -> DataFrame:
     items = benchmark.where("item_id is not null and text is not null").select("item_id", "text").distinct()
     texts = items.select("item_id", F.xxhash64("text").alias("item"), "text")
     items = texts.select("item_id", "item", F.lit(False).alias("plain"), tokens(F.col("text")).alias("t"))
-    items = stored(items.union(texts.select("item_id", "item", F.lit(True), plain(F.col("text")))), "items")
-    placed = items.select("item_id", "item", "plain", "t", F.posexplode(windows(F.col("t"), width)).alias("item_at", "window"))
+    items = stored(items.union(texts.select("item_id", "item", F.lit(True), plain(F.col("text")))).withColumn("h", hashed(F.col("t"))), "items")
+    placed = items.select("item_id", "item", "plain", "t", F.posexplode(windows(F.col("h"), width)).alias("item_at", "window"))
     own = F.slice("t", F.col("item_at") + 1, width)
     words = F.size(F.filter(own, lambda t: ~F.rlike(t, F.lit(r"\p{N}"))))
     literal = placed.where(F.when(F.col("plain"), words).otherwise(_literals(own)) >= LEAST_LITERAL)
     literal = literal.select("item_id", "item", "plain", "window", "item_at", F.size("t").alias("size"))
     rest = items.where("not plain and size(t) > 0").join(literal.where("not plain").select("item_id", "item").distinct(), ["item_id", "item"], "left_anti")
-    rest = rest.select("item_id", "item", "plain", F.xxhash64(F.lit("whole"), "t").alias("window"), F.lit(-1).alias("item_at"), F.size("t").alias("size"))
+    rest = rest.select("item_id", "item", "plain", F.xxhash64(F.lit("whole"), "h").alias("window"), F.lit(-1).alias("item_at"), F.size("t").alias("size"))
     both = literal.union(rest)
     return both.withColumn("windows", F.count("*").over(Window.partitionBy("item_id", "item", "plain")))
 
@@ -111,6 +116,7 @@ def held_items(texts: DataFrame, benchmark: DataFrame, width: int = WIDTH, cover
     longest = items.where("item_at < 0").agg(F.max("size")).first()[0] or 0
     asked = sent(items.select("window", "item_id", "item", "plain", "item_at", "windows"), most_broadcast)
     rows = texts.select("row", tokens(F.col("text")).alias("t"), plain(F.col("text")).alias("p"))
+    rows = rows.select("row", hashed(F.col("t")).alias("t"), hashed(F.col("p")).alias("p"))
     # Windows without a placeholder are often the same of both kinds.
     rows = rows.select("row", F.explode(F.concat(F.array_union(windows(F.col("t"), width), windows(F.col("p"), width)), whole(F.col("t"), longest))).alias("window"))
     key = ["row", "item_id", "item"]
@@ -123,7 +129,7 @@ def held_items(texts: DataFrame, benchmark: DataFrame, width: int = WIDTH, cover
     near = texts.join(sent(held.select("row").distinct(), most_broadcast), "row", "left_semi").dropDuplicates(["row"])
 
     def valued(df: DataFrame, key: str, at: str, prefix: str) -> DataFrame:
-        t = df.select(key, tokens(F.col("text"), True).alias("v")).withColumn("t", F.transform("v", _bare))
+        t = df.select(key, tokens(F.col("text"), True).alias("v")).withColumn("t", F.transform("v", lambda v: F.xxhash64(_bare(v))))
         own = t.select(key, "v", F.posexplode(windows(F.col("t"), width)).alias(at, "window"))
         own = own.union(t.select(key, "v", F.lit(-1), F.explode(whole(F.col("t"), longest))))
         at_ = F.col(at)
