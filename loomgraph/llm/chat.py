@@ -89,20 +89,17 @@ def formatted(messages: DataFrame, most: int | None = None) -> DataFrame:
     chosen = branches(keyed.select("conv", "node", "parent", "score"), most)
     turns = chosen.join(keyed.select("conv", "id", "node", "role", "text"), ["conv", "node"])
     clean = {x: F.coalesce(escape(F.col(x)), F.lit("")) for x in ("role", "text")}
-    turns = turns.select("conv", "id", "leaf", "rank", F.struct("depth", F.concat(F.lit(START), clean["role"], F.lit(SEP)).alias("head"), clean["text"].alias("text"), (F.col("role") == "assistant").alias("loss")).alias("t"))
-    whole = turns.groupBy("conv", "leaf", "rank").agg(F.first("id").alias("id"), F.array_sort(F.collect_list("t")).alias("t"))
-    # Ends of the turns in code points, then the spans of loss among them.
-    sizes = F.transform("t", lambda t: F.struct(F.length(t["head"]).alias("h"), F.length(t["text"]).alias("x"), F.coalesce(t["loss"], F.lit(False)).alias("loss")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("mask"))
-
-    def step(s: Column, z: Column) -> Column:
-        begin = s["at"] + z["h"]
-        end = begin + z["x"]
-        span = F.array(F.struct(begin.alias("start"), end.alias("end")))
-        return F.struct((end + len(END)).alias("at"), F.when(z["loss"], F.concat(s["mask"], span)).otherwise(s["mask"]).alias("mask"))
-
-    text = F.array_join(F.transform("t", lambda t: F.concat(t["head"], t["text"], F.lit(END))), "")
-    return whole.select(F.col("id").alias("conv"), "rank", text.alias("formatted"), F.aggregate(sizes, start, step)["mask"].alias("mask"))
+    head = F.concat(F.lit(START), clean["role"], F.lit(SEP))
+    turns = turns.select("conv", "id", "leaf", "rank", "depth", head.alias("head"), clean["text"].alias("text"), F.coalesce(F.col("role") == "assistant", F.lit(False)).alias("loss"))
+    # Ends of the turns in code points, as running sums.
+    path = ["conv", "leaf", "rank"]
+    before = Window.partitionBy(*path).orderBy("depth").rowsBetween(Window.unboundedPreceding, -1)
+    size = F.length("head") + F.length("text") + len(END)
+    turns = turns.withColumn("start", (F.coalesce(F.sum(size).over(before), F.lit(0)) + F.length("head")).cast("int"))
+    turns = turns.select(*path, "id", F.struct("depth", F.concat("head", "text", F.lit(END)).alias("said"), "start", (F.col("start") + F.length("text")).alias("end"), "loss").alias("t"))
+    whole = turns.groupBy(*path).agg(F.first("id").alias("id"), F.array_sort(F.collect_list("t")).alias("t"))
+    mask = F.transform(F.filter("t", lambda t: t["loss"]), lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end")))
+    return whole.select(F.col("id").alias("conv"), "rank", F.array_join("t.said", "").alias("formatted"), mask.alias("mask"))
 
 
 def turns(formatted: Column) -> Column:
