@@ -81,13 +81,13 @@ def mix(docs: DataFrame, weights: tuple = (5, 2, 1), most_epochs: int = 3, sched
     sum is its target, rounded down. copies counts whole documents instead, the
     copy at the target being in if half of it fits. positions has the training
     position of each copy that is counted or taken in part. Null text: size 0, nothing
-    taken. Null source: a source of its own, last. Null doc_id: sorted as if it
-    were an empty string. Rows alike share any order, their sums being the same.
+    taken. Null source: a source of its own, last. Null doc_id: sorted as if its
+    text were it. Rows alike share any order, their sums being the same.
     Nothing is random: reruns agree. An empty table gives an empty result. Columns
     of docs with a name of the result are replaced."""
     added = ("size", "source_size", "target", "taken", "copies", "positions")
     docs = docs.drop(*added).withColumn("source", F.col("source").cast("string"))
-    sized = docs.withColumn("size", word_count(F.col("text"))).withColumn("_key", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    sized = docs.withColumn("size", word_count(F.col("text"))).withColumn("_key", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.col("text").cast("string"), F.lit(""))))
     rows = docs.select("source").count()
     digits = max(0, math.ceil(math.log(max(1, rows / ROWS_PER_BLOCK), 16)))
     sized = sized.withColumn("_block", F.substring("_key", 1, digits))

@@ -121,7 +121,7 @@ WITH RECURSIVE w AS (
 SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, c AS component_id, doc_id = c AS kept FROM s JOIN least ON d = doc_id""",
     "op4_mixing": f"""
 WITH sized AS (
-  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS BIGINT) AS size
+  SELECT doc_id, text, source, CAST(len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS BIGINT) AS size
   FROM documents
 ), sources AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS s, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS k
@@ -141,7 +141,7 @@ WITH sized AS (
   FROM filled
 ), placed AS (
   SELECT doc_id, size, g.s, g.w, target,
-         CAST(coalesce(sum(size) OVER (PARTITION BY z.source ORDER BY md5(coalesce(CAST(doc_id AS VARCHAR), '')), doc_id, size
+         CAST(coalesce(sum(size) OVER (PARTITION BY z.source ORDER BY md5(coalesce(CAST(doc_id AS VARCHAR), text, '')), doc_id, size
            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS at_
   FROM sized z JOIN goals g ON z.source IS NOT DISTINCT FROM g.source
 )
