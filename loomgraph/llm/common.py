@@ -97,10 +97,6 @@ def _at_exit() -> None:
             return
 
 
-def number_of_parts(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def crc_mod(column: str, n: int) -> Column:
     """crc32 of the column's text, modulo n."""
     return F.crc32(F.col(column).cast("string")) % n
@@ -127,14 +123,13 @@ def _width(kind: T.DataType) -> int:
 
 def small(df: DataFrame, most: int = MOST_BROADCAST) -> bool:
     """Whether all rows of df, whose columns are numbers or texts, take at most so
-    many bytes; looks no further than that."""
+    many bytes. df is best a stored table, as this reads it."""
     if any(isinstance(f.dataType, T.ArrayType | T.MapType) for f in df.schema.fields):
         raise ValueError(f"no bound of the size is known for {df.schema.simpleString()}")
-    rows = most // (16 + _width(df.schema))
     texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType | T.BinaryType)]
     of = sum((F.coalesce(F.octet_length(t), F.lit(0)) for t in texts), F.lit(0)).cast("long")
-    n, size = df.limit(rows + 1).agg(F.count("*"), F.sum(of)).first()
-    return n <= rows and n * (16 + _width(df.schema)) + (size or 0) <= most
+    n, size = df.agg(F.count("*"), F.sum(of)).first()
+    return n * (16 + _width(df.schema)) + (size or 0) <= most
 
 
 def sent(df: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:

@@ -39,9 +39,11 @@ def components(links: DataFrame) -> DataFrame:
     least node that can be reached.
 
     Large-star and small-star rounds: each needs one aggregation with partial
-    sums and one join; nothing is gathered by component, and the number of rounds
-    grows with the logarithm of the longest path. Every round is written to the
-    shared folder. Null ends and loops are ignored."""
+    sums and one join, and the number of rounds grows with the logarithm of the
+    longest path. No component is held in memory; the links of a root meet its one
+    least neighbour in a join, whose large side adaptive execution splits where a
+    root has very many. Every round is written to the shared folder. Null ends and
+    loops are ignored."""
     links = links.where("a is not null and b is not null and a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     links, before = stored(links, "links"), None
     while True:

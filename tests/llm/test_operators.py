@@ -233,6 +233,42 @@ def test_conversations(spark):
     assert got[2]["n_turns"] == 1 and got[None]["loss_chars"] == 1 and got[3]["n_turns"] == 2
 
 
+def test_long_conversations(spark):
+    long = "a <|b|> é " * 50_000
+    rows = [(1, 0, "user", "hi"), (1, 1, "assistant", long)] + [(2, k, ("user", "assistant")[k % 2], f"turn {k} \\ </s>") for k in range(1500)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    for c in ("conv", "node", "leaf", "rank", "mask", "depth", "id"):
+        df = df.withColumn(c, F.lit("x"))
+    got = {r["conv_id"]: r for r in chat.described(chat.formatted(chat.linear(df), 1)).collect()}
+    assert got[1]["loss_chars"] == len(long) and got[1]["loss_sha256"] == hashlib.sha256(long.encode()).hexdigest()
+    said = "".join(t for c, k, r, t in rows if c == 2 and r == "assistant")
+    assert got[2]["n_turns"] == 1500 and got[2]["loss_sha256"] == hashlib.sha256(said.encode()).hexdigest()
+    assert chat.described(chat.formatted(chat.linear(df.limit(0)), 1)).collect() == []
+
+
+def test_branches_like_brute_force(spark):
+    """Random forests: every root-to-leaf path, ranked by the mean of its scores."""
+    rows, want = [], {}
+    for conv in range(4):
+        parents = {n: int(RNG.integers(0, n)) if n and RNG.random() < 0.9 else None for n in range(30)}
+        scores = {n: float(RNG.integers(0, 9)) for n in parents}
+        rows += [(conv, n, p, scores[n], "user", f"{n}") for n, p in parents.items()]
+        paths = []
+        for leaf in set(parents) - set(parents.values()):
+            path = [leaf]
+            while parents[path[0]] is not None:
+                path.insert(0, parents[path[0]])
+            paths.append((-sum(scores[n] for n in path) / len(path), leaf, path))
+        want[conv] = [[str(n) for n in path] for _, _, path in sorted(paths)]
+    df = spark.createDataFrame(rows, "conv long, node long, parent long, score double, role string, text string")
+    got: dict = {}
+    for r in chat.formatted(df).select("conv", "rank", chat.turns(F.col("formatted")).alias("turns")).collect():
+        got.setdefault(r["conv"], {})[r["rank"]] = [t["text"] for t in r["turns"]]
+    assert {c: [p[k] for k in sorted(p)] for c, p in got.items()} == want
+    best = chat.formatted(df, 2).select("conv", "rank").collect()
+    assert len(best) == 8
+
+
 def test_reply_tree(spark):
     rows = [(1, None, 0.0, "r"), (2, 1, 1.0, "a"), (3, 1, 5.0, "b"), (4, 2, 9.0, "c"), (5, 3, 0.0, "d"), (6, 99, 7.0, "orphan"), (7, 8, 1.0, "loop"), (8, 7, 1.0, "loop")]
     df = spark.createDataFrame([(1, n, p, s, "user", t) for n, p, s, t in rows], "conv long, node long, parent long, score double, role string, text string")
