@@ -46,6 +46,8 @@ class Graph:
         self.unique: set[tuple[str, str]] = set()
         self.fulltext: dict[str, tuple[str, str]] = {}
         self.vectors: dict[tuple[str, str], dict] = {}
+        #: Approximate vector indexes of this process.
+        self.built: dict[tuple[str, str], object] = {}
         #: Where the graph was opened or saved, and which version it stems from.
         self.path: str | None = None
         self.version = 0
@@ -104,7 +106,7 @@ class Graph:
         """A graph that later writes to this one don't change: a read transaction."""
         other = Graph(self.spark, self.nodes, self.edges, self.numbers)
         other.unique, other.fulltext, other.vectors = set(self.unique), dict(self.fulltext), {k: dict(v) for k, v in self.vectors.items()}
-        other.path, other.version = self.path, self.version
+        other.path, other.version, other.built = self.path, self.version, dict(self.built)
         return other
 
     begin_read = snapshot
@@ -170,12 +172,32 @@ class Graph:
         t = self.nodes[label].where(F.col(f"`{prop}`").isNotNull())
         return t.where(matches(F.col(f"`{prop}`"), query, every)).select("_id")
 
-    def vector_search(self, label: str, prop: str, query: list[float], k: int = 10, metric: str | None = None) -> DataFrame:
+    def vector_search(self, label: str, prop: str, query: list[float], k: int = 10, metric: str | None = None, probes: int | None = None) -> DataFrame:
+        """(`_id`, score) of the k nearest. It is exact and reads every vector; with
+        probes, it reads so many cells of the index that build_vector_index() made,
+        and nodes that were deleted since are left out."""
         from loomgraph.operators.search import vector_top
 
-        metric = metric or self.vectors.get((label, prop), {}).get("similarity", "cosine")
+        known = self.vectors.get((label, prop), {})
+        if known.get("dimensions") and len(query) != known["dimensions"]:
+            raise ValueError(f"the index has {known['dimensions']} dimensions, the query {len(query)}")
+        if probes is not None:
+            if (label, prop) not in self.built:
+                raise ValueError(f"no index of {label}.{prop} has been built")
+            return self.built[label, prop].search(query, k, probes, self.nodes[label])
+        metric = metric or known.get("similarity", "cosine")
         return vector_top(self.nodes[label].select("_id", F.col(f"`{prop}`").alias("vector")), query, k, metric)
 
+    def build_vector_index(self, label: str, prop: str, cells: int | None = None) -> object:
+        """An approximate index over the vectors that there are now; its insert()
+        takes later ones. create_vector_index() says how long they are."""
+        from loomgraph.operators.ivf import VectorIndex
+
+        known = self.vectors[label, prop]
+        vectors = self.nodes[label].select("_id", F.col(f"`{prop}`").alias("vector"))
+        self.built[label, prop] = VectorIndex(vectors, known["dimensions"], known["similarity"], cells)
+        return self.built[label, prop]
+
     def hybrid_search(self, label: str, text: str, vector: str, query_vector: list[float], query: str, k: int = 10, alpha: float | None = None) -> DataFrame:
         from loomgraph.operators.search import hybrid
 

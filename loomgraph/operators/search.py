@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions.scalar import cosine, dot, euclidean
 from loomgraph.plans.expressions import literal
+from loomgraph.sources.storage import kept
 
 K1, B, RRF = 1.2, 0.75, 60
 
@@ -25,9 +26,9 @@ def _is(term: str, x: Column) -> Column:
 def bm25(docs: DataFrame, query: str, size: Column | None = None) -> DataFrame:
     """(`_id`, score) of the documents (`_id`, text) that hold a query term.
 
-    A term that the query repeats counts as often. The corpus is read twice: once
-    for its size and the documents with each term, then for the scores, both with
-    only numbers leaving the scan; no postings are shuffled. Sums are rounded to
+    A term that the query repeats counts as often. The corpus is read once, and only
+    numbers leave the scan: a table of lengths and counts, from which its size, the
+    documents with each term and the scores come; no postings are shuffled. Sums are rounded to
     nine digits, so the order of adding doesn't show."""
     spark = docs.sparkSession
     asked = spark.range(1).select(terms(F.lit(query)).alias("q")).first()["q"]
@@ -36,7 +37,7 @@ def bm25(docs: DataFrame, query: str, size: Column | None = None) -> DataFrame:
         return docs.select("_id", F.lit(0.0).alias("score")).where(F.lit(False))
     distinct = sorted(set(asked))
     tf = [F.size(F.filter("t", partial(_is, q))).alias(f"f{k}") for k, q in enumerate(distinct)]
-    counted = docs.select("_id", "n", *tf)
+    counted = kept(docs.select("_id", "n", *tf))
     stats = counted.agg(F.count(F.lit(1)).alias("docs"), F.avg("n").alias("mean"), *[F.count(F.when(F.col(f"f{k}") > 0, 1)).alias(f"d{k}") for k in range(len(distinct))]).first()
     if not stats["docs"] or not stats["mean"]:
         return counted.select("_id", F.lit(0.0).alias("score")).where(F.lit(False))

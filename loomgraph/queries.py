@@ -255,6 +255,15 @@ def _hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.hybrid_search("Document", "text", "embedding", query, "idiot nicht", 10)
 
 
+def _approximate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With all cells probed, the index finds what the exact search does."""
+    graph = shop(spark, sf_dir)
+    graph.create_vector_index("Vector", "embedding", 64)
+    index = graph.build_vector_index("Vector", "embedding")
+    found = graph.vector_search("Vector", "embedding", [0.125] * 64, 10, probes=index.cells)
+    return found.selectExpr("_id % 281474976710656 as k", "round(score, 6) as s")
+
+
 def _hybrid_sql(alpha: str | None = None) -> str:
     return """
 WITH d AS (SELECT doc_id, text, CAST(embedding AS DOUBLE[]) AS e FROM documents JOIN embeddings ON vec_id = doc_id),
@@ -442,6 +451,7 @@ def _counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 OTHERS: dict[str, tuple[Callable, str]] = {
     "fulltext_index": (_index_search, "SELECT p_partkey AS k, CAST(len(list_intersect(list_distinct(list_filter(regexp_split_to_array(lower(p_type), '[^\\p{L}\\p{N}]+'), lambda x: strlen(x) >= 2)), ['standard', 'steel', 'economy'])) AS DOUBLE) / 3 AS score FROM part WHERE score > 0"),
     "hybrid_search": (_hybrid, _hybrid_sql()),
+    "vector_index": (_approximate, "WITH q AS (SELECT list_transform(range(64), lambda x: CAST(0.125 AS DOUBLE)) AS q), v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings) SELECT vec_id AS k, round(list_dot_product(q, e) / sqrt(list_dot_product(q, q)) / sqrt(list_dot_product(e, e)), 6) AS s FROM v, q ORDER BY s DESC, k LIMIT 10"),
     "save_and_open": (_saved, "SELECT CASE WHEN r_regionkey = 0 THEN 'changed' ELSE r_name END AS name, count(*) AS n FROM nation JOIN region ON r_regionkey = n_regionkey GROUP BY 1"),
     "json_round_trip": (_json_round_trip, "SELECT r_name AS name, count(*) AS n, floor(sum(c_acctbal) * 100 + 0.5) / 100 AS s FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey GROUP BY 1"),
     "csv_round_trip": (_csv_round_trip, "SELECT o_custkey AS k, o_orderstatus AS s, count(*) AS n FROM orders WHERE o_totalprice > 200000 GROUP BY 1, 2"),

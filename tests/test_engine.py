@@ -249,3 +249,29 @@ def test_timeout(spark):
     assert [r[0] for r in g.execute_with_timeout("RETURN 1 AS x", 60)] == [1]
     with pytest.raises(TimeoutError):
         g.execute_with_timeout("UNWIND range(1, 3000) AS x UNWIND range(1, 3000) AS y UNWIND range(1, 3000) AS z RETURN sum(x * y % 7 + z) AS s", 2)
+
+
+def test_vector_index_recall(spark):
+    """Against the exact search, with a fifth of the cells; and later changes."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    middle = rng.normal(size=(30, 16)) * 2
+    x = middle[rng.integers(0, 30, 3000)] + rng.normal(size=(3000, 16))
+    nodes = spark.createDataFrame([(k, v) for k, v in enumerate(x.tolist())] + [(3000, None), (3001, [1.0])], "_id long, v array<double>")
+    g = Graph(spark, {"P": nodes}, {}, {"P": 0})
+    g.create_vector_index("P", "v", 16, "euclidean")
+    index, found = g.build_vector_index("P", "v", 50), 0
+    for k in range(0, 3000, 300):
+        query = (x[k] + 0.1).tolist()
+        exact = {r[0] for r in g.vector_search("P", "v", query, 10).collect()}
+        found += len(exact & {r[0] for r in g.vector_search("P", "v", query, 10, probes=10).collect()})
+    assert found >= 90
+    with pytest.raises(ValueError, match="dimensions"):
+        g.vector_search("P", "v", [1.0])
+    g.cypher("CREATE (p:P {v: $v})", {"v": x[7].tolist()})
+    new = g.cypher("MATCH (p:P) RETURN max(id(p)) AS n").first()[0]
+    index.insert(g.nodes["P"].where(F.col("_id") == new).select("_id", F.col("v").alias("vector")))
+    assert [r[0] for r in g.vector_search("P", "v", x[7].tolist(), 2, probes=2).collect()] == [7, new]
+    g.cypher("MATCH (p:P) WHERE id(p) = 7 DETACH DELETE p")
+    assert g.vector_search("P", "v", x[7].tolist(), 1, probes=2).first()[0] == new
