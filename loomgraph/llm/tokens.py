@@ -36,8 +36,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MAGIC = b"LOOMTOK2"
-#: Words whose ids a worker remembers: twice this many at most, some 20 MB.
-REMEMBERED = 50_000
+#: Words whose ids a worker remembers: twice this many at most, some 80 MB.
+REMEMBERED = 200_000
 #: White space that doesn't stand alone, and such a run with the words it touches.
 _TWO, _RUN = re.compile(r"\s\s"), re.compile(r" ?\S*+\s{2,}\S*(?:\s{2,}\S*)*")
 _PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
