@@ -292,8 +292,14 @@ def _meeting(asked: DataFrame, known: DataFrame) -> DataFrame:
 
     left, right = tables(known, "i"), sent(tables(asked, "q"))
     differ = sum((F.bit_count(F.col(f"q_{k}").bitwiseXOR(F.col(f"i_{k}"))) for k in range(len(longs))), F.lit(0))
-    # The test belongs to the join: of what meets in a table, few rows are made.
-    met = left.join(right, (left["word"] == right["word"]) & (left["value"] == right["value"]) & (differ <= MOST_BITS))
+    # A pair that agrees in several words is taken in the first of them.
+    first = F.lit(TABLES)
+    for k in reversed(range(TABLES)):
+        x = F.col(f"q_{k // 2}").bitwiseXOR(F.col(f"i_{k // 2}"))
+        half = F.shiftrightunsigned(x, 32) if k % 2 == 0 else x.bitwiseAND(F.lit(0xFFFFFFFF))
+        first = F.when(half == 0, k).otherwise(first)
+    # The tests belong to the join: of what meets in a table, few rows are made.
+    met = left.join(right, (left["word"] == right["word"]) & (left["value"] == right["value"]) & (differ <= MOST_BITS) & (left["word"] == first))
     pairs = stored(met.select("q_key", "q_no", "i_key", "i_no").distinct(), "pairs")
     half = whole(known, "i").join(sent(pairs), ["i_key", "i_no"])
     return half.join(sent(whole(asked, "q")), ["q_key", "q_no"])
