@@ -21,9 +21,12 @@ from loomgraph.plans.ast import (
 )
 from loomgraph.plans.expressions import AGGREGATES, Expressions, Unknown, col, literal
 from loomgraph.plans.parser import parse
-from loomgraph.plans.patterns import MOST_HOPS, Patterns, Rows, joined
+from loomgraph.plans.patterns import MOST_HOPS, Needs, Patterns, Rows, joined, legs
 from loomgraph.plans.procedures import call_procedure
 
+#: Functions whose value differs from row to row.
+SINGLE = {"rand", "random"}
+
 
 def run(graph: Graph, text: str, params: dict) -> DataFrame:
     tree = parse(text)
@@ -109,8 +112,9 @@ class Compiler:
             both = a.df.union(b.df)
             return Rows(both if tree.all else both.distinct(), a.vars, a.labels)
         rows, changes = seed, mutate.Changes(self)
-        for clause in tree.clauses:
-            rows = self.clause(clause, rows, keys, changes)
+        for clause, after in zip(tree.clauses, (*tree.clauses[1:], None), strict=True):
+            needs = self.needs(clause, after)
+            rows = self.clause(clause, rows, keys, changes) if needs is None else self.match(clause, rows, needs)
         changes.commit()
         if not isinstance(tree.clauses[-1], Return | Procedure):
             return changes.result()
@@ -147,9 +151,30 @@ class Compiler:
 
     # MATCH
 
-    def match(self, m: Match, rows: Rows | None) -> Rows:
+    def needs(self, m: Any, after: Any) -> Needs | None:
+        """What is looked at of the rows of a MATCH that is only aggregated: how often
+        a row is there is then a number. None if each row is wanted by itself."""
+        if not isinstance(m, Match) or m.optional or not isinstance(after, With | Return) or len(legs(m.paths)) == 1:
+            return None
+        body, tree = after.body, list(walk((m, after)))
+        found = [x for x in tree if isinstance(x, Call) and x.name in AGGREGATES]
+        if body.star or not any(is_aggregate(i.expr) for i in body.items) or any(x.name == "collect" and not x.distinct for x in found):
+            return None
+        if any(isinstance(x, Call) and (x.name in SINGLE or not self._plain_call(x)) for x in tree):
+            return None
+        if any(x.name in ("sum", "avg") for x in found) and self._decimals({x.name for x in tree if isinstance(x, Prop)}):
+            return None  # a product has other digits than a sum
+        inline = [e for x in walk(m.paths) if isinstance(x, Node | Rel) for _, e in x.props]
+        return Needs().add((m.where, body, inline))
+
+    def _decimals(self, props: set) -> bool:
+        tables = [*self.graph.nodes.values(), *self.graph.edges.values()]
+        return any(isinstance(f.dataType, T.DecimalType) for t in tables for f in t.schema if f.name in props)
+
+    def match(self, m: Match, rows: Rows | None, needs: Needs | None = None) -> Rows:
         bound = rows or Rows(self.graph.spark.range(0))
-        found, conditions = self.patterns.all(m.paths, bound if rows else Rows(bound.df), self.params)
+        paths = legs(m.paths) if needs is not None and rows is None and m.where is None else m.paths
+        found, conditions = self.patterns.all(paths, bound if rows else Rows(bound.df), self.params, needs)
         where = conjuncts(m.where)
         if m.optional:
             left = rows or self.one_row()

@@ -16,6 +16,8 @@ from loomgraph.functions.scalar import FLOATS, FUNCTIONS, WHOLE, is_number, is_t
 from loomgraph.plans.ast import Call, Case, Comprehension, Exists, ListOf, Lit, MapOf, Op, Param, Prop, Quantified, Shortest, Var
 
 AGGREGATES = {"count", "sum", "avg", "min", "max", "collect"}
+#: The column that says how many rows a folded one stands for.
+TIMES = "_times"
 ORDERS = {"<": lambda a, b: a < b, "<=": lambda a, b: a <= b, ">": lambda a, b: a > b, ">=": lambda a, b: a >= b}
 TEXTS = {"CONTAINS": F.contains, "STARTS WITH": F.startswith, "ENDS WITH": F.endswith}
 
@@ -293,6 +295,8 @@ class Expressions:
     # Aggregates
 
     def aggregate(self, e: Call) -> Column:
+        if TIMES in self.columns and not e.distinct and e.name in ("count", "sum", "avg"):
+            return self.folded(e)
         if e.name == "count" and (e.star or not e.args):
             return F.count(F.lit(1))
         x = self.comparable(e.args[0]) if e.name == "count" else self.value(e.args[0])
@@ -311,6 +315,24 @@ class Expressions:
             return F.collect_set(x) if e.distinct else F.collect_list(x)
         return {"min": F.min, "max": F.max}[e.name](x)
 
+    def folded(self, e: Call) -> Column:
+        """An aggregate over rows that stand for many."""
+        times = F.col(TIMES)
+        if e.name == "count" and (e.star or not e.args):
+            return F.coalesce(F.sum(times), F.lit(0))
+        if e.name == "count" and isinstance(e.args[0], Var) and self.vars.get(e.args[0].name) == "rel":
+            x = col(f"{e.args[0].name}._src")
+        else:
+            x = self.comparable(e.args[0]) if e.name == "count" else self.value(e.args[0])
+        there = F.sum(F.when(x.isNotNull(), times))
+        if e.name == "count":
+            return F.coalesce(there, F.lit(0))
+        if e.name == "avg":
+            return F.sum(x.cast("double") * times) / there
+        kind = self.type_of(x)
+        x = x.cast("long" if isinstance(kind, T.IntegralType) else "double") if is_number(kind) else x.try_cast("double")
+        return F.coalesce(F.sum(x * times), F.lit(0))
+
 
 def literal(value: Any) -> Column:
     if isinstance(value, list | tuple):
@@ -322,4 +344,4 @@ def literal(value: Any) -> Column:
     return F.lit(value)
 
 
-__all__ = ["AGGREGATES", "Expressions", "Unknown", "col", "literal", "size"]
+__all__ = ["AGGREGATES", "TIMES", "Expressions", "Unknown", "col", "literal", "size"]

@@ -8,16 +8,17 @@ needed: an edge's ends exist, so ids alone come from the edges."""
 from __future__ import annotations
 
 import itertools
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomgraph.graph import Graph, union
 from loomgraph.operators.paths import expand, reach
-from loomgraph.plans.ast import Lit, Node, Path, Prop, Rel, Shortest, Var, walk
-from loomgraph.plans.expressions import Expressions, col
+from loomgraph.plans.ast import Call, Lit, Node, Path, Prop, Rel, Shortest, Var, walk
+from loomgraph.plans.expressions import TIMES, Expressions, col
 
 #: Hops of a variable-length relationship without an upper bound.
 MOST_HOPS = 10
@@ -32,6 +33,74 @@ class Rows:
     labels: dict[str, frozenset] = field(default_factory=dict)
 
 
+@dataclass
+class Needs:
+    """What of the variables expressions look at: single properties, all of it, or
+    just whether it is there, which is enough for count()."""
+
+    columns: set[str] = field(default_factory=set)
+    whole: set[str] = field(default_factory=set)
+    counted: set[str] = field(default_factory=set)
+
+    def add(self, tree: Any) -> Needs:
+        if isinstance(tree, Prop) and isinstance(tree.of, Var):
+            self.columns.add(f"{tree.of.name}.{tree.name}")
+        elif isinstance(tree, Call) and tree.name == "count" and not tree.distinct and tree.args and isinstance(tree.args[0], Var):
+            self.counted.add(tree.args[0].name)
+        elif isinstance(tree, Var):
+            self.whole.add(tree.name)
+        else:
+            if isinstance(tree, Node | Rel | Path) and tree.var:
+                self.whole.add(tree.var)
+            for x in tree if isinstance(tree, tuple | list) else [getattr(tree, f) for f in getattr(tree, "__dataclass_fields__", ())]:
+                self.add(x)
+        return self
+
+
+#: Values that group by what they are; doubles would lose the sign of a zero.
+PLAIN = (T.ByteType(), T.ShortType(), T.IntegerType(), T.LongType(), T.StringType(), T.BooleanType(), T.DateType(), T.TimestampType())
+
+
+def folded(rows: Rows, needs: Needs, keys: set[str]) -> Rows:
+    """Rows that are alike in all that is looked at later become one, with their
+    number. Nothing is done where every node's id is kept. keys: variables that
+    later joins need."""
+    kept, lost = [], False
+    for v, kind in rows.vars.items():
+        id = {"node": f"{v}._id", "rel": f"{v}._src"}.get(kind, v)
+        own = [c for c in rows.df.columns if c == v or c.startswith(f"{v}.")]
+        keep = [c for c in own if v in needs.whole or c in needs.columns or (v in keys and c == id)]
+        kept += [col(c) for c in keep]
+        if v in needs.counted and id in own and id not in keep:
+            kept.append(F.when(col(id).isNotNull(), F.lit(0)).cast("long").alias(id))
+        lost = lost or (kind == "node" and id in own and id not in keep)
+    mine = {c for v in rows.vars for c in rows.df.columns if c == v or c.startswith(f"{v}.")} | {TIMES}
+    kept += [col(c) for c in rows.df.columns if c not in mine]
+    df = rows.df.select(*kept, F.col(TIMES) if TIMES in rows.df.columns else F.lit(1).cast("long").alias(TIMES))
+    if not lost or not all(f.dataType in PLAIN for f in df.schema):
+        return rows
+    by = [col(c) for c in df.columns if c != TIMES]
+    out = df.groupBy(*by).agg(F.sum(TIMES).alias(TIMES)) if by else df.agg(F.sum(TIMES).alias(TIMES)).where(F.col(TIMES) > 0)
+    return Rows(out, rows.vars, rows.labels)
+
+
+def legs(paths: tuple) -> tuple:
+    """Paths cut at nodes into which both neighbours point, where many meet many:
+    as comma patterns, both legs can be folded. Paths that hold a property stay
+    whole: it may leave few rows, which are better joined as they are."""
+    out = []
+    for i, p in enumerate(paths):
+        parts, start = list(p.parts), 0
+        if p.var is None and all(isinstance(x, Node | Rel) and not x.props for x in parts) and not any(x.hops for x in parts[1::2]):
+            for k in range(2, len(parts) - 1, 2):
+                if parts[k - 1].direction == "out" and parts[k + 1].direction == "in":
+                    parts[k] = parts[k] if parts[k].var else replace(parts[k], var=f"_leg{i}_{k}")
+                    out.append(Path(tuple(parts[start : k + 1])))
+                    start = k
+        out.append(Path(tuple(parts[start:]), p.var))
+    return tuple(out)
+
+
 def prefixed(df: DataFrame, var: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`").alias(f"{var}.{c}") for c in df.columns])
 
@@ -250,9 +319,11 @@ class Patterns:
 
     # Clauses
 
-    def all(self, paths: tuple, bound: Rows, params: dict) -> tuple[Rows, list]:
+    def all(self, paths: tuple, bound: Rows, params: dict, needs: Needs | None = None) -> tuple[Rows, list]:
         """All paths of a clause joined with each other, and the conditions that
-        need variables bound before."""
+        need variables bound before. needs: what the aggregates behind them look at;
+        then both sides are folded before each join, as the join of two tables that
+        have many rows for a node has as many as their product."""
         conditions: list[Any] = []
         rows: Rows | None = None
         todo = list(paths)
@@ -261,6 +332,14 @@ class Patterns:
             names = set(rows.vars) if rows else set()
             k = next((i for i, p in enumerate(todo) if names & {x.var for x in walk(p) if isinstance(x, Node) and x.var}), 0)
             own = self.path(todo.pop(k), bound, params, conditions)
+            if rows is not None and needs is not None:
+                look = Needs(set(needs.columns), set(needs.whole), set(needs.counted)).add(conditions)
+                later = set(bound.vars) | {x.var for x in walk(tuple(todo)) if isinstance(x, Node | Rel) and x.var}
+                first, twice = rows.vars, set(rows.vars) & set(own.vars)
+                rows = folded(rows, look, later | twice)
+                # What both sides have is read from the first.
+                there = Needs({c for c in look.columns if c.split(".")[0] not in first}, look.whole - set(first), look.counted - set(first))
+                own = folded(own, there, later | twice)
             rows = own if rows is None else joined(rows, own, "inner")
             rows.df = self.early(rows.df, rows.vars, conditions, params)
         return rows, conditions
@@ -271,6 +350,9 @@ def joined(left: Rows, right: Rows, how: str, condition: Any = None) -> Rows:
     condition that sees both sides."""
     shared = [v for v in right.vars if v in left.vars]
     df = right.df
+    both = TIMES in left.df.columns and TIMES in df.columns
+    if both:
+        df = df.withColumnRenamed(TIMES, f"{TIMES}2")
     on: list[Column] = []
     for v in shared:
         kind = right.vars[v]
@@ -294,4 +376,6 @@ def joined(left: Rows, right: Rows, how: str, condition: Any = None) -> Rows:
         out = left.df.join(df, test, how)
     if how in ("left_semi", "left_anti"):
         return Rows(out, left.vars, left.labels)
+    if both:
+        out = out.withColumn(TIMES, F.col(TIMES) * F.col(f"{TIMES}2")).drop(f"{TIMES}2")
     return Rows(out.drop(*[f"_k.{v}" for v in shared]), vars, labels)

@@ -275,3 +275,39 @@ def test_vector_index_recall(spark):
     assert [r[0] for r in g.vector_search("P", "v", x[7].tolist(), 2, probes=2).collect()] == [7, new]
     g.cypher("MATCH (p:P) WHERE id(p) = 7 DETACH DELETE p")
     assert g.vector_search("P", "v", x[7].tolist(), 1, probes=2).first()[0] == new
+
+
+def stars(spark, hubs=2, leaves=3000):
+    """Leaves of two labels that all point at few hubs: as many pairs as leaves squared."""
+    hub = spark.createDataFrame([(k, f"h{k}") for k in range(hubs)], "_id long, name string")
+    leaf = {x: spark.range(leaves).select((F.col("id") + (n << 48)).alias("_id"), (F.col("id") % 5).alias("v"), (F.col("id") / 2).alias("f"), F.col("id").alias("k")) for x, n in (("A", 1), ("B", 2))}
+    edges = {(x, "IN", "H"): t.select("_id", F.when(F.col("k") % 10 < 9, F.col("k") % hubs).alias("d"), (F.col("k") % 3).alias("w")).toDF("_src", "_dst", "w") for x, t in leaf.items()}
+    return Graph(spark, {"H": hub, **leaf}, edges, {"H": 0, "A": 1, "B": 2})
+
+
+def test_pairs_of_comma_patterns_are_counted_not_made(spark):
+    """The join makes as many rows as there are nodes, not pairs."""
+    g = stars(spark)
+    for text in ("MATCH (a:A)-[:IN]->(h:H), (b:B)-[:IN]->(h) RETURN h.name AS n, count(*) AS c", "MATCH (a:A)-[:IN]->(h:H)<-[:IN]-(b:B) RETURN h.name AS n, count(*) AS c"):
+        plan = g.cypher(text)
+        made = plan._jdf.queryExecution().optimizedPlan().toString()
+        # Both sides of the join are grouped below it.
+        assert made.count("Aggregate [") == 3 and rows(plan) == [("h0", 1500**2), ("h1", 1200**2)]
+
+
+def test_folded_pairs_have_the_same_aggregates(spark):
+    """Against the pairs one by one, which collect() makes."""
+    g, match = stars(spark, 2, 40), "MATCH (a:A)-[r:IN]->(h:H), (b:B)-[:IN]->(h) "
+    for where, by in (("", "h.name AS x, "), ("", ""), ("WHERE a.v < b.v ", "b.v AS x, "), ("WHERE (a)-[:IN]->(h) AND r.w > 0 ", "h.name AS x, ")):
+        for what in (("count(*)", "count(b)", "count(r)", "count(a.nope)"), ("sum(a.v)", "avg(a.v)", "sum(a.f)", "avg(a.f)"), ("sum(a.v * b.v)", "count(DISTINCT a.v)", "min(b.v)", "sum(DISTINCT b.v)"), ("max(a.k)", "count(DISTINCT a)")):
+            text = f"{match}{where}RETURN {by}{', '.join(f'{w} AS y{k}' for k, w in enumerate(what))}"
+            assert rows(g.cypher(text)) == rows(g.cypher(f"{text}, size(collect(a.k)) AS z").drop("z")), text
+    # Inline properties that look at an earlier path, crossed patterns, nothing found.
+    assert rows(g.cypher("MATCH (a:A)-[:IN]->(h:H), (b:B {k: a.k})-[:IN]->(h) RETURN count(*) AS n")) == [(36,)]
+    assert rows(g.cypher("MATCH (a:A), (b:B) RETURN count(*) AS n")) == [(1600,)]
+    assert rows(g.cypher("MATCH (a:A), (b:B {v: 9}) RETURN a.v AS v, count(*) AS n")) == []
+    assert rows(g.cypher("MATCH (a:A), (b:B {v: 9}) RETURN count(*) AS n, sum(a.v) AS s")) == [(0, 0)]
+    # Three legs, and rows bound before.
+    assert rows(g.cypher("MATCH (a:A)-[:IN]->(h:H), (b:B)-[:IN]->(h), (c:A)-[:IN]->(h) RETURN h.name AS n, count(c) AS c")) == [("h0", 20**3), ("h1", 16**3)]
+    assert rows(g.cypher("MATCH (h:H) WITH h MATCH (a:A)-[:IN]->(h), (b:B)-[:IN]->(h) WITH h.name AS n, count(b) AS c WHERE c > 300 RETURN n, c")) == [("h0", 400)]
+    assert rows(g.cypher("MATCH (h:H) CALL { WITH h MATCH (a:A)-[:IN]->(h), (b:B)-[:IN]->(h) RETURN count(*) AS c } RETURN h.name AS n, c")) == [("h0", 400), ("h1", 256)]
