@@ -51,6 +51,8 @@ class Graph:
         #: Where the graph was opened or saved, and which version it stems from.
         self.path: str | None = None
         self.version = 0
+        #: Tables of that version by their place, each with the folder it lies in.
+        self.stored: dict[str, tuple[DataFrame, str]] = {}
         self._writer = threading.RLock()
 
     # Reading
@@ -108,7 +110,7 @@ class Graph:
         """A graph that later writes to this one don't change: a read transaction."""
         other = Graph(self.spark, self.nodes, self.edges, self.numbers)
         other.unique, other.fulltext, other.vectors = set(self.unique), dict(self.fulltext), {k: dict(v) for k, v in self.vectors.items()}
-        other.path, other.version, other.built = self.path, self.version, dict(self.built)
+        other.path, other.version, other.built, other.stored = self.path, self.version, dict(self.built), dict(self.stored)
         return other
 
     begin_read = snapshot
@@ -290,8 +292,9 @@ class Graph:
         return kept(rows)
 
     def save(self, path: str) -> int:
-        """Publish a version: write all tables to a new folder, then name them in one
-        small file. A Conflict if others have published since this graph was opened."""
+        """Publish a version: write the tables that have changed to a new folder, then
+        name all of them in one small file. A Conflict if others have published since
+        this graph was opened."""
         from loomgraph.sources.storage import save
 
         return save(self, path)

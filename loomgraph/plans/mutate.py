@@ -42,7 +42,7 @@ def schema(graph: Graph, s: Schema) -> DataFrame:
         path = graph.path
         graph.save(path)
         new = Graph.open(graph.spark, path, graph.version)
-        graph.nodes, graph.edges = new.nodes, new.edges
+        graph.nodes, graph.edges, graph.stored = new.nodes, new.edges, new.stored
     # An equality index needs nothing: Parquet statistics prune.
     return done
 

@@ -311,3 +311,58 @@ def test_folded_pairs_have_the_same_aggregates(spark):
     assert rows(g.cypher("MATCH (a:A)-[:IN]->(h:H), (b:B)-[:IN]->(h), (c:A)-[:IN]->(h) RETURN h.name AS n, count(c) AS c")) == [("h0", 20**3), ("h1", 16**3)]
     assert rows(g.cypher("MATCH (h:H) WITH h MATCH (a:A)-[:IN]->(h), (b:B)-[:IN]->(h) WITH h.name AS n, count(b) AS c WHERE c > 300 RETURN n, c")) == [("h0", 400)]
     assert rows(g.cypher("MATCH (h:H) CALL { WITH h MATCH (a:A)-[:IN]->(h), (b:B)-[:IN]->(h) RETURN count(*) AS c } RETURN h.name AS n, c")) == [("h0", 400), ("h1", 256)]
+
+
+def test_saving_writes_what_has_changed(spark, tmp_path):
+    """A version shares the tables that are the same with the one before."""
+    import json
+
+    from loomgraph.sources.storage import vacuum
+
+    path, g = str(tmp_path), empty(spark)
+    g.cypher("CREATE (a:P {name: 'x'})-[:K]->(b:Q {name: 'y'})")
+    g.save(path)
+    for k in range(2):  # from the graph that was saved, and from one that was opened
+        g.cypher("MATCH (a:P) SET a.v = $k", {"k": k})
+        g.save(path)
+        g = Graph.open(spark, path)
+    at = [json.loads((tmp_path / "commits" / f"{v:012d}").read_text())["at"] for v in (1, 2, 3)]
+    assert len({x["nodes/P"] for x in at}) == 3 and len({x["nodes/Q"] for x in at}) == 1 == len({x["edges/P.K.Q"] for x in at})
+    assert sorted(str(p.relative_to(tmp_path)) for p in tmp_path.glob("data-*/*/*")) == sorted({f"{f}/{p}" for x in at for p, f in x.items()})
+    text = "MATCH (a:P)-[:K]->(b:Q) RETURN a.v AS v, b.name AS n"
+    assert [rows(Graph.open(spark, path, v).cypher(text)) for v in (1, 2, 3)] == [[(None, "y")], [(0, "y")], [(1, "y")]]
+    # Older versions go, what the last one shares with them stays.
+    assert vacuum(spark, path, 2) == [1] and vacuum(spark, path) == [2]
+    assert sorted(str(p.relative_to(tmp_path)) for p in tmp_path.glob("data-*/*/*")) == sorted(f"{f}/{p}" for p, f in at[2].items())
+    assert rows(Graph.open(spark, path).cypher(text)) == [(1, "y")]
+    # A checkpoint of nothing new writes nothing; another path gets all; what was deleted goes.
+    g.cypher("CHECKPOINT")
+    g.cypher("CHECKPOINT")
+    assert len(list(tmp_path.glob("data-*/*/*"))) == 3 and g.version == 5
+    g.save(f"{path}/copy")
+    assert len(list(tmp_path.glob("copy/data-*/*/*"))) == 3 and rows(Graph.open(spark, f"{path}/copy").cypher(text)) == [(1, "y")]
+    g = Graph.open(spark, path)
+    g.cypher("MATCH (b:Q) DETACH DELETE b")
+    g.save(path)
+    vacuum(spark, path)
+    assert rows(Graph.open(spark, path).cypher("MATCH (n) RETURN n.name AS n")) == [("x",)] and len(list(tmp_path.glob("data-*/*/*"))) == 3
+
+
+def test_versions_with_one_folder_are_read(spark, tmp_path):
+    """As they were written before tables could be shared."""
+    import json
+
+    from loomgraph.sources.storage import vacuum
+
+    path, g = str(tmp_path), empty(spark)
+    g.cypher("CREATE (a:P {name: 'x'})-[:K]->(b:Q {name: 'y'})")
+    g.save(path)
+    commit = tmp_path / "commits" / f"{1:012d}"
+    m = json.loads(commit.read_text())
+    del m["at"]
+    (tmp_path / "commits" / f".{1:012d}.crc").unlink(missing_ok=True)
+    commit.write_text(json.dumps(m))
+    again = Graph.open(spark, path)
+    again.cypher("MATCH (a:P) SET a.v = 1")
+    assert again.save(path) == 2 and vacuum(spark, path) == [1]
+    assert rows(Graph.open(spark, path).cypher("MATCH (a:P)-[:K]->(b:Q) RETURN a.v AS v, b.name AS n")) == [(1, "y")]
