@@ -279,7 +279,7 @@ def _confirm(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _meeting(asked: DataFrame, known: DataFrame) -> DataFrame:
-    """Matching descriptors (q_key, q_x, .., i_key, i_x, ..), each pair once."""
+    """Matching descriptors (q_key, q_no, i_key, i_no), each pair once."""
 
     longs = [F.shiftleft(F.col(WORDS[k]).cast("long"), 32).bitwiseOR(F.col(WORDS[k + 1]).cast("long").bitwiseAND(F.lit(0xFFFFFFFF))) for k in range(0, TABLES, 2)]
 
@@ -287,9 +287,6 @@ def _meeting(asked: DataFrame, known: DataFrame) -> DataFrame:
         names = [c.alias(f"{side}_{k}") for k, c in enumerate(longs)]
         return of.select(F.col("key").alias(f"{side}_key"), F.col("no").alias(f"{side}_no"), *names, F.posexplode(F.array(*WORDS)).alias("word", "value"))
 
-    def whole(of: DataFrame, side: str) -> DataFrame:
-        return of.select(*[F.col(c).alias(f"{side}_{c}") for c in of.columns if c not in WORDS])
-
     left, right = tables(known, "i"), sent(tables(asked, "q"))
     differ = sum((F.bit_count(F.col(f"q_{k}").bitwiseXOR(F.col(f"i_{k}"))) for k in range(len(longs))), F.lit(0))
     # A pair that agrees in several words is taken in the first of them.
@@ -300,9 +297,111 @@ def _meeting(asked: DataFrame, known: DataFrame) -> DataFrame:
         first = F.when(half == 0, k).otherwise(first)
     # The tests belong to the join: of what meets in a table, few rows are made.
     met = left.join(right, (left["word"] == right["word"]) & (left["value"] == right["value"]) & (differ <= MOST_BITS) & (left["word"] == first))
-    pairs = stored(met.select("q_key", "q_no", "i_key", "i_no").distinct(), "pairs")
-    half = whole(known, "i").join(sent(pairs), ["i_key", "i_no"])
-    return half.join(sent(whole(asked, "q")), ["q_key", "q_no"])
+    return stored(met.select("q_key", "q_no", "i_key", "i_no").distinct(), "pairs")
+
+
+def _placed(pairs: DataFrame, asked: DataFrame, known: DataFrame) -> DataFrame:
+    """Matches that can agree on something (q_key, i_key, n, q_x, .., i_y, ratio, turn,
+    x, y): n are the matches of the two images, the last four the cell of each."""
+
+    def whole(of: DataFrame, side: str) -> DataFrame:
+        return of.select(*[F.col(c).alias(f"{side}_{c}") for c in of.columns if c not in WORDS])
+
+    # Two images that have met only once or in one corner have nothing to agree on.
+    ends = [f(c).alias(f"{c}_{f.__name__}") for c in ("q_no", "i_no") for f in (F.min, F.max)]
+    several = pairs.groupBy("q_key", "i_key").agg(F.count("*").alias("n"), *ends).where("q_no_min < q_no_max and i_no_min < i_no_max")
+    several = stored(pairs.join(several.select("q_key", "i_key", "n"), ["q_key", "i_key"]), "several")
+    met = whole(known, "i").join(sent(several), ["i_key", "i_no"]).join(sent(whole(asked, "q")), ["q_key", "q_no"])
+    zoom, turn = F.col("q_scale") / F.col("i_scale"), F.col("i_angle") - F.col("q_angle")
+    x = F.col("i_x") - zoom * (F.cos(turn) * F.col("q_x") - F.sin(turn) * F.col("q_y"))
+    y = F.col("i_y") - zoom * (F.sin(turn) * F.col("q_x") + F.cos(turn) * F.col("q_y"))
+    cell = {"ratio": F.floor(3 * F.log2(zoom) + 0.25), "turn": F.floor(turn * TURNS / (2 * np.pi)), "x": F.floor(x / CELL), "y": F.floor(y / CELL)}
+    points = [F.col(f"{s}_{c}").cast("double").alias(f"{s}_{c}") for s in "qi" for c in "xy"]
+    # A repeated row of an image has all its matches once more.
+    met = met.select("q_key", "i_key", "n", "q_no", "i_no", *points, *[c.alias(k) for k, c in cell.items()]).distinct()
+    return stored(met.drop("q_no", "i_no"), "met")
+
+
+#: Each match votes for its cell and the next ones, so one at an edge counts.
+NEAR = [(z, k, i, j) for z in (0, 1) for k in (0, 1) for i in (0, 1) for j in (0, 1)]
+AGREED = "q_key long, i_key long, votes long, p double, q double, dx double, dy double"
+#: Matches of two images that are taken into memory at once.
+MOST_MATCHES = 10_000
+
+
+def _agreed(met: pd.DataFrame) -> pd.DataFrame:
+    """(q_key, i_key, votes, p, q, dx, dy) of the cell with the most votes, of those of
+    all pairs of images in met, in which the matches of a pair lie together."""
+    q_key, i_key, q_x, q_y, i_x, i_y = (met[c].to_numpy() for c in ("q_key", "i_key", "q_x", "q_y", "i_x", "i_y"))
+    pair = np.cumsum(np.r_[0, (np.diff(q_key) != 0) | (np.diff(i_key) != 0)])
+    first = np.searchsorted(pair, np.arange(pair[-1] + 1))
+    near = np.array(NEAR)[:, :, None]
+    ratio, turn, x, y = (met[c].to_numpy()[None] + near[:, k] for k, c in enumerate(("ratio", "turn", "x", "y")))
+    keys = [np.tile(pair, len(NEAR)), ratio.ravel(), (turn % TURNS).ravel(), x.ravel(), y.ravel()]
+    order = np.lexsort(keys[::-1])
+    keys = [k[order] for k in keys]
+    starts = np.r_[True, np.any([np.diff(k) != 0 for k in keys], axis=0)]
+    cell, of = np.cumsum(starts) - 1, order % len(pair)
+    starts = np.flatnonzero(starts)
+
+    def points(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Distinct points of each cell."""
+        no = np.unique(np.c_[a, b], axis=0, return_inverse=True)[1].ravel()
+        return np.bincount(np.unique(cell * (no.max() + 1) + no[of]) // (no.max() + 1), minlength=len(starts))
+
+    votes = np.minimum(points(q_x, q_y), points(i_x, i_y))
+    # The least-squares fit of (i_x, i_y) = (p x - q y + dx, q x + p y + dy).
+    n = np.diff(np.r_[starts, len(of)])
+    sx, sy, su, sv, sr, sp, sq = (np.add.reduceat(v[of], starts) for v in (q_x, q_y, i_x, i_y, q_x * q_x + q_y * q_y, q_x * i_x + q_y * i_y, q_x * i_y - q_y * i_x))
+    den = sr - (sx * sx + sy * sy) / n
+    good = np.flatnonzero((votes >= LEAST_VOTES) & (den > 1))
+    # Of the cells with the most votes the last one.
+    good = good[np.lexsort((good, votes[good], keys[0][starts[good]]))]
+    of_pair = keys[0][starts[good]]
+    good = good[np.diff(np.r_[of_pair, -1]) != 0]
+    n, sx, sy, su, sv, sp, sq, den = (v[good] for v in (n, sx, sy, su, sv, sp, sq, den))
+    p, q = (sp - (sx * su + sy * sv) / n) / den, (sq - (sx * sv - sy * su) / n) / den
+    at = first[keys[0][starts[good]]]
+    return pd.DataFrame({"q_key": q_key[at], "i_key": i_key[at], "votes": votes[good], "p": p, "q": q, "dx": (su - p * sx + q * sy) / n, "dy": (sv - q * sx - p * sy) / n})
+
+
+def _agree(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    rest = None
+    for frame in frames:
+        if not len(frame):
+            continue
+        frame = frame if rest is None else pd.concat([rest, frame], ignore_index=True)
+        last = (frame["q_key"].to_numpy() == frame["q_key"].iat[-1]) & (frame["i_key"].to_numpy() == frame["i_key"].iat[-1])
+        rest, whole = frame[last], frame[~last]  # the last pair may go on
+        if len(whole):
+            yield _agreed(whole)
+    if rest is not None:
+        yield _agreed(rest)
+
+
+def _agreed_spread(met: DataFrame) -> DataFrame:
+    """The same as _agreed() for pairs of images with too many matches for the memory of
+    a task, whose cells are counted one by one."""
+    cells = F.explode(F.array(*[F.struct((F.col("ratio") + z).alias("ratio"), F.pmod(F.col("turn") + k, F.lit(TURNS)).alias("turn"), (F.col("x") + i).alias("x"), (F.col("y") + j).alias("y")) for z, k, i, j in NEAR]))
+    votes = met.select("q_key", "i_key", cells.alias("cell"), "q_x", "q_y", "i_x", "i_y")
+
+    def total(of: str) -> Column:
+        return F.sum(F.expr(of))
+
+    sums = {"n": F.count("*"), "sx": total("q_x"), "sy": total("q_y"), "su": total("i_x"), "sv": total("i_y"), "sr": total("q_x * q_x + q_y * q_y"), "sp": total("q_x * i_x + q_y * i_y"), "sq": total("q_x * i_y - q_y * i_x")}
+    counted = votes.groupBy("q_key", "i_key", "cell").agg(F.countDistinct("q_x", "q_y").alias("votes"), F.countDistinct("i_x", "i_y").alias("_i"), *[c.alias(k) for k, c in sums.items()])
+    counted = counted.withColumn("votes", F.least("votes", "_i")).withColumn("den", F.expr("sr - (sx * sx + sy * sy) / n")).where((F.col("votes") >= LEAST_VOTES) & (F.col("den") > 1))
+    counted = counted.withColumn("p", F.expr("(sp - (sx * su + sy * sv) / n) / den")).withColumn("q", F.expr("(sq - (sx * sv - sy * su) / n) / den"))
+    counted = counted.withColumn("dx", F.expr("(su - p * sx + q * sy) / n")).withColumn("dy", F.expr("(sv - q * sx - p * sy) / n"))
+    return counted.groupBy("q_key", "i_key").agg(F.max_by(F.struct("votes", "p", "q", "dx", "dy"), F.struct("votes", "cell")).alias("b")).select("q_key", "i_key", "b.*")
+
+
+def _agreeing(met: DataFrame) -> DataFrame:
+    """(q_key, i_key, votes, p, q, dx, dy): what most matches of two images agree on."""
+    few = F.col("n") <= MOST_MATCHES
+    best = met.where(few).drop("n").repartition("q_key", "i_key").sortWithinPartitions("q_key", "i_key").mapInPandas(_agree, AGREED)
+    many = met.where(~few)
+    return best if many.isEmpty() else best.union(_agreed_spread(many))
 
 
 def edited_copies(queries: DataFrame, images: DataFrame) -> DataFrame:
@@ -323,33 +422,8 @@ def edited_copies(queries: DataFrame, images: DataFrame) -> DataFrame:
     pictured = known.join(sent(classes.select("same", "key")), "same").where("image_id = key").select("key", "image")
     asked = queries.where("query_id is not null and image is not null").groupBy(F.col("query_id").cast("long").alias("key")).agg(F.min("image").alias("image"))
     asked = stored(asked, "asked")
-    met = _meeting(stored(descriptors(asked), "q"), stored(descriptors(pictured), "i"))
-    met = stored(met, "met")
-    # Two images that have met only once or in one point have nothing to agree on.
-    places = met.select("q_key", "i_key", "q_x", "q_y").distinct().groupBy("q_key", "i_key").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_VOTES)
-    met = met.join(stored(places.select("q_key", "i_key"), "several"), ["q_key", "i_key"])
-
-    zoom, turn = F.col("q_scale") / F.col("i_scale"), F.col("i_angle") - F.col("q_angle")
-    x = F.col("i_x") - zoom * (F.cos(turn) * F.col("q_x") - F.sin(turn) * F.col("q_y"))
-    y = F.col("i_y") - zoom * (F.sin(turn) * F.col("q_x") + F.cos(turn) * F.col("q_y"))
-    steps = F.floor(turn * TURNS / (2 * np.pi))
-    # Each match votes for its cell and the next ones, so one at an edge counts.
-    ratio = F.floor(3 * F.log2(zoom) + 0.25)
-    near = [(z, k, i, j) for z in (0, 1) for k in (0, 1) for i in (0, 1) for j in (0, 1)]
-    cells = F.explode(F.array(*[F.struct((ratio + z).alias("ratio"), F.pmod(steps + k, F.lit(TURNS)).alias("turn"), (F.floor(x / CELL) + i).alias("x"), (F.floor(y / CELL) + j).alias("y")) for z, k, i, j in near]))
-    votes = met.select("q_key", "i_key", cells.alias("cell"), *[F.col(f"{s}_{c}").cast("double").alias(f"{s}_{c}") for s in "qi" for c in "xy"])
-
-    # Votes, and the least-squares fit of (i_x, i_y) = (p x - q y + dx, q x + p y + dy).
-    def total(of: str) -> Column:
-        return F.sum(F.expr(of))
-
-    sums = {"n": F.count("*"), "sx": total("q_x"), "sy": total("q_y"), "su": total("i_x"), "sv": total("i_y"), "sr": total("q_x * q_x + q_y * q_y"), "sp": total("q_x * i_x + q_y * i_y"), "sq": total("q_x * i_y - q_y * i_x")}
-    counted = votes.groupBy("q_key", "i_key", "cell").agg(F.countDistinct("q_x", "q_y").alias("votes"), F.countDistinct("i_x", "i_y").alias("_i"), *[c.alias(k) for k, c in sums.items()])
-    counted = counted.withColumn("votes", F.least("votes", "_i")).withColumn("den", F.expr("sr - (sx * sx + sy * sy) / n")).where((F.col("votes") >= LEAST_VOTES) & (F.col("den") > 1))
-    counted = counted.withColumn("p", F.expr("(sp - (sx * su + sy * sv) / n) / den")).withColumn("q", F.expr("(sq - (sx * sv - sy * su) / n) / den"))
-    counted = counted.withColumn("dx", F.expr("(su - p * sx + q * sy) / n")).withColumn("dy", F.expr("(sv - q * sx - p * sy) / n"))
-    best = counted.groupBy("q_key", "i_key").agg(F.max_by(F.struct("votes", "p", "q", "dx", "dy"), F.struct("votes", "cell")).alias("b")).select("q_key", "i_key", "b.*")
-    best = stored(best, "best")
+    described = stored(descriptors(asked), "q"), stored(descriptors(pictured), "i")
+    best = stored(_agreeing(_placed(_meeting(*described), *described)), "best")
     shown = pictured.select(F.col("key").alias("i_key"), F.col("image").alias("i_image")).join(sent(best), "i_key")
     shown = shown.join(asked.select(F.col("key").alias("q_key"), F.col("image").alias("q_image")), "q_key")
     good = shown.select("q_key", "i_key", "votes", "p", "q", "dx", "dy", "q_image", "i_image").mapInPandas(_confirm, "q_key long, i_key long, votes long")

@@ -746,6 +746,27 @@ def test_corners_follow_the_size(spark):
     assert [(r["query_id"], r["class_id"]) for r in got] == [(7, 1)]
 
 
+def test_votes_of_near_copies(spark, monkeypatch):
+    """Votes make a row for two images, and none for each cell of each match; pairs with
+    many matches, and pairs that end in another batch, get the same result."""
+    own = np.random.default_rng(11)
+    one = own.normal(size=64)
+    vectors = spark.createDataFrame([(k, [float(x) for x in one + own.normal(scale=0.03, size=64)]) for k in range(40)], "vec_id long, embedding array<double>")
+    asked, shown = images.pictures(vectors.where("vec_id % 10 = 0"), "crop").withColumnRenamed("image_id", "query_id"), images.pictures(vectors)
+    plans, real = {}, images.stored
+    monkeypatch.setattr(images, "stored", lambda df, name: plans.update({name: df._jdf.queryExecution().optimizedPlan().toString()}) or real(df, name))
+    found = {tuple(r) for r in images.edited_copies(asked, shown).collect()}
+    assert "Generate" not in plans["best"] and len(found) == 4 * 40
+    monkeypatch.setattr(images, "MOST_MATCHES", 20)  # some pairs have more, some have not
+    assert {tuple(r) for r in images.edited_copies(asked, shown.union(shown.where("image_id = 3"))).collect()} == found and "Generate" in plans["best"]
+    monkeypatch.setattr(images, "MOST_MATCHES", 10_000)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        assert {tuple(r) for r in images.edited_copies(asked, shown).collect()} == found
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def png(image, colour=0, depth=8, palette=None, interlaced=False):
     import struct
 
