@@ -12,7 +12,8 @@ one cell are the geometric consensus, and a similarity transform is fitted to th
 At last the two images are laid over each other by that transform: where they
 overlap, their grey values must correlate.
 
-Equal images fold into one class first, and only classes are compared.
+Equal images fold into one class first, equal queries too, and only classes are
+compared.
 """
 
 from __future__ import annotations
@@ -421,14 +422,17 @@ def edited_copies(queries: DataFrame, images: DataFrame) -> DataFrame:
     classes = stored(classes.groupBy("key").agg(F.min_by("copies", "same").alias("copies"), F.min("same").alias("same")), "classes")
     pictured = known.join(sent(classes.select("same", "key")), "same").where("image_id = key").select("key", "image")
     asked = queries.where("query_id is not null and image is not null").groupBy(F.col("query_id").cast("long").alias("key")).agg(F.min("image").alias("image"))
-    asked = stored(asked, "asked")
+    asked = stored(asked.withColumn("same", F.sha2("image", 256)), "asked")
+    firsts = stored(asked.groupBy("same").agg(F.min("key").alias("q_key")), "firsts")
+    alike = stored(asked.select("key", "same").join(sent(firsts), "same").select("q_key", F.col("key").alias("query_id")), "alike")
+    asked = asked.join(sent(firsts.select(F.col("q_key").alias("key"))), "key").select("key", "image")
     described = stored(descriptors(asked), "q"), stored(descriptors(pictured), "i")
     best = stored(_agreeing(_placed(_meeting(*described), *described)), "best")
     shown = pictured.select(F.col("key").alias("i_key"), F.col("image").alias("i_image")).join(sent(best), "i_key")
     shown = shown.join(asked.select(F.col("key").alias("q_key"), F.col("image").alias("q_image")), "q_key")
     good = shown.select("q_key", "i_key", "votes", "p", "q", "dx", "dy", "q_image", "i_image").mapInPandas(_confirm, "q_key long, i_key long, votes long")
     named = classes.select(F.col("key").alias("i_key"), "copies")
-    return good.distinct().join(named, "i_key").select(F.col("q_key").alias("query_id"), F.col("i_key").alias("class_id"), "copies", "votes")
+    return good.distinct().join(named, "i_key").join(sent(alike), "q_key").select("query_id", F.col("i_key").alias("class_id"), "copies", "votes")
 
 
 EDITS = ("crop", "turn", "tilt", "half", "zoom")

@@ -767,6 +767,19 @@ def test_votes_of_near_copies(spark, monkeypatch):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+def test_equal_queries_are_compared_once(spark, monkeypatch):
+    own = np.random.default_rng(12)
+    vectors = spark.createDataFrame([(k, [float(x) for x in own.normal(size=64)]) for k in range(3)], "vec_id long, embedding array<double>")
+    one, shown = images.pictures(vectors, "crop"), images.pictures(vectors)
+    # Query 100 * n + k shows image k.
+    asked = one.crossJoin(spark.range(50).withColumnRenamed("id", "n")).select((F.col("image_id") + 100 * F.col("n")).alias("query_id"), "image")
+    made, real = {}, images.stored
+    monkeypatch.setattr(images, "stored", lambda df, name: made.setdefault(name, real(df, name)))
+    got = sorted((r["query_id"], r["class_id"]) for r in images.edited_copies(asked, shown).collect())
+    assert got == sorted((100 * n + k, k) for n in range(50) for k in range(3))
+    assert {r[0] for r in made["pairs"].select("q_key").distinct().collect()} == {0, 1, 2}
+
+
 def png(image, colour=0, depth=8, palette=None, interlaced=False):
     import struct
 
