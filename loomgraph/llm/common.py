@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import sys
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,6 +19,10 @@ from pyspark.sql import types as T
 #: White space that separates words; everything else is part of a word.
 WORD = r"[^\x20\x09-\x0D]+"
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: What holds while a table is stored. Batches that Python gets are bounded by their
+#: bytes, as so many rows of long texts would fill memory on both sides.
+STORING = {CLEANUP: "true", BATCH: str(8 << 20)}
 _kept: list[tuple[SparkSession, str]] = []
 _to_the_end: list[tuple[SparkSession, str]] = []
 
@@ -55,12 +64,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     of no more use once the table is written, and go at once."""
     spark = df.sparkSession
     path = scratch(spark, name)
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
+    before = {k: spark.conf.get(k, None) for k in STORING}
+    for k, v in STORING.items():
+        spark.conf.set(k, v)
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -97,6 +108,30 @@ def _at_exit() -> None:
             return
 
 
+def trim() -> None:
+    """Give back what this worker process doesn't need now: the encoder that tasks of
+    token ids have left in it, and freed memory that allocators keep."""
+    state = sys.modules.get("_loomgraph_worker")
+    if state is not None:
+        state.encoder = None
+    pa.default_memory_pool().release_unused()
+    give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+    if give_back:
+        give_back(0)
+
+
+def lean(run: Callable) -> Callable:
+    """run, for mapInPandas, in a worker that keeps nothing from before or after it: a
+    worker outlives its tasks, beside a JVM whose memory only grows."""
+
+    def within(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        trim()
+        yield from run(frames)
+        trim()
+
+    return within
+
+
 def crc_mod(column: str, n: int) -> Column:
     """crc32 of the column's text, modulo n."""
     return F.crc32(F.col(column).cast("string")) % n

@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import sent, stored
+from loomgraph.llm.common import lean, sent, stored
 from loomgraph.llm.components import components, extended
 from loomgraph.llm.shingles import batches, mix, set_keys, shingle_sets, superminhash
 
@@ -63,7 +63,7 @@ def _sign(width: int, rows_per_band: int, size: int):
 def sign(docs: DataFrame, width: int = 4, bands: int = 42, rows_per_band: int = 6) -> DataFrame:
     """Size of the set, its key and its band keys, for every row of docs (doc_id,
     text)."""
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(_sign(width, rows_per_band, bands * rows_per_band), SIGNED)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(lean(_sign(width, rows_per_band, bands * rows_per_band)), SIGNED)
 
 
 def _pairs(pairs: DataFrame, texts: DataFrame, run, schema: str) -> DataFrame:
@@ -71,7 +71,7 @@ def _pairs(pairs: DataFrame, texts: DataFrame, run, schema: str) -> DataFrame:
     texts: (doc_id, text); each pair meets its two texts in two shuffles."""
     half = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("a_text")), "a")
     whole = half.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("b_text")), "b")
-    return whole.sortWithinPartitions("b").select("a", "b", "a_text", "b_text").mapInPandas(run, schema)
+    return whole.sortWithinPartitions("b").select("a", "b", "a_text", "b_text").mapInPandas(lean(run), schema)
 
 
 def _sets(frames: Iterator[pd.DataFrame], width: int) -> Iterator[tuple]:
@@ -84,7 +84,7 @@ def _sets(frames: Iterator[pd.DataFrame], width: int) -> Iterator[tuple]:
             yield a, b, shingle_sets([t], width)[0], last[1]
 
 
-def _rows(found: Iterator[tuple], columns: list[str], most: int = 2_000_000) -> Iterator[pd.DataFrame]:
+def _rows(found: Iterator[tuple], columns: list[str], most: int = 500_000) -> Iterator[pd.DataFrame]:
     """Frames of so many numbers in all (the last column's arrays count)."""
     rows, size = [], 0
     for row in found:

@@ -124,8 +124,9 @@ def set_keys(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.array(a, np.uint64), np.array(b, np.uint64)
 
 
-def batches(texts: list, most: int = 2_000_000):
-    """Slices of a list of texts, each of about so many characters."""
+def batches(texts: list, most: int = 400_000):
+    """Slices of a list of texts, each of about so many characters: the arrays made of a
+    slice take some hundred bytes for each."""
     start = size = 0
     for i, t in enumerate(texts):
         size += len(t or "") + 1

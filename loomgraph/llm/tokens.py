@@ -282,7 +282,9 @@ def _read(path: str):
 
 def read_tokens(spark: SparkSession, path: str, manifest: list[dict]) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, from the files."""
-    parts = spark.createDataFrame([(r["name"], r["base"]) for r in manifest], "name string, base long")
+    # As a literal: rows of the driver's Python would start further workers, which stay.
+    known = json.dumps([{"name": r["name"], "base": r["base"]} for r in manifest])
+    parts = spark.range(0, 1, 1, 1).select(F.inline(F.from_json(F.lit(known), "array<struct<name string, base long>>")))
     return parts.repartition(max(1, len(manifest))).mapInPandas(_read(path), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 

@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import crc_mod, mix, stored
+from loomgraph.llm.common import crc_mod, lean, mix, stored
 from loomgraph.llm.shingles import words
 
 #: The bound of what is learned from: labelled documents.
@@ -266,7 +266,7 @@ def fit(labelled: DataFrame, most: int = MOST_LABELLED) -> Model:
     n = labelled.select("doc_id").count()
     share = min(1.0, most / max(1, n))
     sample = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < math.ceil(share * 1_000_003))
-    sample = sample.mapInPandas(_least_windows, "doc_id long, text string, toxic int, key long").groupBy("key", "toxic").agg(F.min_by("text", F.struct("doc_id", "text")).alias("text"))
+    sample = sample.mapInPandas(lean(_least_windows), "doc_id long, text string, toxic int, key long").groupBy("key", "toxic").agg(F.min_by("text", F.struct("doc_id", "text")).alias("text"))
     sample = stored(sample, "labelled")
     totals = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n0, n1 = totals.get(0, 0), totals.get(1, 0)
