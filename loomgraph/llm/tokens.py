@@ -30,6 +30,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -38,6 +40,10 @@ from pyspark.sql import functions as F
 MAGIC = b"LOOMTOK2"
 #: Words whose ids a worker remembers: twice this many at most, some 80 MB.
 REMEMBERED = 200_000
+#: Characters of the texts that are encoded together, one text at least.
+TOGETHER = 4 << 20
+#: Words that the library gets at once.
+AT_ONCE = 64
 #: White space that doesn't stand alone, and such a run with the words it touches.
 _TWO, _RUN = re.compile(r"\s\s"), re.compile(r" ?\S*+\s{2,}\S*(?:\s{2,}\S*)*")
 _PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -98,7 +104,7 @@ class Encoder:
         kind = known.get("pre_tokenizer") or {}
         # Only for this kind of tokenizer is it known that words can be cut out.
         self.by_word = kind.get("type") == "ByteLevel" and kind.get("use_regex") and not kind.get("add_prefix_space") and not known.get("normalizer") and not known.get("post_processor")
-        self.piece = None
+        self.piece, self.together = None, False
         if self.by_word and known["model"]["type"] == "BPE":
             # The model alone, without the machinery around it: half the time.
             self.piece = self.tokenizer.model
@@ -111,8 +117,30 @@ class Encoder:
             rest = [c for c in sorted(alphabet - set(self.shown.values())) if ord(c) > 255]
             self.shown |= {b: chr(b) for b in range(128, 256) if b not in loose}
             self.shown |= dict(zip(loose, rest, strict=True))
+            self._prepare()
         self.ids = _Ids(self.direct, self.word)
 
+    def _prepare(self) -> None:
+        """For words that the library gets together, as " one two three"."""
+        from tokenizers import Tokenizer
+
+        self.bare = Tokenizer(self.piece)
+        self.units = np.array([ord(self.shown[b]) for b in range(256)], "<u2")
+        space, vocabulary = self.shown[32], self.tokenizer.get_vocab()
+        self.opens = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.opens[[i for t, i in vocabulary.items() if t[0] == space]] = True
+        of = {c: b for b, c in self.shown.items()}
+
+        def joins(token: str) -> bool:
+            """Whether a token may reach from one word of letters into the next."""
+            raw = bytes(of[c] for c in token if c in of)
+            try:
+                return all(w == "" or w.isalpha() for w in raw.decode().split(" "))
+            except UnicodeDecodeError:
+                return True
+
+        self.together = not any(map(joins, (t for t in vocabulary if space in t[1:]))) and not any(" " in t for t in self.added)
+
     def direct(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, f"<u{self.width}").tobytes()
 
@@ -123,6 +151,82 @@ class Encoder:
         shown = f" {word}".encode().decode("latin-1").translate(self.shown)
         return array(self.code, [t.id for t in self.piece.tokenize(shown)]).tobytes()
 
+    def joined(self, words: list[str], letters: bool) -> pa.Array:
+        """Ids of a space and each of these words, which hold no white space; letters
+        says that they are of letters alone. The token that opens with the space is
+        the first one of its word."""
+        groups = [" " + " ".join(words[k : k + AT_ONCE]) for k in range(0, len(words), AT_ONCE)]
+        if letters:
+            groups = [self.units[np.frombuffer(g.encode(), np.uint8)].tobytes().decode("utf-16-le") for g in groups]
+        library, ids = self.bare if letters else self.tokenizer, array(self.code)
+        for k in range(0, len(groups), AT_ONCE):
+            for found in library.encode_batch_fast(groups[k : k + AT_ONCE], add_special_tokens=False):
+                ids.extend(found.ids)
+        ids = np.frombuffer(ids, f"<u{self.width}") if words else np.empty(0, f"<u{self.width}")
+        at = np.flatnonzero(self.opens[ids])
+        if len(at) != len(words):
+            return self.apart([f" {w}" for w in words])
+        return pa.LargeListArray.from_arrays(np.append(at, len(ids)), pa.array(ids))
+
+    def apart(self, words: list[str]) -> pa.Array:
+        """Ids of each of these texts."""
+        found = [e.ids for k in range(0, len(words), AT_ONCE) for e in self.tokenizer.encode_batch_fast(words[k : k + AT_ONCE], add_special_tokens=False)]
+        return pa.array(found, pa.large_list(pa.from_numpy_dtype(f"<u{self.width}")))
+
+    def known(self, words: pa.Array) -> pa.Array:
+        """Ids of different words, each with the space before it if there is one.
+        Stems of letters are encoded without the punctuation behind them, once for
+        all words that share them."""
+        cut = pc.ascii_rtrim(words, _PUNCTUATION).dictionary_encode()
+        spaced = pc.starts_with(cut.dictionary, " ").to_numpy(zero_copy_only=False)
+        bare = pc.if_else(spaced, pc.utf8_slice_codeunits(cut.dictionary, 1), cut.dictionary).to_numpy(zero_copy_only=False)
+        alpha = np.fromiter(map(str.isalpha, bare), bool, len(bare))
+        # Of stems: their places among what is encoded; other words are taken whole.
+        stem, place = cut.indices.to_numpy(), np.full(len(bare), -1)
+        inner, first = np.flatnonzero(spaced & alpha), np.flatnonzero(~spaced & alpha)
+        place[inner], place[first] = np.arange(len(inner)), len(inner) + np.arange(len(first))
+        place, n = place[stem], len(inner) + len(first)
+        whole = np.flatnonzero(place < 0)
+        others = words.take(pa.array(whole)).to_pylist()
+        far = np.array([len(w) > 1 and w[0] == " " for w in others], bool)
+        place[whole[far]] = n + np.arange(far.sum())
+        place[whole[~far]] = n + far.sum() + np.arange((~far).sum())
+        n += len(whole)
+        # Punctuation behind stems.
+        longer = pc.binary_length(words).to_numpy() - pc.binary_length(cut.dictionary).to_numpy()[stem]
+        longer[whole] = 0
+        tailed = np.flatnonzero(longer)
+        signs = [w[-k:] for w, k in zip(words.take(pa.array(tailed)).to_numpy(zero_copy_only=False), longer[tailed].tolist(), strict=True)]
+        tails = {t: k for k, t in enumerate(dict.fromkeys(["", *signs]), n)}
+        # Stem, punctuation, stem, punctuation ..: every second end is that of a word.
+        both = np.full(2 * len(words), n)
+        both[::2] = place
+        both[2 * tailed + 1] = [tails[t] for t in signs]
+        found = pa.concat_arrays([
+            self.joined(bare[inner].tolist(), True),
+            self.apart(bare[first].tolist()),
+            self.joined([w[1:] for w, f in zip(others, far, strict=True) if f], False),
+            self.apart([w for w, f in zip(others, far, strict=True) if not f]),
+            self.apart(list(tails)),
+        ]).take(pa.array(both))
+        return pa.LargeListArray.from_arrays(found.offsets[::2], found.values)
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The ids of each of these texts. Words are told apart in all texts at once,
+        and the library gets each different one once."""
+        if not self.together:
+            return [self.encode(t) for t in texts]
+        plain = [_plain(t) and not any(a in t for a in self.added) for t in texts]
+        # Plain texts hold no control signs but newlines.
+        cut = pc.replace_substring(pa.array([t for t, p in zip(texts, plain, strict=True) if p], pa.large_string()), " ", "\0 ")
+        cut = pc.split_pattern(pc.replace_substring(cut, "\n", "\0\n\0"), "\0")
+        words, stops = cut.values.dictionary_encode(), cut.offsets.to_numpy()
+        del cut
+        placed = self.known(words.dictionary).take(words.indices)
+        ends, ids = placed.offsets.to_numpy()[stops], placed.values.to_numpy()
+        done = (ids[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True))
+        return [next(done) if p else self.encode(t) for t, p in zip(texts, plain, strict=True)]
+
     def encode(self, text: str) -> bytes:
         """The ids of a whole text, as if it were encoded at once."""
         if not self.by_word or any(t in text for t in self.added):
@@ -174,6 +278,20 @@ def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
 
 
+def _together(texts: pd.Series) -> Iterator[list[str]]:
+    """Texts to be encoded together, in their order; null ones are empty."""
+    some, size = [], 0
+    for text in texts:
+        text = text or ""
+        if some and size + len(text) > TOGETHER:
+            yield some
+            some, size = [], 0
+        some.append(text)
+        size += len(text)
+    if some:
+        yield some
+
+
 def _write(path: str, tokenizer: str, end_id: int, special_as_text: bool):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part, enc, store = TaskContext.get().partitionId(), None, None
@@ -189,10 +307,10 @@ def _write(path: str, tokenizer: str, end_id: int, special_as_text: bool):
                 name = f"part-{part:05d}-{uuid.uuid4().hex[:12]}"
                 out = store.open_output_stream(f"{root}/{name}.bin")
             sizes = []
-            for text in frame["text"]:
-                raw = enc.encode(text or "") + end
-                out.write(raw)
-                sizes.append(len(raw) // enc.width)
+            for texts in _together(frame["text"]):
+                for raw in enc.encode_all(texts):
+                    out.write(raw + end)
+                    sizes.append(len(raw) // enc.width + 1)
             nulls.append(docs + np.flatnonzero(frame["doc_id"].isna()))
             docs += len(frame)
             ids.append(frame["doc_id"].fillna(0).astype("int64").to_numpy())

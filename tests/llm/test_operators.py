@@ -516,6 +516,37 @@ def test_encoder_forgets(monkeypatch):
         assert len(enc.ids) <= 30 and len(enc.ids.old) <= 30
 
 
+@pytest.mark.parametrize("special_as_text", [False, True])
+def test_texts_encoded_together(special_as_text):
+    enc = Encoder(tokenizer_path(), special_as_text)
+    parts = [*"abcé字中 A.,'s1²  \n\n", "<|endoftext|>", "don't", " \t", "\u0085", "\u00a0", "\0", "ä-b", "...", " word,", "\nWord;", "à à"]
+    texts = ["", " ", "\n", "a", ".", *("".join(RNG.choice(parts, int(RNG.integers(0, 14)))) for _ in range(4000))]
+    for some in (texts, [], [""], ["\t"]):
+        assert [np.frombuffer(r, np.uint16).tolist() for r in enc.encode_all(some)] == [library(t, special_as_text) for t in some]
+
+
+def test_the_library_gets_each_word_once():
+    class Counting:
+        def __init__(self, library):
+            self.library, self.size = library, 0
+
+        def encode(self, text, **how):
+            self.size += len(text)
+            return self.library.encode(text, **how)
+
+        def encode_batch_fast(self, texts, **how):
+            self.size += sum(map(len, texts))
+            return self.library.encode_batch_fast(texts, **how)
+
+    enc = Encoder(tokenizer_path())
+    enc.tokenizer, enc.bare = Counting(enc.tokenizer), Counting(enc.bare)
+    words = ["".join(RNG.choice(list("aeiouxyz"), 9)) for _ in range(500)]
+    texts = [" ".join(w + str(RNG.choice(["", ",", ".", "!!"])) for w in RNG.permutation(words)) for _ in range(20)]
+    got = enc.encode_all(texts)
+    assert [np.frombuffer(r, np.uint16).tolist() for r in got] == [library(t) for t in texts]
+    assert enc.tokenizer.size + enc.bare.size < 1.1 * sum(len(w) + 1 for w in words)
+
+
 def test_token_files(spark, odd, none, tmp_path):
     rows = [(k * 3 % 50, text(int(RNG.integers(0, 40))) + (" <|endoftext|> x" if k % 9 == 0 else "")) for k in range(50)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
