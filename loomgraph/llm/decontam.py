@@ -11,6 +11,10 @@ Names are told by their case, which a document in capitals lacks. So windows of
 plain lower-cased words are joined too, and a document that holds enough of those
 has the item word for word: its slots are not looked at.
 
+Most items have so many windows of literal tokens alone that a text which reaches the
+coverage holds one of them, and there the template is the plain words: only texts
+with such a window are canonicalised. If an item has too few, all texts are.
+
 A name is a run of capitalised words inside a sentence: after a lower-case letter, a
 digit or one of `,;:`, and one space. An item that has no window of enough literal
 tokens, being too short or of slots alone, would be met by chance in any document;
@@ -38,11 +42,20 @@ UNITS = "kg|g|mg|lb|lbs|oz|km|m|cm|mm|mi|miles?|feet|ft|inch(?:es)?|hours?|hrs?|
 PUNCTUATION = r"[^\p{L}\p{N}<>=\x20\x09-\x0D]+"
 
 
+def _unmarked(text: Column) -> Column:
+    """Without the signs of placeholders, which few texts hold."""
+    held = [F.contains(text, F.lit(sign)) for sign in "<>="]
+    return F.when(held[0] | held[1] | held[2], F.regexp_replace(text, "[<>=]", "")).otherwise(text)
+
+
+def _split(text: Column) -> Column:
+    return F.array_remove(F.split(text, BLANK), "")
+
+
 def template(text: Column, values: bool = False) -> Column:
     """The canonical text; with values, placeholders keep what they stand for."""
     of = (lambda kind, group: f"<{kind}=${group}>") if values else (lambda kind, _: f"<{kind}>")
-    out = F.translate(text, "<>=", "")
-    out = F.regexp_replace(out, NAMES, f"$1{of('name', 2)}")
+    out = F.regexp_replace(_unmarked(text), NAMES, f"$1{of('name', 2)}")
     out = F.regexp_replace(out, NUMBERS, of("num", 1))
     # Only a number may be followed by a unit.
     after = r"(<num[^>]*>)( ?)((?i:" + UNITS + r"))\b"
@@ -54,13 +67,12 @@ def tokens(text: Column, values: bool = False) -> Column:
     """Template tokens; a run of names is one of them."""
     if values:  # blanks inside a placeholder don't part tokens
         return F.regexp_extract_all(template(text, True), F.lit(r"(?:<[^<>]*+>|[^<>\x20\x09-\x0D])++"), F.lit(0))
-    return F.filter(F.split(template(text), BLANK), lambda t: t != "")
+    return _split(template(text))
 
 
 def plain(text: Column) -> Column:
     """Lower-cased words without punctuation."""
-    out = F.regexp_replace(F.lower(F.translate(text, "<>=", "")), PUNCTUATION, "")
-    return F.filter(F.split(out, BLANK), lambda t: t != "")
+    return _split(F.regexp_replace(F.lower(_unmarked(text)), PUNCTUATION, ""))
 
 
 def _bare(token: Column) -> Column:
@@ -90,10 +102,11 @@ def _literals(tokens: Column) -> Column:
 
 
 def item_windows(benchmark: DataFrame, width: int) -> DataFrame:
-    """(item_id, item, plain, window, item_at, size, windows) of windows with enough
-    literal tokens, numbers among plain words being none; item is a hash of the
-    text, for texts that share an item_id, and size the number of tokens. An item
-    without such a window of its template has its whole template instead, at -1."""
+    """(item_id, item, plain, literal, window, item_at, size, windows, literals) of
+    windows with enough literal tokens, numbers among plain words being none; item is a hash of the
+    text, for texts that share an item_id, and size the number of tokens; literal are
+    windows of a template that hold no placeholder, and literals is their number. An
+    item without such a window of its template has its whole template instead, at -1."""
     items = benchmark.where("item_id is not null and text is not null").select("item_id", "text").distinct()
     texts = items.select("item_id", F.xxhash64("text").alias("item"), "text")
     items = texts.select("item_id", "item", F.lit(False).alias("plain"), tokens(F.col("text")).alias("t"))
@@ -101,26 +114,39 @@ def item_windows(benchmark: DataFrame, width: int) -> DataFrame:
     placed = items.select("item_id", "item", "plain", "t", F.posexplode(windows(F.col("h"), width)).alias("item_at", "window"))
     own = F.slice("t", F.col("item_at") + 1, width)
     words = F.size(F.filter(own, lambda t: ~F.rlike(t, F.lit(r"\p{N}"))))
-    literal = placed.where(F.when(F.col("plain"), words).otherwise(_literals(own)) >= LEAST_LITERAL)
-    literal = literal.select("item_id", "item", "plain", "window", "item_at", F.size("t").alias("size"))
-    rest = items.where("not plain and size(t) > 0").join(literal.where("not plain").select("item_id", "item").distinct(), ["item_id", "item"], "left_anti")
-    rest = rest.select("item_id", "item", "plain", F.xxhash64(F.lit("whole"), "h").alias("window"), F.lit(-1).alias("item_at"), F.size("t").alias("size"))
-    both = literal.union(rest)
-    return both.withColumn("windows", F.count("*").over(Window.partitionBy("item_id", "item", "plain")))
+    enough = placed.where(F.when(F.col("plain"), words).otherwise(_literals(own)) >= LEAST_LITERAL)
+    enough = enough.select("item_id", "item", "plain", (~F.col("plain") & (_literals(own) == width)).alias("literal"), "window", "item_at", F.size("t").alias("size"))
+    rest = items.where("not plain and size(t) > 0").join(enough.where("not plain").select("item_id", "item").distinct(), ["item_id", "item"], "left_anti")
+    rest = rest.select("item_id", "item", "plain", F.lit(False).alias("literal"), F.xxhash64(F.lit("whole"), "h").alias("window"), F.lit(-1).alias("item_at"), F.size("t").alias("size"))
+    of_item = Window.partitionBy("item_id", "item", "plain")
+    return enough.union(rest).withColumns({"windows": F.count("*").over(of_item), "literals": F.count_if("literal").over(of_item)})
 
 
 def held_items(texts: DataFrame, benchmark: DataFrame, width: int = WIDTH, coverage: float = COVERAGE, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """(row, item_id, matched, windows, slots, changed) for texts (row, text): see
     contaminated(). row is a hash that stands for the text."""
     items = stored(item_windows(benchmark, width), "windows")
-    longest = items.where("item_at < 0").agg(F.max("size")).first()[0] or 0
-    asked = sent(items.select("window", "item_id", "item", "plain", "item_at", "windows"), most_broadcast)
-    rows = texts.select("row", tokens(F.col("text")).alias("t"), plain(F.col("text")).alias("p"))
-    rows = rows.select("row", hashed(F.col("t")).alias("t"), hashed(F.col("p")).alias("p"))
-    # Windows without a placeholder are often the same of both kinds.
-    rows = rows.select("row", F.explode(F.concat(F.array_union(windows(F.col("t"), width), windows(F.col("p"), width)), whole(F.col("t"), longest))).alias("window"))
+    # Whether a text may hold an item's template without any of its literal windows.
+    apart = ~F.col("plain") & (F.col("windows") - F.col("literals") >= coverage * F.col("windows"))
+    longest, any_text = items.agg(F.max(F.when(F.col("item_at") < 0, F.col("size"))), F.bool_or(apart)).first()
+    longest = longest or 0
     key = ["row", "item_id", "item"]
-    found = rows.join(asked, "window").groupBy(*key, "plain", "item_at").agg(F.first("windows").alias("windows"))
+
+    def found_in(rows: DataFrame, items: DataFrame) -> DataFrame:
+        asked = sent(items.select("window", "item_id", "item", "plain", "item_at", "windows"), most_broadcast)
+        return rows.join(asked, "window").groupBy(*key, "plain", "item_at").agg(F.first("windows").alias("windows"))
+
+    rows = texts.select("row", plain(F.col("text")).alias("p")).select("row", hashed(F.col("p")).alias("p"))
+    rows = rows.select("row", F.explode(F.array_distinct(windows(F.col("p"), width))).alias("window"))
+    words = stored(found_in(rows, items.where("plain or literal")), "words")
+    if not any_text:
+        may = words.where("not plain").select("row").distinct()
+        canonical = texts.join(sent(may, most_broadcast), "row", "left_semi")
+    else:
+        canonical = texts
+    rows = canonical.select("row", tokens(F.col("text")).alias("t")).select("row", hashed(F.col("t")).alias("t"))
+    rows = rows.select("row", F.explode(F.concat(F.array_distinct(windows(F.col("t"), width)), whole(F.col("t"), longest))).alias("window"))
+    found = words.where("plain").union(found_in(rows, items.where("not plain")))
     held = found.groupBy(*key, "plain").agg(F.count("*").alias("matched"), F.first("windows").alias("windows")).where(F.col("matched") >= coverage * F.col("windows"))
     held = stored(held, "held")
     verbatim, held = held.where("plain").drop("plain"), held.where("not plain").drop("plain")

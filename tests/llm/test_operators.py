@@ -610,6 +610,28 @@ def test_templates_of_another_case(spark):
     assert set(got) == {1, 2, 3} and got[1]["matched"] == got[1]["windows"] and got[3]["slots"] > 0
 
 
+def test_only_texts_with_literal_windows_are_canonicalised(spark, monkeypatch):
+    from loomgraph.llm import decontam
+
+    seen, stored = {}, decontam.stored
+
+    def storing(df, name):
+        seen[name] = stored(df, name)
+        return seen[name]
+
+    monkeypatch.setattr(decontam, "stored", storing)
+    item, other = f"{text(30)} 12 kg {text(6)}", "we had 12 big 13 red 14 old 15 new 16 cups"
+    docs = [(1, f"x {item.replace('12', '15')} y"), (2, other.replace("12", "92")), (3, text(80)), (4, f"{text(20)} = <{item}>"), (5, " \n")]
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame([(1, item), (2, other)], "item_id long, text string")
+    both = contaminated(docs, bench).collect()
+    one = contaminated(docs, bench.where("item_id = 1")).collect()
+    assert sorted((r["doc_id"], r["item_id"], r["changed"]) for r in both) == [(1, 1, 1), (2, 2, 1), (4, 1, 0)]
+    assert sorted(one) == sorted(r for r in both if r["item_id"] == 1)
+    # The words of each text are looked up once, and no template of the third one.
+    assert {r["row"] for r in seen["words"].where("not plain").collect()} == {r["row"] for r in seen["held"].collect()} and seen["words"].count() > 0
+
+
 def test_items_without_windows(spark):
     bench = spark.createDataFrame([(1, "What is 2 + 2?"), (2, "7 8 9 10 11 12"), (3, "..."), (4, "Yes")], "item_id long, text string")
     rows = [(1, "what is 31 + 31"), (2, "What is 2 + 3?"), (3, "He asked what is 2 + 2 and left."), (4, "1 2 3 4 5 6"), (5, "1 2 3 4 5 6 7"), (6, "yes!"), (7, "Yes, yes"), (8, "?!"), (9, "What is 2 + 2?")]
