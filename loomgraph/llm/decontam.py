@@ -146,7 +146,8 @@ def held_items(texts: DataFrame, benchmark: DataFrame, width: int = WIDTH, cover
         canonical = texts
     rows = canonical.select("row", tokens(F.col("text")).alias("t")).select("row", hashed(F.col("t")).alias("t"))
     rows = rows.select("row", F.explode(F.concat(F.array_distinct(windows(F.col("t"), width)), whole(F.col("t"), longest))).alias("window"))
-    found = words.where("plain").union(found_in(rows, items.where("not plain")))
+    # A literal window counts among the plain words too, where the template has a name.
+    found = words.union(found_in(rows, items.where("not plain"))).distinct()
     held = found.groupBy(*key, "plain").agg(F.count("*").alias("matched"), F.first("windows").alias("windows")).where(F.col("matched") >= coverage * F.col("windows"))
     held = stored(held, "held")
     verbatim, held = held.where("plain").drop("plain"), held.where("not plain").drop("plain")
